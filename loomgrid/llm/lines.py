@@ -32,6 +32,7 @@ def char_kinds() -> np.ndarray:
     put(r"[\p{Lu}\p{Lt}]", UPPER)
     put(r"[\p{Hiragana}\p{Katakana}\p{Han}ー々]", SYLLABLE)
     put(r"\p{N}", DIGIT)
+    put(r"[\p{Cf}\p{Cc}]", MARK)
     put(r"[\s\p{Zs}\x1c-\x1f]", BLANK)
     out[[ord(c) for c in PUNCTUATION]] = MARK
     out[[ord(c) for c in BREAKS]] = BREAK

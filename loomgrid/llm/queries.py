@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.llm.encode import encode_corpus
 from loomgrid.llm.packing import pack_tokens
+from loomgrid.llm.quality import natural_prose, quality
 from loomgrid.llm.topn import latest_items, top_n_per_group
 from loomgrid.sources.tables import table
 
@@ -54,11 +55,23 @@ def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
     return pack_tokens(table(spark, folder, "documents"), "doc_id", "text", CAPACITY)
 
 
+# 8 Text quality
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    words = table(spark, folder, "common_words")
+    return natural_prose(table(spark, folder, "documents"), "doc_id", "text", "lang", words, "word").select("doc_id")
+
+
+def p8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(table(spark, folder, "documents"), "doc_id", "text", "lang", table(spark, folder, "common_words"), "word")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_best": p2_best,
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
+    "p8_found": p8_found,
+    "p8_quality": p8_quality,
 }
 
 ORACLES = {
