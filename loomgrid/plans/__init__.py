@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgrid.plans import problems
+from loomgrid.plans import graphs, ingest, panels, problems
 
-MODULES = (problems,)
+MODULES = (problems, ingest, panels, graphs)
 
 
 def queries() -> dict:
