@@ -101,9 +101,9 @@ def dense_suffix(cells: DataFrame, unit: str, t: str, value: str) -> DataFrame:
     starts = per_gap.select("n", "every", F.explode(F.filter("every", lambda w: w > F.col("gap"))).alias("start"))
     counts = starts.groupBy("start").agg(F.sum("n").alias("units"), F.first("every").alias("every"))
     counts = counts.withColumn("weeks", F.size(F.filter("every", lambda w: w >= F.col("start"))))
-    best = counts.agg(F.max(F.struct((F.col("units") * F.col("weeks")).alias("area"), "units", "weeks", (-F.col("start")).alias("early"))).alias("b"))
-    best = best.select(F.col("b.area").alias("area"), (-F.col("b.early")).alias("start"), F.col("b.units").alias("n_units"), F.col("b.weeks").alias("n_weeks"))
-    return gaps.join(F.broadcast(best), F.col("gap") < F.col("start")).select(unit, "start", "area", "n_units", "n_weeks")
+    best = counts.agg(F.max(F.struct((F.col("units") * F.col("weeks")).alias("area"), "units", "weeks", (-F.col("start")).alias("early")))).scalar()
+    named = gaps.select(unit, "gap", (-best["early"]).alias("start"), best["area"].alias("area"), best["units"].alias("n_units"), best["weeks"].alias("n_weeks"))
+    return named.where(F.col("gap") < F.col("start")).select(unit, "start", "area", "n_units", "n_weeks")
 
 
 def start_and_end(panel: DataFrame, unit: str, t: str, z: str, steps: Column) -> DataFrame:

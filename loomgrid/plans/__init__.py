@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgrid.plans import graphs, ingest, panels, problems
+from loomgrid.plans import graphs, ingest, panels, problems, reports, scores
 
-MODULES = (problems, ingest, panels, graphs)
+MODULES = (problems, ingest, panels, graphs, scores, reports)
 
 
 def queries() -> dict:
