@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgrid.plans import graphs, ingest, panels, problems, reports, scores
+from loomgrid.plans import graphs, ingest, models, panels, problems, reports, scores
 
-MODULES = (problems, ingest, panels, graphs, scores, reports)
+MODULES = (problems, ingest, panels, graphs, scores, reports, models)
 
 
 def queries() -> dict:
