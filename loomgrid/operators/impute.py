@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Pseudo-observations at zero that the mean residual near in time is shrunk with.
 LOCAL_PRIOR = 0.1
+#: Pseudo-observations at zero that the effect of a time is shrunk with.
+TIME_PRIOR = 1.0
 
 
 def fill_numeric(
@@ -22,15 +24,17 @@ def fill_numeric(
     filled. ``records`` has one row per group and day.
 
     A null field is filled if another record of the group at most ``reach`` days before or after has
-    it; otherwise it stays null and isn't marked. Values from -1 on are modelled as log1p, and given as
-    integers where the field is one; fields with smaller values as they are. A null day or null group has no
+    it; otherwise it stays null and isn't marked. Fields are counts: modelled as log1p (negative values as -0.999), and predicted
+    as integers of 0 or more where the field is one. A null day or null group has no
     neighbours in time. Empty tables give empty results; a group with a single value has no effect of its own
     beyond the shrunk one.
     """
-    whole = Window.partitionBy(*group)
-    near = Window.partitionBy(*group).orderBy("_d").rangeBetween(-reach, reach)
+    # one order for both windows, so that a group is sorted once
+    ordered = Window.partitionBy(*group).orderBy("_d")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = ordered.rangeBetween(-reach, reach)
     rows = records.select(*group, day, *fields).withColumn("_d", F.unix_date(day))
-    y = {f: F.log1p(F.greatest(F.col(f).cast("double"), F.lit(-0.999))) for f in fields}
+    y = {f: F.when(F.col(f).isNotNull(), F.log1p(F.greatest(F.col(f).cast("double"), F.lit(-0.999)))) for f in fields}
     sums = []
     for f in fields:
         sums += [F.count(f).alias(f"n_{f}"), F.sum(y[f]).alias(f"s_{f}"), F.sum(y[f] * y[f]).alias(f"q_{f}")]
@@ -49,20 +53,20 @@ def fill_numeric(
                 F.sum(n * n).alias("n2"),
             ).alias(f)
         )
-    moments = per_group.agg(*parts).select(*[_ratio(f) for f in fields])
-    model = {f: moments.select(f).scalar() for f in fields}
-    times = rows.groupBy("_d").agg(
-        *[F.struct(F.count(f).alias("n"), F.sum(y[f]).alias("s")).alias(f"t_{f}") for f in fields]
-    ).withColumnRenamed("_d", "_t")
-    joined = rows.join(times, F.col("_d") == F.col("_t"), "left").drop("_t")
+    model = per_group.agg(*parts).select(F.struct(*[_ratio(f) for f in fields])).scalar()
+    grouped = rows
     for f in fields:
-        mean, ratio = model[f]["mean"], model[f]["ratio"]
-        at = F.col(f"t_{f}")
-        time_effect = (at["s"] - at["n"] * mean) / (at["n"] + ratio)
+        mean, ratio = F.coalesce(model[f]["mean"], F.lit(0.0)), model[f]["ratio"]
         group_n = F.count(f).over(whole)
-        group_effect = (F.sum(y[f]).over(whole) - group_n * mean) / (group_n + ratio)
-        fixed = F.coalesce(mean, F.lit(0.0)) + F.coalesce(group_effect, F.lit(0.0)) + F.coalesce(time_effect, F.lit(0.0))
-        joined = joined.withColumn(f"_fixed_{f}", fixed).drop(f"t_{f}")
+        effect = F.coalesce((F.sum(y[f]).over(whole) - group_n * mean) / (group_n + ratio), F.lit(0.0))
+        grouped = grouped.withColumn(f"_group_{f}", mean + effect)
+    # effects of times, from what the groups leave unexplained; one row per day, so the calendar bounds the broadcast
+    times = grouped.groupBy("_d").agg(
+        *[(F.sum(F.when(F.col(f).isNotNull(), y[f] - F.col(f"_group_{f}"))) / (F.count(f) + TIME_PRIOR)).alias(f"t_{f}") for f in fields]
+    ).withColumnRenamed("_d", "_t")
+    joined = grouped.join(F.broadcast(times), F.col("_d") == F.col("_t"), "left").drop("_t")
+    for f in fields:
+        joined = joined.withColumn(f"_fixed_{f}", F.col(f"_group_{f}") + F.coalesce(f"t_{f}", F.lit(0.0))).drop(f"t_{f}", f"_group_{f}")
     for f in fields:
         joined = joined.withColumn(f"_r_{f}", F.when(F.col(f).isNotNull(), y[f] - F.col(f"_fixed_{f}")))
     out = joined

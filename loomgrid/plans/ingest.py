@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from loomgrid.functions.scalars import iso_week, iso_year, number_or_infinity, p
 from loomgrid.operators.counties import daily_records
 from loomgrid.operators.panel import deltas, fill_from, increments, skeleton, weekly
 from loomgrid.plans.views import CODE, DAILY_VIEW, DAILY, daily, population
-from loomgrid.sources.tables import table
+from loomgrid.session import shared_folder
+from loomgrid.sources.tables import read_text_table, table, write_table
 
 FIRST_WEEK, LAST_WEEK = "2020-01-26", "2022-05-15"  # fixed values: the calendar's first and last Sunday
 COMMON_LAST = "2020-06-14"
@@ -198,11 +201,7 @@ def coerced(spark, folder):
 
 def csv_round_trip(spark, folder):
     """The population table written as gzipped CSV and as parquet in the checkpoint folder, and read again."""
-    import uuid
-
-    from loomgrid.sources.tables import read_text_table, write_table
-
-    base = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     people = population(spark, folder)
     people.write.option("compression", "gzip").csv(f"{base}/csv", header=True)
     write_table(people.withColumn("head", F.substring("fips", 1, 2)), f"{base}/parquet", ["head"])
@@ -211,13 +210,6 @@ def csv_round_trip(spark, folder):
     return text.join(again.withColumn("fips", F.col("fips").cast("string")), "fips").where(F.col("population").eqNullSafe(F.col("p"))).select("fips", "population")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured."""
-    import tempfile
-
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-tables-')}"
-
-
 QUERIES = {f.__name__: f for f in (
     county_daily, weekly_outcomes, weekly_last_values, event_pivot, population_lookup, weekly_rates, week_calendar, joined_panel, two_sources,
     excluded_units, processing_summary, manifest_upsert, manifest_union, plan_status, coerced, csv_round_trip,

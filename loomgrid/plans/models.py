@@ -17,6 +17,7 @@ from loomgrid.plans.graphs import fold_roles, gamma, steps_of
 from loomgrid.plans.problems import positions
 from loomgrid.plans.scores import BETA, ETA, S, XI, slots
 from loomgrid.plans.views import cells, panel
+from loomgrid.session import cut_lineage
 
 DRAWS, SWEEPS, SEED = 8, 20, 7
 
@@ -69,7 +70,7 @@ def held_out_draws(spark, folder):
     roles = fold_roles(spark, folder).where("fold = 1").select("t", "unit", (F.col("role") == "validation").alias("free"))
     rows = panel(spark, folder).join(roles, ["t", "unit"], "left").withColumn("free", F.coalesce("free", F.lit(False)))
     edges = gamma(spark, folder).where(F.col("src") < F.col("dst"))
-    drawn = gibbs(rows, edges, "free", DRAWS, SWEEPS, BETA, ETA, XI, SEED)
+    drawn = cut_lineage(gibbs(rows, edges, "free", DRAWS, SWEEPS, BETA, ETA, XI, SEED))
     both = drawn.withColumnRenamed("x", "drawn").join(rows.select("unit", "t", "x", "z"), ["unit", "t"])
     masks = six_masks(F.lit(True), F.col("t") >= S, F.col("z") > 0)
     seen = masked_means(both, masks, F.col("x")).select("mask", F.col("slots"), F.col("mean").alias("observed"))

@@ -11,6 +11,7 @@ from loomgrid.operators.impute import fill_category, fill_numeric
 from loomgrid.operators.nearby import near_in_plane, near_on_sphere, points_in_regions
 from loomgrid.operators.orphans import orphan_references, orphan_report
 from loomgrid.operators.rolling import rolling_totals
+from loomgrid.session import written_table
 from loomgrid.sources.tables import table
 
 CODE = area_code_sql("fips")
@@ -147,7 +148,8 @@ WITH refs AS (
 def filled_counties(spark: SparkSession, folder: str) -> DataFrame:
     daily = daily_records(table(spark, folder, "us_counties"), ["cases", "deaths"])
     counts = [F.when(F.col(c) >= 0, F.col(c)).alias(c) for c in ("cases", "deaths")]
-    return fill_numeric(daily.select("code", "date", *counts), ["code"], "date", ["cases", "deaths"], 7)
+    daily = written_table(daily.select("code", "date", *counts))  # the model goes over it several times
+    return fill_numeric(daily, ["code"], "date", ["cases", "deaths"], 7)
 
 
 def filled_cells(spark: SparkSession, folder: str) -> DataFrame:
