@@ -184,54 +184,58 @@ def fit_low_rank(slots: DataFrame, times: int, rank: int, ridge: float, column_m
     return dict(zip(FEATURES, map(float, scalars))) | {"loss": float(loss[0] / n), "objective": objective}, u, factors
 
 
-def fit_nuclear(slots: DataFrame, times: int, weight: float, rate: float, steps: int = 10, mask: Column | None = None) -> dict:
+def fit_nuclear(slots: DataFrame, times: int, weight: float, steps: int = 10, mask: Column | None = None) -> dict:
     """Accelerated proximal steps on a full field: gradients are local to a unit, and the singular values of the times x units field
-    are shrunk by way of its times x times Gram matrix, which is summed over the units."""
+    are shrunk by way of its times x times Gram matrix, which is summed over the units.
+
+    The field's step is half of what its curvature allows and the scalars' a sixth, so that a joint step descends.
+    """
     if times > MOST_TIMES:
         raise ValueError(f"more than {MOST_TIMES} times")
     rows = cut_lineage(unit_rows(slots, F.lit(True) if mask is None else mask))
-    size = slots.count()
-    plan: list[tuple] = []  # (shrink matrix or None, scalars at y, momentum)
-    scalars, y_scalars, momentum = np.zeros(3), np.zeros(3), 1.0
-    norm = np.sqrt(max(size, 1))
+    n = float(rows.agg(F.sum(F.aggregate("m", F.lit(0.0), lambda a, b: a + b))).first()[0] or 0.0)
+    if not n:
+        raise ValueError("the loss mask is empty")
+    rate = n / 2
+    plan: list[tuple] = []  # (shrink matrix, scalars, momentum) of each step so far
+    scalars, y_scalars, momentum = np.zeros(len(FEATURES)), np.zeros(len(FEATURES)), 1.0
     objective: list[float] = []
-
-    def field(s: Slots, done: list[tuple], at: np.ndarray | None, n: float) -> tuple[np.ndarray, np.ndarray]:
-        """The current field and, if ``at`` (scalars) is given, the stepped one before it is shrunk."""
-        theta = np.zeros((s.n, times))
-        y = theta
-        for shrink, y_sc, mom in done:
-            stepped = y - rate * _field_gradient(s, y, y_sc, n)
-            new = stepped @ shrink
-            y, theta = new + mom * (new - theta), new
-        return theta, (y - rate * _field_gradient(s, y, at, n)) if at is not None else theta
-
-    n = float(size)
+    shrunk = np.zeros(times)
     for _ in range(steps):
-        done, at = list(plan), y_scalars
 
-        def work(s: Slots, done: list[tuple] = done, at: np.ndarray = at) -> list[np.ndarray]:
-            _, stepped = field(s, done, at, n)
-            y = _extrapolated(s, done, rate, times, n)
+        def work(s: Slots, done: tuple = tuple(plan), at: np.ndarray = y_scalars) -> list[np.ndarray]:
+            theta, y = field_after(s, done, rate, times, n)
+            stepped = y - rate * _field_gradient(s, y, at, n)
             h = y[s.unit, s.t] + at @ s.features
             r = (np.tanh(h) - s.x) * s.m
-            return [np.array([((np.logaddexp(h, -h) - s.x * h) * s.m).sum()]), stepped.T @ stepped, s.features @ r]
+            loss = ((np.logaddexp(h, -h) - s.x * h) * s.m).sum()
+            return [np.array([loss]), stepped.T @ stepped, s.features @ r, (s.features**2) @ s.m]
 
-        loss, gram, gradient = summed(rows, work)
+        loss, gram, gradient, curvature = summed(rows, work)
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         sigma = np.sqrt(np.maximum(values, 0.0))
-        shrunk = np.maximum(sigma - rate * weight / norm, 0.0)
+        before = shrunk
+        shrunk = np.maximum(sigma - rate * weight / np.sqrt(n), 0.0)
         shrink = (vectors * np.where(sigma > 1e-12, shrunk / np.maximum(sigma, 1e-12), 0.0)) @ vectors.T
-        stepped_scalars = y_scalars - rate * gradient / n
+        stepped_scalars = y_scalars - gradient / np.maximum(6 * curvature, 1e-12)
         following = 0.5 * (1 + np.sqrt(1 + 4 * momentum**2))
         pull = (momentum - 1) / following
         plan.append((shrink, y_scalars, pull))
         y_scalars = stepped_scalars + pull * (stepped_scalars - scalars)
         scalars, momentum = stepped_scalars, following
-        objective.append(float(loss[0] / n + weight * shrunk.sum() / norm))
+        objective.append(float(loss[0] / n + weight * before.sum() / np.sqrt(n)))
     return dict(zip(FEATURES, map(float, scalars))) | {"objective": objective, "singular_values": shrunk[::-1]}
 
 
+def field_after(s: Slots, done: tuple, rate: float, times: int, n: float) -> tuple[np.ndarray, np.ndarray]:
+    """The field of a batch's units after the steps so far, and where the next step starts from."""
+    theta = y = np.zeros((s.n, times))
+    for shrink, at, pull in done:
+        new = (y - rate * _field_gradient(s, y, at, n)) @ shrink
+        y, theta = new + pull * (new - theta), new
+    return theta, y
+
+
 def _field_gradient(s: Slots, y: np.ndarray, scalars: np.ndarray, n: float) -> np.ndarray:
     h = y[s.unit, s.t] + scalars @ s.features
     out = np.zeros_like(y)
@@ -239,15 +243,6 @@ def _field_gradient(s: Slots, y: np.ndarray, scalars: np.ndarray, n: float) -> n
     return out
 
 
-def _extrapolated(s: Slots, done: list[tuple], rate: float, times: int, n: float) -> np.ndarray:
-    theta = np.zeros((s.n, times))
-    y = theta
-    for shrink, y_sc, mom in done:
-        new = (y - rate * _field_gradient(s, y, y_sc, n)) @ shrink
-        y, theta = new + mom * (new - theta), new
-    return y
-
-
 def spectrum(slots: DataFrame, times: int, value: str = "x") -> np.ndarray:
     """Singular values, largest first, of the times x units matrix of values (0 where absent), from its Gram matrix."""
     rows = unit_rows(slots.withColumn("x", F.col(value).cast("double")), F.lit(True))

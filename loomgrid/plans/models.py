@@ -39,7 +39,7 @@ def low_rank_fit(spark, folder):
 
 def nuclear_fit(spark, folder):
     """M3: the singular values of the field and the course of the objective."""
-    fit = fit_nuclear(slots(spark, folder), steps_of(spark, folder), weight=0.05, rate=200.0, steps=6)
+    fit = fit_nuclear(slots(spark, folder), steps_of(spark, folder), weight=0.05, steps=6)
     rows = [("singular_value", i + 1, float(v)) for i, v in enumerate(fit["singular_values"])] + [("objective", i + 1, float(v)) for i, v in enumerate(fit["objective"])]
     return spark.createDataFrame(rows, "kind string, place int, value double")
 
