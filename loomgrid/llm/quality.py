@@ -34,7 +34,7 @@ def sentence_lines(lines: Lines) -> np.ndarray:
     per_end = words / np.maximum(ends, 0.5)
     per_line = words / np.maximum(rows, 1)
     spaced = (syllables < 0.3 * letters) & (words >= 5) & (share >= 0.1) & (share <= 0.75) & (per_end >= 4) & ((per_end <= 60) | (per_line >= 6))
-    spaced &= ((ends >= 1) & (per_line >= 1.5)) | (per_line >= 4)
+    spaced &= ((ends >= 1) & (per_line >= 1.5)) | ((per_line >= 4) & (words >= 8))  # without an end: long enough to be no title
     unspaced = (syllables >= 0.3 * letters) & (ends >= 1) & (letters <= 150 * ends) & (letters >= 5 * ends)
     return texty & (spaced | unspaced)[block]
 
