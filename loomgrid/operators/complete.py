@@ -29,9 +29,9 @@ def anchors(seen: np.ndarray, target: int, at: int) -> tuple[np.ndarray, np.ndar
 
 def component_rank(s: np.ndarray, ratio: float) -> int:
     """Singular values above the threshold for unknown noise (a cubic in the shape's ratio times their median), at least one."""
-    # fixed values of the published approximation
-    omega = 0.56 * ratio**3 - 0.95 * ratio**2 + 1.43 + 1.82 * ratio
-    return max(int((s > omega * np.median(s)).sum()), 1)
+    # fixed values of the published approximation (cubic, square, linear, constant)
+    threshold = np.polyval([0.56, -0.95, 1.82, 1.43], ratio) * np.median(s)
+    return max(int((s > threshold).sum()), 1)
 
 
 def predict(values: np.ndarray, target: int, at: int, span_eps: float, subspace_eps: float) -> tuple[float, bool]:

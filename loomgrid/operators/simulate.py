@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.operators.fits import seed_of
 from loomgrid.operators.graph import both_ways, components
+from loomgrid.session import cut_lineage
 
 #: Draws x slots of a block that a task takes on; larger blocks are refused rather than gathered.
 MOST_SPINS = 50_000_000
@@ -31,7 +32,8 @@ def colours(neighbours: list[np.ndarray]) -> np.ndarray:
 
 
 def draw_block(slots: pd.DataFrame, edges: pd.DataFrame, draws: int, sweeps: int, beta: float, eta: float, xi: float, seed: int) -> pd.DataFrame:
-    """Draws of a block. ``slots``: unit, t, x, z, theta, prev_x, outside (the fixed neighbours' weighted sum), free; ``edges``: src, dst, w both ways."""
+    """Draws of a block. ``slots``: unit, t, x, z, theta, prev_x, prev_t (the unit's row before, if any), outside (the fixed
+    neighbours' weighted sum), free; ``edges``: src, dst, w both ways."""
     names, unit = np.unique(slots["unit"].to_numpy(object), return_inverse=True)
     if draws * len(slots) > MOST_SPINS:
         raise ValueError(f"a block of {len(names)} units is too large for one task: {draws} draws x {len(slots)} slots exceed {MOST_SPINS}")
@@ -50,12 +52,13 @@ def draw_block(slots: pd.DataFrame, edges: pd.DataFrame, draws: int, sweeps: int
     order = np.lexsort((unit, slots["t"].to_numpy()))
     get = lambda c: slots[c].to_numpy()[order]
     t, unit, x, z, theta, prev, outside, free = get("t"), unit[order], get("x"), get("z"), get("theta"), get("prev_x"), get("outside"), get("free").astype(bool)
+    prev_t = get("prev_t").astype(float)
     state = np.zeros((draws, len(names)))
-    seen = np.zeros(len(names), bool)
+    seen = np.full(len(names), np.nan)  # the time at which a unit was last drawn
     drawn = np.zeros((draws, len(t)))
     for a, b in _runs(t):
         here = unit[a:b]
-        before = np.where(seen[here], state[:, here], prev[a:b])
+        before = np.where(seen[here] == prev_t[a:b], state[:, here], prev[a:b])
         fixed = theta[a:b] + beta * z[a:b] + xi * outside[a:b] + eta * before
         current = np.zeros((draws, len(names)))
         current[:, here] = np.where(free[a:b], rng.choice([-1.0, 1.0], (draws, b - a)), x[a:b])
@@ -69,7 +72,7 @@ def draw_block(slots: pd.DataFrame, edges: pd.DataFrame, draws: int, sweeps: int
                 current[:, g] = np.where(rng.random(h.shape) < 1 / (1 + np.exp(-2 * h)), 1.0, -1.0)
         drawn[:, a:b] = current[:, here]
         state[:, here] = current[:, here]
-        seen[here] = True
+        seen[here] = t[a]
     kept = np.flatnonzero(free)
     return pd.DataFrame({
         "draw": np.repeat(np.arange(draws), len(kept)), "unit": np.tile(names[unit[kept]], draws), "t": np.tile(t[kept], draws), "x": drawn[:, kept].ravel().astype(int),
@@ -83,29 +86,29 @@ def _runs(t: np.ndarray) -> list[tuple[int, int]]:
 
 def gibbs(panel: DataFrame, edges: DataFrame, free: str, draws: int, sweeps: int, beta: float, eta: float, xi: float, seed: int) -> DataFrame:
     """(draw, unit, t, x) for the slots marked ``free``; all others keep their x. ``panel``: unit, t, x, z, theta, prev_x and the mark;
-    ``edges``: undirected pairs. Held-out slots start at random and are carried to the next time.
+    ``edges``: undirected pairs. Free slots start at random, and are carried to the unit's next row.
 
-    Blocks are the connected components of the units that have free slots; the draws depend on the seed and the block only.
+    Blocks are the connected components of the free slots (neighbours at one time, and rows of a unit that follow each other): given
+    the fixed slots they are independent. The draws depend on the seed and the block only.
     """
-    ever = panel.where(free).select("unit").distinct()
     both = both_ways(edges)
-    ends = lambda side: ever.withColumnRenamed("unit", side)
-    held = both.join(ends("src"), "src", "left_semi").join(ends("dst"), "dst", "left_semi")
-    labels = components(held).withColumnRenamed("node", "unit").withColumnRenamed("component", "block")
-    blocks = ever.join(labels, "unit", "left").select("unit", F.coalesce("block", "unit").alias("block"))
-    # fixed neighbours: those outside the blocks
-    fixed = panel.join(ever, "unit", "left_anti").select(F.col("unit").alias("dst"), "t", F.col("x").alias("v"))
+    node = lambda unit, t: F.concat_ws("@", unit, t)
+    marked = panel.withColumn("prev_t", F.lag("t").over(Window.partitionBy("unit").orderBy("t")))
+    slots = cut_lineage(marked.where(free).select("unit", "t", "x", "z", "theta", "prev_x", "prev_t"))
+    ends = lambda side: slots.select(F.col("unit").alias(side), "t")
+    beside = both.join(ends("src"), "src").join(ends("dst"), ["dst", "t"]).select(node("src", "t").alias("a"), node("dst", "t").alias("b"), "src", "dst", "w")
+    beside = cut_lineage(beside)
+    follow = slots.select("unit", F.col("prev_t").alias("t"), F.col("t").alias("next")).join(slots.select("unit", "t"), ["unit", "t"])
+    links = beside.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(follow.select(node("unit", "t").alias("src"), node("unit", "next").alias("dst")))
+    labels = components(links.withColumn("w", F.lit(1.0)))
+    fixed = panel.where(~F.col(free)).select(F.col("unit").alias("dst"), "t", F.col("x").alias("v"))
     outside = both.join(fixed, "dst").groupBy(F.col("src").alias("unit"), "t").agg(F.sum(F.col("w") * F.col("v")).alias("outside"))
-    slots = panel.join(blocks, "unit").join(outside, ["unit", "t"], "left")
-    slots = slots.select("block", "unit", "t", "x", "z", "theta", "prev_x", F.coalesce("outside", F.lit(0.0)).alias("outside"), F.col(free).alias("free"))
-    links = held.join(blocks.withColumnRenamed("unit", "src"), "src").select(F.col("block").alias("link_block"), "src", "dst", "w")
+    placed = slots.withColumn("node", node("unit", "t")).join(labels, "node", "left").join(outside, ["unit", "t"], "left")
+    placed = placed.select(F.coalesce("component", "node").alias("block"), "unit", "t", "x", "z", "theta", "prev_x", "prev_t", F.coalesce("outside", F.lit(0.0)).alias("outside"), F.lit(True).alias("free"))
+    pairs = beside.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("component").alias("link_block"), "src", "dst").agg(F.max("w").alias("w"))
 
     def work(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty:
-            return pd.DataFrame({"draw": [], "unit": [], "t": [], "x": []})
-        present = set(a["unit"])
-        b = b[b["src"].isin(present) & b["dst"].isin(present)]
         return draw_block(a, b, draws, sweeps, beta, eta, xi, seed_of(seed, key[0]))
 
     kind = panel.schema["unit"].dataType.simpleString()
-    return slots.groupBy("block").cogroup(links.groupBy("link_block")).applyInPandas(work, f"draw int, unit {kind}, t int, x int")
+    return placed.groupBy("block").cogroup(pairs.groupBy("link_block")).applyInPandas(work, f"draw int, unit {kind}, t int, x int")

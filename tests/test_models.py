@@ -69,7 +69,7 @@ def test_seeds():
 
 
 def block(spark_or_none=None, n=2, times=1, free=True):
-    return pd.DataFrame({"unit": [f"u{i}" for i in range(n)] * times, "t": np.repeat(range(times), n), "x": 1, "z": 0, "theta": 0.0, "prev_x": 1, "outside": 0.0, "free": free})
+    return pd.DataFrame({"unit": [f"u{i}" for i in range(n)] * times, "t": np.repeat(range(times), n), "x": 1, "z": 0, "theta": 0.0, "prev_x": 1, "prev_t": None, "outside": 0.0, "free": free})
 
 
 def test_two_spins_have_the_exact_law():
@@ -114,3 +114,12 @@ def test_completion_of_a_low_rank_panel():
     got, feasible = predict(values, 0, 5, 0.5, 0.5)
     assert feasible and got == pytest.approx(truth, abs=1e-6)
     assert np.isnan(predict(np.full((3, 4), np.nan), 0, 1, 0.5, 0.5)[0])
+
+
+def test_draws_are_carried_to_the_next_row(spark):
+    rows = [("b", t, 1, 0, 0.0, 1, t in (1, 2, 4)) for t in range(6)]
+    df = spark.createDataFrame(rows, "unit string, t int, x int, z int, theta double, prev_x int, free boolean")
+    edges = spark.createDataFrame([("b", "c", 1.0)], "src string, dst string, w double")
+    out = gibbs(df, edges, "free", 300, 3, 0.0, -4.0, 0.0, 3).toPandas().pivot(index="draw", columns="t", values="x")
+    # x at 1 follows the fixed x at 0 with the sign turned, x at 2 the drawn one, x at 4 the fixed x at 3
+    assert (out[1] == -1).mean() > 0.99 and (out[2] == 1).mean() > 0.99 and (out[4] == -1).mean() > 0.99

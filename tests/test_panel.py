@@ -61,8 +61,8 @@ def test_last_row_and_last_value(spark):
 def test_fill_from_and_skeleton(spark):
     a = spark.createDataFrame([(1, None, None), (2, 5, None)], "k int, x int, y int")
     b = spark.createDataFrame([(1, 7, 8), (2, 7, 9), (3, 1, None)], "k int, x int, y int")
-    got = [tuple(r) for r in fill_from(a, b, ["k"], ["x", "y"], ("cdc", "bansal_fill")).orderBy("k").collect()]
-    assert got == [(1, 7, 8, "bansal_fill"), (2, 5, 9, "cdc"), (3, 1, None, "bansal_fill")]
+    got = [tuple(r) for r in fill_from(a, b, ["k"], ["x", "y"], ("first", "second")).orderBy("k").collect()]
+    assert got == [(1, 7, 8, "second"), (2, 5, 9, "first"), (3, 1, None, "second")]
     grid = skeleton(spark.createDataFrame([("u",)], "u string"), "2020-01-26", "2020-02-09")
     assert column(grid, "week_end", "week_end") == [D(2020, 1, 26), D(2020, 2, 2), D(2020, 2, 9)]
 
