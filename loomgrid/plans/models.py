@@ -13,6 +13,7 @@ from loomgrid.operators.graph import nearest
 from loomgrid.operators.metrics import masked_means, six_masks
 from loomgrid.operators.panel import time_index
 from loomgrid.operators.simulate import gibbs
+from loomgrid.operators.synthetic import confounded_panel
 from loomgrid.plans.graphs import fold_roles, gamma, steps_of
 from loomgrid.plans.problems import positions
 from loomgrid.plans.scores import BETA, ETA, S, XI, slots
@@ -97,5 +98,11 @@ def completed_panel(spark, folder):
     return complete(rows, near, steps_of(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (scalar_fit, low_rank_fit, nuclear_fit, panel_spectrum, draw_seeds, held_out_draws, counterfactual_draws, completed_panel)}
+def synthetic_panel(spark, folder):
+    """A confounded field and interventions over the areas of the binary panel and its weeks."""
+    units = cells(spark, folder).select("unit").distinct()
+    return confounded_panel(units, "unit", steps_of(spark, folder), [0.8, 0.5, 0.3, 0.2], shared=2, own=2, slope=0.15, seed=SEED)
+
+
+QUERIES = {f.__name__: f for f in (scalar_fit, low_rank_fit, nuclear_fit, panel_spectrum, draw_seeds, held_out_draws, counterfactual_draws, completed_panel, synthetic_panel)}
 ORACLES: dict[str, str] = {}

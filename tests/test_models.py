@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.operators.complete import anchors, predict
 from loomgrid.operators.fits import Slots, fit_low_rank, fit_nuclear, fit_scalars, seed_of, spectrum, unit_rows
+from loomgrid.operators.synthetic import confounded_panel
 from loomgrid.operators.simulate import colours, draw_block, gibbs
 
 RNG = np.random.default_rng(0)
@@ -123,3 +124,17 @@ def test_draws_are_carried_to_the_next_row(spark):
     out = gibbs(df, edges, "free", 300, 3, 0.0, -4.0, 0.0, 3).toPandas().pivot(index="draw", columns="t", values="x")
     # x at 1 follows the fixed x at 0 with the sign turned, x at 2 the drawn one, x at 4 the fixed x at 3
     assert (out[1] == -1).mean() > 0.99 and (out[2] == 1).mean() > 0.99 and (out[4] == -1).mean() > 0.99
+
+
+def test_confounded_panel(spark):
+    units = spark.createDataFrame([(f"u{i:03d}",) for i in range(80)], "unit string").repartition(3)
+    out = confounded_panel(units, "unit", 30, [0.8, 0.5, 0.3], shared=1, own=2, slope=0.3, seed=5).toPandas()
+    field = out.pivot(index="t", columns="unit", values="theta").to_numpy() / np.sqrt(30 * 80)
+    assert np.linalg.svd(field, compute_uv=False)[:4] == pytest.approx([0.8, 0.5, 0.3, 0.0], abs=1e-9)
+    score = out.pivot(index="t", columns="unit", values="chance").to_numpy() - 0.5
+    assert np.corrcoef(score.ravel(), field.ravel())[0, 1] > 0.5
+    assert set(out["z"]) == {-1, 1} and (out["z"] == 1)[out["chance"] > 0.8].mean() > 0.8
+    again = confounded_panel(units.repartition(1), "unit", 30, [0.8, 0.5, 0.3], shared=1, own=2, slope=0.3, seed=5).toPandas()
+    assert (again.set_index(["unit", "t"])["z"].sort_index() == out.set_index(["unit", "t"])["z"].sort_index()).all()
+    with pytest.raises(ValueError):
+        confounded_panel(units.limit(2), "unit", 30, [0.8, 0.5, 0.3], shared=1, own=2, slope=0.3, seed=5)
