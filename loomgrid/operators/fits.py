@@ -184,9 +184,10 @@ def fit_low_rank(slots: DataFrame, times: int, rank: int, ridge: float, column_m
     return dict(zip(FEATURES, map(float, scalars))) | {"loss": float(loss[0] / n), "objective": objective}, u, factors
 
 
-def fit_nuclear(slots: DataFrame, times: int, weight: float, steps: int = 10, mask: Column | None = None) -> dict:
+def fit_nuclear(slots: DataFrame, times: int, weight: float, steps: int = 10, mask: Column | None = None, rank: int | None = None) -> dict:
     """Accelerated proximal steps on a full field: gradients are local to a unit, and the singular values of the times x units field
-    are shrunk by way of its times x times Gram matrix, which is summed over the units.
+    are shrunk by way of its times x times Gram matrix, which is summed over the units. With a ``rank`` plain steps on the
+    fields of that rank instead: after each step the largest singular values stay as they are and the others vanish.
 
     The field's step is half of what its curvature allows and the scalars' a sixth, so that a joint step descends.
     """
@@ -215,15 +216,15 @@ def fit_nuclear(slots: DataFrame, times: int, weight: float, steps: int = 10, ma
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         sigma = np.sqrt(np.maximum(values, 0.0))
         before = shrunk
-        shrunk = np.maximum(sigma - rate * weight / np.sqrt(n), 0.0)
+        shrunk = np.maximum(sigma - rate * weight / np.sqrt(n), 0.0) if rank is None else np.where(np.arange(times) >= times - rank, sigma, 0.0)
         shrink = (vectors * np.where(sigma > 1e-12, shrunk / np.maximum(sigma, 1e-12), 0.0)) @ vectors.T
         stepped_scalars = y_scalars - gradient / np.maximum(6 * curvature, 1e-12)
         following = 0.5 * (1 + np.sqrt(1 + 4 * momentum**2))
-        pull = (momentum - 1) / following
+        pull = (momentum - 1) / following if rank is None else 0.0
         plan.append((shrink, y_scalars, pull))
         y_scalars = stepped_scalars + pull * (stepped_scalars - scalars)
         scalars, momentum = stepped_scalars, following
-        objective.append(float(loss[0] / n + weight * before.sum() / np.sqrt(n)))
+        objective.append(float(loss[0] / n + (weight * before.sum() / np.sqrt(n) if rank is None else 0.0)))
     return dict(zip(FEATURES, map(float, scalars))) | {"objective": objective, "singular_values": shrunk[::-1]}
 
 

@@ -45,6 +45,13 @@ def nuclear_fit(spark, folder):
     return spark.createDataFrame(rows, "kind string, place int, value double")
 
 
+def fixed_rank_fit(spark, folder):
+    """M4: the singular values and the course of the loss of a field of rank 2."""
+    fit = fit_nuclear(slots(spark, folder), steps_of(spark, folder), weight=0.0, steps=5, rank=2)
+    rows = [("singular_value", i + 1, float(v)) for i, v in enumerate(fit["singular_values"])] + [("loss", i + 1, float(v)) for i, v in enumerate(fit["objective"])]
+    return spark.createDataFrame(rows, "kind string, place int, value double")
+
+
 def panel_spectrum(spark, folder):
     """Singular values of the outcomes, their energy so far, and the ratio to the next."""
     values = spectrum(slots(spark, folder), steps_of(spark, folder))
@@ -104,5 +111,5 @@ def synthetic_panel(spark, folder):
     return confounded_panel(units, "unit", steps_of(spark, folder), [0.8, 0.5, 0.3, 0.2], shared=2, own=2, slope=0.15, seed=SEED)
 
 
-QUERIES = {f.__name__: f for f in (scalar_fit, low_rank_fit, nuclear_fit, panel_spectrum, draw_seeds, held_out_draws, counterfactual_draws, completed_panel, synthetic_panel)}
+QUERIES = {f.__name__: f for f in (scalar_fit, low_rank_fit, nuclear_fit, fixed_rank_fit, panel_spectrum, draw_seeds, held_out_draws, counterfactual_draws, completed_panel, synthetic_panel)}
 ORACLES: dict[str, str] = {}

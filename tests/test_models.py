@@ -57,6 +57,12 @@ def test_nuclear_descends(spark):
     assert (np.diff(fit["singular_values"]) <= 1e-9).all()
 
 
+def test_fixed_rank_descends(spark):
+    fit = fit_nuclear(panel(spark, units=30, times=10, field=1.0), 10, weight=0.0, steps=5, rank=2)
+    assert all(b <= a + 1e-9 for a, b in zip(fit["objective"], fit["objective"][1:]))
+    assert (fit["singular_values"][:2] > 0).all() and (fit["singular_values"][2:] == 0).all()
+
+
 def test_spectrum_equals_svd(spark):
     slots = panel(spark, units=20, times=8)
     dense = slots.toPandas().pivot(index="t", columns="unit", values="x").to_numpy()
