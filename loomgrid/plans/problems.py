@@ -17,7 +17,7 @@ from loomgrid.sources.tables import table
 CODE = area_code_sql("fips")
 DAILY = DAILY_SQL.format(code=CODE)
 RADIUS_M = 600.0
-SPHERE_RADIUS_M = 5_000.0
+SPHERE_RADIUS_M = 2_000.0
 
 
 # 1 Rolling totals
@@ -226,7 +226,7 @@ ORACLES = {
         WHERE centroid_lon IS NOT NULL AND centroid_lat IS NOT NULL AND {CODE} IS NOT NULL GROUP BY 1),
       met AS (SELECT a.code AS fips, b.code AS neighbor_fips, 2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2)
         + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) AS d FROM points a JOIN points b ON a.code < b.code)
-      SELECT fips, neighbor_fips, round(d, 3) AS metres FROM met WHERE d <= 5000""",
+      SELECT fips, neighbor_fips, round(d, 3) AS metres FROM met WHERE d <= 2000""",
     "p3_regions": f"""WITH {POSITIONS_SQL}, s AS (SELECT {CODE} AS code, state_name, centroid_x AS x, centroid_y AS y FROM us_county_centroids WHERE state_name IS NOT NULL AND {CODE} IS NOT NULL AND NOT isnan(centroid_x)
         AND NOT isnan(centroid_y) AND centroid_x IS NOT NULL AND centroid_y IS NOT NULL AND NOT (centroid_x = 0 AND centroid_y = 0)),
       d AS (SELECT state_name, (min(x) + max(x)) / 2 AS mx, (min(y) + max(y)) / 2 AS my, (max(x) - min(x)) / 2 AS hx, (max(y) - min(y)) / 2 AS hy FROM s GROUP BY 1)
