@@ -32,6 +32,7 @@ SLOTS_VIEW = f"""WITH {DIRECTED_VIEW}, {PANEL_VIEW},
    FROM panel p LEFT JOIN sums s ON s.src = p.unit AND s.t = p.t),
  scored AS (SELECT *, abs(h) + ln(1 + exp(-2 * abs(h))) - x * h AS loss, (1 + tanh(h)) / 2 AS p, (x + 1) / 2 AS y, t >= {S} AS post, z > 0 AS treated FROM slots)
 """
+SIX = [f"{a}_{b}" for a in ("test", "post_s") for b in ("all", "treated", "untreated")]
 SIX_SQL = " UNION ALL ".join(
     f"SELECT '{a}_{b}' AS mask, * FROM scored WHERE {m} AND {c}"
     for a, m in (("test", "test"), ("post_s", "test AND post"))
@@ -154,12 +155,14 @@ BASE_SQL = """ means AS (SELECT avg(x) FILTER (training) AS m FROM panel),
    FROM panel p JOIN times t ON t.t = p.t JOIN units u ON u.unit = p.unit)
 """
 SCORE = """, bins AS (SELECT {key}, least(floor(p * 10), 9) AS bin, count(*) AS n, sum(loss) AS loss, sum(pow(y - p, 2)) AS square, abs(sum(y) - sum(p)) AS gap FROM each GROUP BY ALL)
- SELECT {key}, CAST(sum(n) AS BIGINT) AS slots, round(sum(loss) / sum(n), {d}) AS loss, round(sum(square) / sum(n), {d}) AS brier, round(sum(gap) / sum(n), {d}) AS ece FROM bins GROUP BY ALL"""
+, totals AS (
+   SELECT {key}, CAST(sum(n) AS BIGINT) AS slots, round(sum(loss) / sum(n), {d}) AS loss, round(sum(square) / sum(n), {d}) AS brier, round(sum(gap) / sum(n), {d}) AS ece FROM bins GROUP BY ALL)
+ SELECT {key}, coalesce(slots, 0) AS slots, loss, brier, ece FROM (SELECT unnest({names}) AS {key}) LEFT JOIN totals USING ({key})"""
 _post = "CASE WHEN t >= 5 THEN x END"
 
 ORACLES = {
     "slot_losses": SLOTS_VIEW + "SELECT unit, t, round(h, 9) AS h, round(loss, 9) AS loss, round(p, 9) AS p FROM scored",
-    "test_scores": SLOTS_VIEW + f", each AS ({SIX_SQL})" + SCORE.format(key="mask", d=9),
+    "test_scores": SLOTS_VIEW + f", each AS ({SIX_SQL})" + SCORE.format(key="mask", d=9, names=SIX),
     "bucket_means": SLOTS_VIEW + f", each AS ({TWELVE_SQL}), names AS (SELECT unnest({[a + b for a in KINDS for b in ('', '_post_s')]}) AS mask) SELECT mask, count(x) AS slots, round(avg(x), 9) AS mean FROM names LEFT JOIN each USING (mask) GROUP BY 1",
     "gradient": SLOTS_VIEW + """SELECT round(avg((tanh(h) - x) * z) FILTER (training AND post), 9) AS beta, round(avg((tanh(h) - x) * neighbours) FILTER (training), 9) AS xi,
       round(avg((tanh(h) - x) * prev_x) FILTER (training), 9) AS eta FROM scored""",
@@ -172,7 +175,7 @@ ORACLES = {
       UNION ALL SELECT draw, 'unit', unit, NULL, round(avg(x), 9), round(avg({_post}), 9) FROM d GROUP BY 1, 3 UNION ALL SELECT draw, 'time', NULL, t, round(avg(x), 9), round(avg({_post}), 9) FROM d GROUP BY 1, 4""",
     "simple_predictors": f"WITH {PANEL_VIEW}, {BASE_SQL} SELECT unit, t, round(time_mean, 9) AS time_mean, round(unit_mean, 9) AS unit_mean, round(persistence, 9) AS persistence FROM base",
     "predictor_scores": SLOTS_VIEW + f", {BASE_SQL}, fields AS (" + " UNION ALL ".join(f"SELECT '{n}' AS predictor, unit, t, atanh(least(greatest({n}, 1e-6::DOUBLE - 1), 1 - 1e-6::DOUBLE)) AS h FROM base" for n in ("time_mean", "unit_mean", "persistence"))
-    + "), each AS (SELECT predictor, abs(f.h) + ln(1 + exp(-2 * abs(f.h))) - x * f.h AS loss, (1 + tanh(f.h)) / 2 AS p, y FROM scored s JOIN fields f ON f.unit = s.unit AND f.t = s.t WHERE test)" + SCORE.format(key="predictor", d=6),
+    + "), each AS (SELECT predictor, abs(f.h) + ln(1 + exp(-2 * abs(f.h))) - x * f.h AS loss, (1 + tanh(f.h)) / 2 AS p, y FROM scored s JOIN fields f ON f.unit = s.unit AND f.t = s.t WHERE test)" + SCORE.format(key="predictor", d=6, names=["time_mean", "unit_mean", "persistence"]),
     "treated_share": f"WITH {PANEL_VIEW} SELECT t, round(avg(CAST(z = 1 AS INTEGER)), 9) AS treated_share, round(avg(x), 9) AS time_mean, count(*) AS units FROM panel GROUP BY 1",
     "unit_order": f"WITH {PANEL_VIEW}, m AS (SELECT unit, round(avg(x), 9) AS unit_mean FROM panel GROUP BY 1) SELECT *, row_number() OVER (PARTITION BY left(unit, 2) ORDER BY unit_mean, unit) AS place FROM m",
     "split_matrices": f"""WITH {PANEL_VIEW} SELECT unit, t, CASE WHEN z > 0 THEN x END AS treated, CASE WHEN z <= 0 THEN x END AS untreated,
