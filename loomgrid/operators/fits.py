@@ -102,6 +102,8 @@ def summed(rows: DataFrame, work: Callable[[Slots], list[np.ndarray]]) -> list[n
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array([";".join(shapes)] * len(flat))], names=["i", "v", "shape"])
 
     got = rows.mapInArrow(run, "i int, v double, shape string").groupBy("i").agg(F.sum("v").alias("v"), F.first("shape").alias("shape")).toPandas().sort_values("i")
+    if got.empty:
+        raise ValueError("no slots")
     flat, out, at = got["v"].to_numpy(), [], 0
     for text in got["shape"].iloc[0].split(";"):
         shape = tuple(int(n) for n in text.split(",") if n)
@@ -245,7 +247,8 @@ def _field_gradient(s: Slots, y: np.ndarray, scalars: np.ndarray, n: float) -> n
 
 
 def spectrum(slots: DataFrame, times: int, value: str = "x") -> np.ndarray:
-    """Singular values, largest first, of the times x units matrix of values (0 where absent), from its Gram matrix."""
+    """Singular values, largest first, of the times x units matrix of values (0 where absent), from its Gram matrix. Fails
+    without slots."""
     rows = unit_rows(slots.withColumn("x", F.col(value).cast("double")), F.lit(True))
 
     def work(s: Slots) -> list[np.ndarray]:

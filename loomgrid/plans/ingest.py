@@ -182,11 +182,10 @@ def manifest_union(spark, folder):
 def plan_status(spark, folder):
     """Planned (experiment, source) requests against the results that exist, refreshed from them."""
     rows = table(spark, folder, "posterior_predictive_summary")
-    plan = rows.select("experiment_name", "source_name").distinct()
-    done = rows.where(F.col("output_path").isNotNull()).groupBy("experiment_name", "source_name")
-    done = done.agg(F.count(F.lit(1)).alias("results"), F.max("written_at").alias("last_written"))
-    out = plan.join(done, ["experiment_name", "source_name"], "left")
-    return out.withColumns({"status": F.when(F.col("results") > 0, "completed").otherwise("missing"), "results": F.coalesce("results", F.lit(0))})
+    out = rows.groupBy("experiment_name", "source_name").agg(
+        F.count("output_path").alias("results"), F.max(F.when(F.col("output_path").isNotNull(), F.col("written_at"))).alias("last_written")
+    )
+    return out.withColumn("status", F.when(F.col("results") > 0, "completed").otherwise("missing"))
 
 
 def coerced(spark, folder):

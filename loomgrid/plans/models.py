@@ -54,11 +54,14 @@ def fixed_rank_fit(spark, folder):
 
 def panel_spectrum(spark, folder):
     """Singular values of the outcomes, their energy so far, and the ratio to the next."""
-    values = spectrum(slots(spark, folder), steps_of(spark, folder))
+    rows, schema = slots(spark, folder), "place int, singular_value double, energy double, ratio double"
+    if rows.isEmpty():
+        return spark.createDataFrame([], schema)
+    values = spectrum(rows, steps_of(spark, folder))
     energy = np.cumsum(values**2) / max((values**2).sum(), 1e-300)
     ratio = np.append(values[:-1] / np.maximum(values[1:], 1e-12), np.nan)
     frame = pd.DataFrame({"place": np.arange(1, len(values) + 1), "singular_value": values, "energy": energy, "ratio": ratio})
-    return spark.createDataFrame(frame, "place int, singular_value double, energy double, ratio double")
+    return spark.createDataFrame(frame, schema)
 
 
 def draw_seeds(spark, folder):
