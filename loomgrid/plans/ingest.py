@@ -204,7 +204,7 @@ def csv_round_trip(spark, folder):
     people = population(spark, folder)
     people.write.option("compression", "gzip").csv(f"{base}/csv", header=True)
     write_table(people.withColumn("head", F.substring("fips", 1, 2)), f"{base}/parquet", ["head"])
-    again = spark.read.parquet(f"{base}/parquet").select(F.col("fips"), F.col("population").alias("p"))
+    again = spark.read.schema("fips string, population bigint, head string").parquet(f"{base}/parquet").select(F.col("fips"), F.col("population").alias("p"))
     text = read_text_table(spark, f"{base}/csv", "fips string, population bigint")
     return text.join(again.withColumn("fips", F.col("fips").cast("string")), "fips").where(F.col("population").eqNullSafe(F.col("p"))).select("fips", "population")
 

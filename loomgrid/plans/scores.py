@@ -182,5 +182,5 @@ ORACLES = {
       CASE WHEN t >= {S} THEN CASE WHEN z > 0 THEN x END ELSE CASE WHEN z <= 0 THEN x END END AS chosen FROM panel""",
     "completion_stats": f"""WITH {CELLS_VIEW}, r AS (SELECT *, avg(value) OVER (PARTITION BY unit) AS m FROM cells WHERE panel_key = 'x'), c AS (
         SELECT count(value) AS observed, count(CASE WHEN value IS NULL THEN 1 END) AS missing, count(CASE WHEN value IS NULL AND m IS NOT NULL THEN 1 END) AS completed, count(CASE WHEN value IS NULL AND m IS NULL THEN 1 END) AS failed FROM r)
-      SELECT *, round(completed / missing, 9) AS rate FROM c""",
+      SELECT *, CASE WHEN missing > 0 THEN round(completed / missing, 9) END AS rate FROM c""",
 }
