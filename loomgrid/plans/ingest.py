@@ -17,7 +17,7 @@ from loomgrid.session import shared_folder
 from loomgrid.sources.tables import read_text_table, table, write_table
 
 FIRST_WEEK, LAST_WEEK = "2020-01-26", "2022-05-15"  # fixed values: the calendar's first and last Sunday
-COMMON_LAST = "2020-06-14"
+COMMON_LAST = "2020-06-14"  # where the SQL of joined_panel ends; the query goes on
 
 
 def steps(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,11 +92,18 @@ def week_calendar(spark, folder):
     return days.select("week_end", F.date_sub("week_end", 6).alias("week_start"), iso_year(F.col("week_end")).alias("iso_year"), iso_week(F.col("week_end")).alias("iso_week"))
 
 
+def calendar_span(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """The first and last Sunday of the fixed calendar, or of the records where these begin earlier or end later."""
+    first, last = week_end(F.min("date")), week_end(F.max("date"))
+    span = table(spark, folder, "us_counties").agg(F.least(F.lit(FIRST_WEEK).cast("date"), first).alias("a"), F.greatest(F.lit(LAST_WEEK).cast("date"), last).alias("b")).first()
+    return str(span.a), str(span.b)
+
+
 def joined_panel(spark, folder):
-    """Areas known to all three tables, on every week of the calendar; absent weeks count as zero."""
+    """Areas known to all three tables, on every week of the calendar, which is longer where the records are; absent weeks count as zero."""
     codes = lambda name: table(spark, folder, name).select(area_code(F.col("fips")).alias("fips")).where("fips is not null").distinct()
     master = daily(spark, folder).select("fips").distinct().join(codes("node_geography"), "fips", "left_semi").join(codes("us_county_centroids"), "fips", "left_semi")
-    grid = skeleton(master, FIRST_WEEK, COMMON_LAST)
+    grid = skeleton(master, *calendar_span(spark, folder))
     outcomes = weeks(spark, folder).select("fips", "week_end", "new_cases", "new_deaths", "cases", "deaths")
     out = grid.join(outcomes, ["fips", "week_end"], "left").join(population(spark, folder), "fips", "left")
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("new_cases", "new_deaths")}
