@@ -101,10 +101,11 @@ def counterfactual_draws(spark, folder):
 
 
 def completed_panel(spark, folder):
-    """Outcomes that are not observed, from the nearest areas' series."""
-    near = nearest(positions(spark, folder), "code", "centroid_x", "centroid_y", 12).select(F.col("code").alias("unit"), "neighbor", "place")
+    """Outcomes that are not observed, from the series of the nearest areas that have one, else of any."""
     rows = cells(spark, folder).where("panel_key = 'x'")
-    rows = rows.join(time_index(rows, "week"), "week").select("unit", "t", "value")
+    rows = cut_lineage(rows.join(time_index(rows, "week"), "week").select("unit", "t", "value"))
+    held = rows.where(F.col("value").isNotNull()).select(F.col("unit").alias("code")).distinct()
+    near = nearest(positions(spark, folder).join(held, "code", "left_semi"), "code", "centroid_x", "centroid_y", 12).select(F.col("code").alias("unit"), "neighbor", "place")
     return complete(rows, near, steps_of(spark, folder))
 
 

@@ -5,8 +5,11 @@ import glob
 import os
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from loomgrid.operators.complete import complete
+from loomgrid.plans import models
 from loomgrid.plans.ingest import COMMON_LAST, JOINED_SQL, LAST_WEEK, joined_panel
 
 D = dt.date
@@ -44,3 +47,24 @@ def test_joined_panel_equals_its_sql_as_far_as_that_goes(spark, data):
     got = joined_panel(spark, data).where(F.col("week_end") <= COMMON_LAST).select(*rel.columns).collect()
     want = rel.fetchall()
     assert want and sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_completion_gives_every_slot(spark):
+    values = {u: [1, -1, 1, 1] for u in "bcdefghij"} | {"a": [1, -1, None, 1], "k": [-1, 1, -1, None], "none": [None] * 4}
+    df = spark.createDataFrame([(u, t, v) for u, s in values.items() for t, v in enumerate(s)], "unit string, t int, value int")
+    # a's only neighbour has no series, k has no neighbour at all
+    donors = spark.createDataFrame([("a", "none", 1)], "unit string, neighbor string, place int")
+    got = {(r.unit, r.t): (r.value, r.feasible) for r in complete(df, donors, 4, width=2).collect()}
+    assert set(got) == {("a", 2), ("k", 3), *(("none", t) for t in range(4))}
+    assert got["a", 2] == (pytest.approx(1.0), True) and got["k", 3][0] == pytest.approx(-1.0)
+    assert all(got["none", t] == (None, False) for t in range(4))
+    # the unit is seen at no time together with another
+    apart = spark.createDataFrame([("a", 0, 1), ("a", 1, None), ("b", 0, None), ("b", 1, 1)], "unit string, t int, value int")
+    assert {(r.unit, r.t, r.value, r.feasible) for r in complete(apart, donors, 2).collect()} == {("a", 1, None, False), ("b", 0, None, False)}
+
+
+def test_completed_panel_has_all_unobserved_cells(spark, data):
+    rows = models.cells(spark, data).where("panel_key = 'x'")
+    units, weeks, seen = rows.select("unit").distinct().count(), models.steps_of(spark, data), rows.where("value is not null").select("unit", "week").distinct().count()
+    got = models.completed_panel(spark, data)
+    assert got.count() == got.select("unit", "t").distinct().count() == units * weeks - seen
