@@ -44,11 +44,10 @@ def draw_block(slots: pd.DataFrame, edges: pd.DataFrame, draws: int, sweeps: int
         links[place[a]].append((place[b], w))
     near = [np.array([j for j, _ in link], int) for link in links]
     colour = colours(near)
-    most = max((len(link) for link in links), default=0)
-    index, weight = np.zeros((len(names), most), int), np.zeros((len(names), most))
-    for i, link in enumerate(links):
-        for k, (j, w) in enumerate(link):
-            index[i, k], weight[i, k] = j, xi * w
+    degree = np.array([len(link) for link in links], int)
+    first = np.cumsum(degree) - degree
+    index = np.concatenate([*near, np.zeros(0, int)])
+    weight = xi * np.array([w for link in links for _, w in link], float)
     order = np.lexsort((unit, slots["t"].to_numpy()))
     get = lambda c: slots[c].to_numpy()[order]
     t, unit, x, z, theta, prev, outside, free = get("t"), unit[order], get("x"), get("z"), get("theta"), get("prev_x"), get("outside"), get("free").astype(bool)
@@ -65,10 +64,13 @@ def draw_block(slots: pd.DataFrame, edges: pd.DataFrame, draws: int, sweeps: int
         inside = np.full(len(names), -1)
         inside[here] = np.arange(b - a)
         groups = [g for c in range(colour.max(initial=-1) + 1) if len(g := here[(colour[here] == c) & free[a:b]])]
+        terms = [_terms(first[g], degree[g]) for g in groups]
         for _ in range(sweeps):
             for k in rng.permutation(len(groups)):
-                g = groups[k]
-                h = fixed[:, inside[g]] + (current[:, index[g]] * weight[g]).sum(2)
+                g, (flat, starts, linked) = groups[k], terms[k]
+                h = fixed[:, inside[g]]
+                if len(starts):
+                    h[:, linked] += np.add.reduceat(current[:, index[flat]] * weight[flat], starts, axis=1)
                 current[:, g] = np.where(rng.random(h.shape) < 1 / (1 + np.exp(-2 * h)), 1.0, -1.0)
         drawn[:, a:b] = current[:, here]
         state[:, here] = current[:, here]
@@ -79,6 +81,13 @@ def draw_block(slots: pd.DataFrame, edges: pd.DataFrame, draws: int, sweeps: int
     })
 
 
+def _terms(first: np.ndarray, degree: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of all links of some units one after the other, where those of each unit with links start, and which units these are."""
+    starts = np.cumsum(degree) - degree
+    linked = np.flatnonzero(degree)
+    return np.arange(degree.sum()) + np.repeat(first - starts, degree), starts[linked], linked
+
+
 def _runs(t: np.ndarray) -> list[tuple[int, int]]:
     cuts = [0, *(np.flatnonzero(np.diff(t)) + 1).tolist(), len(t)]
     return list(zip(cuts[:-1], cuts[1:]))
@@ -112,3 +121,27 @@ def gibbs(panel: DataFrame, edges: DataFrame, free: str, draws: int, sweeps: int
 
     kind = panel.schema["unit"].dataType.simpleString()
     return placed.groupBy("block").cogroup(pairs.groupBy("link_block")).applyInPandas(work, f"draw int, unit {kind}, t int, x int")
+
+
+def gibbs_panels(panel: DataFrame, edges: DataFrame, draws: int, sweeps: int, beta: float, eta: float, xi: float, seed: int) -> DataFrame:
+    """(draw, unit, t, x) of whole panels: as ``gibbs`` with every slot free, on all edges between the panel's units.
+
+    With all slots free the blocks are the components of the units' graph, and a large one is to be expected. Draws are independent
+    of each other, so each draw of a block is a task of its own, which depends on the seed, the block and the draw only.
+    """
+    marked = panel.withColumn("prev_t", F.lag("t").over(Window.partitionBy("unit").orderBy("t")))
+    slots = cut_lineage(marked.select("unit", "t", "x", "z", "theta", "prev_x", "prev_t"))
+    units = slots.select("unit").distinct()
+    both = both_ways(edges).join(units.withColumnRenamed("unit", "src"), "src", "left_semi").join(units.withColumnRenamed("unit", "dst"), "dst", "left_semi")
+    both = cut_lineage(both)
+    labels = components(both)
+    each = F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))
+    placed = slots.join(labels.withColumnRenamed("node", "unit"), "unit", "left").withColumn("block", F.coalesce("component", "unit"))
+    placed = placed.select("block", "unit", "t", "x", "z", "theta", "prev_x", "prev_t", F.lit(0.0).alias("outside"), F.lit(True).alias("free"), each.alias("draw"))
+    pairs = both.join(labels.withColumnRenamed("node", "src"), "src").select(F.col("component").alias("link_block"), "src", "dst", "w", each.alias("link_draw"))
+
+    def work(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return draw_block(a, b, 1, sweeps, beta, eta, xi, seed_of(seed, *key)).assign(draw=key[1])
+
+    kind = panel.schema["unit"].dataType.simpleString()
+    return placed.groupBy("block", "draw").cogroup(pairs.groupBy("link_block", "link_draw")).applyInPandas(work, f"draw int, unit {kind}, t int, x int")

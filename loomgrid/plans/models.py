@@ -12,7 +12,7 @@ from loomgrid.operators.fits import fit_low_rank, fit_nuclear, fit_scalars, seed
 from loomgrid.operators.graph import nearest
 from loomgrid.operators.metrics import masked_means, six_masks
 from loomgrid.operators.panel import time_index
-from loomgrid.operators.simulate import gibbs
+from loomgrid.operators.simulate import gibbs, gibbs_panels
 from loomgrid.operators.synthetic import confounded_panel
 from loomgrid.plans.graphs import fold_roles, gamma, steps_of
 from loomgrid.plans.problems import positions
@@ -89,12 +89,12 @@ def held_out_draws(spark, folder):
 
 
 def counterfactual_draws(spark, folder):
-    """Panels drawn under all-on and never-on interventions inside states, time means and the treatment effect."""
-    rows = panel(spark, folder).withColumn("free", F.lit(True))
-    edges = gamma(spark, folder).where((F.col("src") < F.col("dst")) & (F.substring("src", 1, 2) == F.substring("dst", 1, 2)))
+    """Panels drawn under all-on and never-on interventions on the whole graph, time means and the treatment effect."""
+    rows = cut_lineage(panel(spark, folder))
+    edges = cut_lineage(gamma(spark, folder).where(F.col("src") < F.col("dst")))
     out = None
     for name, z in (("full_on_all_time", 1), ("full_on_no_time", -1)):
-        drawn = gibbs(rows.withColumn("z", F.lit(z)), edges, "free", DRAWS, SWEEPS, BETA, ETA, XI, SEED)
+        drawn = gibbs_panels(rows.withColumn("z", F.lit(z)), edges, DRAWS, SWEEPS, BETA, ETA, XI, SEED)
         means = drawn.groupBy("t").agg(F.avg("x").alias("mean"), F.count_distinct("draw").alias("draws")).withColumn("intervention", F.lit(name))
         out = means if out is None else out.unionByName(means)
     return out

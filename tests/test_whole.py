@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgrid.operators.complete import complete
+from loomgrid.operators.simulate import gibbs_panels
 from loomgrid.plans import models
 from loomgrid.plans.ingest import COMMON_LAST, JOINED_SQL, LAST_WEEK, joined_panel
 
@@ -68,3 +69,23 @@ def test_completed_panel_has_all_unobserved_cells(spark, data):
     units, weeks, seen = rows.select("unit").distinct().count(), models.steps_of(spark, data), rows.where("value is not null").select("unit", "week").distinct().count()
     got = models.completed_panel(spark, data)
     assert got.count() == got.select("unit", "t").distinct().count() == units * weeks - seen
+
+
+def test_panels_are_drawn_on_the_whole_graph(spark):
+    df = spark.createDataFrame([(u, t, 1, 0, 0.0, 1) for u in ("01001", "02001", "03001") for t in range(2)], "unit string, t int, x int, z int, theta double, prev_x int")
+    edges = spark.createDataFrame([("01001", "02001", 1.0), ("02001", "99999", 1.0)], "src string, dst string, w double")
+    out = gibbs_panels(df, edges, 300, 20, 0.0, 0.0, 0.8, 1).toPandas()
+    assert len(out) == 300 * 6 and not out.duplicated(["draw", "unit", "t"]).any()
+    wide = out.pivot(index=["draw", "t"], columns="unit", values="x")
+    # equal with 1 / (1 + exp(-1.6)) along the edge between states, and by chance without one
+    assert (wide["01001"] == wide["02001"]).mean() == pytest.approx(0.832, abs=0.06)
+    assert (wide["01001"] == wide["03001"]).mean() == pytest.approx(0.5, abs=0.08)
+
+
+def test_counterfactual_draws_take_edges_between_states(spark, monkeypatch):
+    taken = []
+    rows = [("01001", 0, 1, 1, 0.0, 1), ("02001", 0, 1, 1, 0.0, 1)]
+    monkeypatch.setattr(models, "panel", lambda *a: spark.createDataFrame(rows, "unit string, t int, x int, z int, theta double, prev_x int"))
+    monkeypatch.setattr(models, "gamma", lambda *a: spark.createDataFrame([("01001", "02001", 1.0), ("02001", "01001", 1.0)], "src string, dst string, w double"))
+    monkeypatch.setattr(models, "gibbs_panels", lambda panel, edges, *a: (taken.append(edges.count()), gibbs_panels(panel, edges, *a))[1])
+    assert models.counterfactual_draws(spark, "").count() == 2 and taken == [1, 1]
