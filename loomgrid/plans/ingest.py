@@ -13,7 +13,7 @@ from loomgrid.functions.scalars import iso_week, iso_year, number_or_infinity, p
 from loomgrid.operators.counties import daily_records
 from loomgrid.operators.panel import deltas, fill_from, increments, skeleton, weekly
 from loomgrid.plans.views import CODE, DAILY_VIEW, DAILY, daily, population
-from loomgrid.session import shared_folder
+from loomgrid.session import run_folder
 from loomgrid.sources.tables import read_text_table, table, write_table
 
 FIRST_WEEK, LAST_WEEK = "2020-01-26", "2022-05-15"  # fixed values: the calendar's first and last Sunday
@@ -207,7 +207,7 @@ def coerced(spark, folder):
 
 def csv_round_trip(spark, folder):
     """The population table written as gzipped CSV and as parquet in the checkpoint folder, and read again."""
-    base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    base = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     people = population(spark, folder)
     people.write.option("compression", "gzip").csv(f"{base}/csv", header=True)
     write_table(people.withColumn("head", F.substring("fips", 1, 2)), f"{base}/parquet", ["head"])
