@@ -44,9 +44,9 @@ def member(characters: str, points: np.ndarray) -> np.ndarray:
 
 
 class Lines:
-    """Of a batch of texts: per line its text, and counts of characters, words and sentence ends."""
+    """Of a batch of texts: per line its text, and counts of characters, words, common words of each language, and sentence ends."""
 
-    def __init__(self, texts: pa.Array, common: set[str]):
+    def __init__(self, texts: pa.Array, common: list[set[str]]):
         raw, plain, offsets = plain_text(texts)
         self.texts = len(texts)
         if not plain:
@@ -95,12 +95,15 @@ class Lines:
         begin, size = cuts[:-1][is_word], np.diff(cuts)[is_word]
         bounds = (cuts if at_byte is None else np.append(at_byte, len(raw))[cuts]).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.string(), len(cuts) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
-        known = pc.is_in(pc.utf8_lower(pieces.dictionary), value_set=pa.array(sorted(common), pa.string())).to_numpy(zero_copy_only=False)
+        lower, which = pc.utf8_lower(pieces.dictionary), pieces.indices.to_numpy()[is_word]
+        known = np.stack([pc.is_in(lower, value_set=pa.array(sorted(c), pa.string())).to_numpy(zero_copy_only=False) for c in common])
         word_line = line[begin]
         per_line = lambda at, w=None: np.bincount(at, w, self.n)[: self.n]
         self.words = per_line(word_line)
         self.word_letters = per_line(word_line, size)
-        self.common = per_line(word_line, known[pieces.indices.to_numpy()[is_word]].astype(np.float64)).astype(np.int64)
+        listed = np.flatnonzero(known.any(0)[which])  # most words are in no list
+        listed_line, listed = word_line[listed], which[listed]
+        self.common = np.stack([per_line(listed_line[k[listed]]) for k in known])
         humps = np.flatnonzero((kind[:-1] == LOWER) & (kind[1:] == UPPER))
         self.humps = per_line(line[humps])
         # sentence ends: an end sign, perhaps closers, then a blank, a break, the end, or (in scripts without blanks) a syllable
@@ -125,7 +128,8 @@ class Lines:
         return np.bincount(self.text, values, self.texts)
 
     def blocks(self) -> tuple[np.ndarray, np.ndarray]:
-        """Lines that could be running text, and the block of each: such lines in a row, blank ones between them allowed."""
+        """Lines that could be running text (mostly letters, hardly any signs), and the block of each: such lines in a row, blank
+        ones between them allowed."""
         inside = np.maximum(self.ink - self.leading, 1)
         texty = (self.letters >= 0.7 * inside) & (self.signs_inside <= 0.02 * inside) & (self.humps <= 0) & (self.digits <= 0.15 * inside) & (self.letters > 0)
         blank = self.ink == self.leading

@@ -58,11 +58,11 @@ def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
 # 8 Text quality
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     words = table(spark, folder, "common_words")
-    return natural_prose(table(spark, folder, "documents"), "doc_id", "text", "lang", words, "word").select("doc_id")
+    return natural_prose(table(spark, folder, "documents"), "doc_id", "text", "lang", words, "word", word_lang="lang").select("doc_id")
 
 
 def p8_quality(spark: SparkSession, folder: str) -> DataFrame:
-    return quality(table(spark, folder, "documents"), "doc_id", "text", "lang", table(spark, folder, "common_words"), "word")
+    return quality(table(spark, folder, "documents"), "doc_id", "text", "lang", table(spark, folder, "common_words"), "word", word_lang="lang")
 
 
 QUERIES = {

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomgrid.llm.bpe import Words, cut_words, gather, plain_text, vocabulary
 from loomgrid.llm.encode import TOKENIZERS, encode_corpus, text_offsets
 from loomgrid.llm.packing import OpenWindows, pack_sizes, pack_tokens
-from loomgrid.llm.quality import STATISTICS, natural_prose, quality, statistics, text_figures
+from loomgrid.llm.quality import BINS, STATISTICS, UNLISTED, natural_prose, quality, share_cuts, statistics, text_figures
 from loomgrid.llm.topn import latest_items, top_n_per_group
 
 FILE = f"{TOKENIZERS}/byte_bpe_50k.json"
@@ -148,6 +148,25 @@ def test_natural_prose(spark):
     assert natural_prose(df.limit(0), "doc_id", "text", "lang", words, "word").collect() == []
 
 
+def test_sketches_decide_what_is_a_sentence(spark):
+    rng = random.Random(4)
+    german = "Es zeigte sich dass der Eintrag vor dem Schluss geschrieben wurde. Die Kollegin meinte dass nichts anderes davon abhing. "
+    words = [(w, "en") for w in sorted(COMMON)] + [(w, "de") for w in ("es", "sich", "dass", "der", "vor", "dem", "die", "nichts", "davon")] + [(None, "en"), ("the ", None)]
+    names = lambda n: " ".join(rng.choice(["ledger", "census", "matrix", "sampler", "shard", "parser"]) for _ in range(n)) + ". "
+    only = lambda n: " ".join(rng.choice(sorted(COMMON)) for _ in range(n)) + ". "
+    rows = [(i, PROSE * 3, "en", True) for i in range(40)] + [(100 + i, german * 3, "ru", True) for i in range(40)]  # a wrong label doesn't matter
+    rows += [(200 + i, names(30), "en", False) for i in range(9)] + [(300 + i, only(30), "en", False) for i in range(9)] + [(400, (names(14) + "the ") * 3 + ".", "en", False)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string, prose boolean")
+    listed = spark.createDataFrame(words, "word string, lang string")
+    found = lambda **k: {r.doc_id for r in natural_prose(df, "doc_id", "text", "lang", listed, "word", word_lang="lang", **k).collect()}
+    assert found() == {r[0] for r in rows if r[3]}
+    assert found(cells=[UNLISTED, *range(4 * BINS)]) == {r[0] for r in rows}  # without the sketches
+    assert share_cuts(np.ones(BINS)) == (0, BINS - 1)
+    one = np.zeros(BINS)
+    one[[0, 9, 19]] = 1, 50, 1
+    assert share_cuts(one) == (5, 14)
+
+
 def test_quality_places(spark):
     df, words = documents(spark), spark.createDataFrame([(w,) for w in COMMON], "word string")
     rows = quality(df, "doc_id", "text", "lang", words, "word").collect()
