@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.operators.nearby import WIDER, points_once
+from loomgrid.operators.skew import CROWDED, copied, hot_keys, join_both, spread, spread_rows
 from loomgrid.session import cut_lineage
 
 TINY = 1e-12
@@ -58,9 +59,10 @@ def asymmetry(directed: DataFrame) -> DataFrame:
 
 def neighbour_sum(edges: DataFrame, panel: DataFrame, unit: str, t: str, value: str, name: str) -> DataFrame:
     """Adds ``name``: the weighted sum of the neighbours' values at the same time, 0 where there is none. ``edges`` in both
-    directions. A hub's terms are added up before the shuffle."""
+    directions. A hub's edges are spread over tasks, and its terms added up before the shuffle."""
     other = panel.select(F.col(unit).alias("dst"), t, F.col(value).alias("_v"))
-    sums = edges.join(other, "dst").groupBy(F.col("src").alias(unit), t).agg(F.sum(F.col("w") * F.col("_v")).alias(name))
+    links, other, key = spread(edges.select("src", "dst", "w"), other, ["dst"], "src")
+    sums = links.join(other, key).groupBy(F.col("src").alias(unit), t).agg(F.sum(F.col("w") * F.col("_v")).alias(name))
     return panel.join(sums, [unit, t], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
@@ -68,16 +70,22 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node of each connected component, nodes without edges excepted.
 
     Each round takes the smallest label among neighbours and then the label's own label, so the rounds grow with the
-    logarithm of the longest path; labels are written out each round.
+    logarithm of the longest path; labels are written out each round. The edges of a hub, and the nodes of a large
+    component, which share one label, are spread over tasks.
     """
     links = both_ways(edges.select("src", "dst", F.lit(1.0).alias("w"))).select("src", "dst").distinct()
     links = cut_lineage(links)
+    hubs = cut_lineage(hot_keys(links, ["dst"], "_parts"))
+    links = cut_lineage(spread_rows(links, hubs, ["dst"], "src"))
     labels = cut_lineage(links.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
+    few = labels.count() <= CROWDED  # then no label can be hot
     for _ in range(most_rounds):
-        least = links.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("seen"))
+        named = copied(labels.select(F.col("node").alias("dst"), "component"), hubs, ["dst"])
+        least = links.join(named, ["dst", "_salt"]).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("seen"))
         hooked = labels.join(least, "node", "left").select("node", F.least("component", F.coalesce("seen", "component")).alias("next"), "component")
         jump = hooked.select(F.col("node").alias("next"), F.col("next").alias("further"))
-        moved = hooked.join(jump, "next", "left").select("node", F.least("next", F.coalesce("further", "next")).alias("component"), F.col("component").alias("before"))
+        ends, jump, key = (hooked, jump, ["next"]) if few else spread(hooked, jump, ["next"], "node")
+        moved = ends.join(jump, key, "left").select("node", F.least("next", F.coalesce("further", "next")).alias("component"), F.col("component").alias("before"))
         moved = cut_lineage(moved)
         labels = moved.select("node", "component")
         if moved.where(F.col("component") != F.col("before")).isEmpty():
@@ -85,15 +93,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def nearest(points: DataFrame, key: str, x: str, y: str, k: int, most_rounds: int = 40) -> DataFrame:
+def nearest(points: DataFrame, key: str, x: str, y: str, k: int, crowded: int = CROWDED, most_rounds: int = 60) -> DataFrame:
     """The ``k`` nearest other keys of each key in the plane (all, if there are fewer), of equal distances the smaller keys:
     ``key``, ``neighbor``, ``distance``, ``place`` (1 to k).
 
-    Points look into the cells around them; who finds k neighbours no farther than a cell is wide is done, the others
-    go on with cells three times as wide. So crowded places are settled in small cells, and wide cells are
-    searched by the few remote points only.
+    Points look into the cells around them; who finds k neighbours no farther than a cell is wide is done, the others go on with cells three
+    times as wide. The first cells are so small that none holds more than ``crowded`` points, so crowded places are settled there, and wide
+    cells are searched by the few remote points only. Of points in one place only the first k + 1 can be neighbours. Cells that still
+    hold very many points or searchers are split.
     """
     once = cut_lineage(points_once(points, key, x, y))
+    first = F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))
+    targets = cut_lineage(once.withColumn("n", first).where(F.col("n") <= k + 1).select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy")))
     frame = once.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))]).first()
     spark = points.sparkSession
     kind = points.schema[key].dataType.simpleString()
@@ -101,17 +112,23 @@ def nearest(points: DataFrame, key: str, x: str, y: str, k: int, most_rounds: in
     if frame.n < 2:
         return found.select(F.col("id").alias(key), F.col("other").alias("neighbor"), "distance", "place")
     wide = max(frame.high_x - frame.low_x, frame.high_y - frame.low_y)
-    size = max(wide / max(frame.n, 1) ** 0.5 / 4, wide * 1e-6, 1e-9)
+    size = max(wide / frame.n**0.5, wide * 2.0**-30, 1e-9)
+    cell = lambda x, y, step: {"cx": F.floor(F.col(x) / step), "cy": F.floor(F.col(y) / step)}
+    while size > wide * 2.0**-30 and targets.withColumns(cell("ox", "oy", size * WIDER)).groupBy("cx", "cy").count().agg(F.max("count")).first()[0] > crowded:
+        size /= 8
     open_points = once
     order = Window.partitionBy("id").orderBy("distance", "other")
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     for _ in range(most_rounds):
         last = size > wide
         step = size * WIDER
-        cell = {"cx": F.floor(F.col("x") / step), "cy": F.floor(F.col("y") / step)}
-        around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-        probes = open_points.withColumns(cell).withColumn("o", around).select("id", "x", "y", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
-        targets = once.withColumns(cell).select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), "cx", "cy")
-        met = probes.join(targets, ["cx", "cy"]).where(F.col("id") != F.col("other"))
+        probes = open_points.withColumns(cell("x", "y", step)).withColumn("o", around).select("id", "x", "y", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+        placed = targets.withColumns(cell("ox", "oy", step))
+        if frame.n <= crowded:  # then no cell can be crowded
+            met = placed.join(probes, ["cx", "cy"])
+        else:
+            met = join_both(placed, probes, ["cx", "cy"], crowded, ("other", "id")).withColumnsRenamed({f"probe_{c}": c for c in ("id", "x", "y")})
+        met = met.where(F.col("id") != F.col("other"))
         met = met.withColumn("distance", F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2)))
         ranked = cut_lineage(met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("id", "other", "distance", "place"))
         far = ranked.groupBy("id").agg(F.max("place").alias("n"), F.max("distance").alias("d"))

@@ -1,8 +1,8 @@
 """Points near other points, and the regions that contain points.
 
 Points are hashed to grid cells a little wider than the radius, each point looks into its own and
-the neighbouring cells, and the exact distance (or the polygon) decides. Crowded cells are split:
-one side of the join is salted, the other copied once per salt.
+the neighbouring cells, and the exact distance (or the polygon) decides. Crowded cells are split
+before the join: either side is salted and copied once per salt of the other.
 """
 
 from __future__ import annotations
@@ -12,33 +12,24 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Cells with more points than this are split.
-CROWDED = 4096
+from loomgrid.operators.skew import CROWDED, join_both
+
 EARTH_RADIUS_M = 6_371_008.8
 #: Cells are wider than the radius by this factor, so that rounding can't push a neighbour two cells away.
 WIDER = 1.000001
+#: Cells from the origin up to which that holds.
+FARTHEST_CELL = 2.0**31
 
 
-def _finite(c: Column) -> Column:
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(1e15))
-
-
-def _join_in_cells(own: DataFrame, probes: DataFrame, cell: list[str], crowded: int) -> DataFrame:
-    """Join on the cell, crowded cells in salted parts. ``own`` and ``probes`` carry ``id``."""
-    hot = own.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded)
-    hot = hot.select(*cell, F.ceil(F.col("n") / crowded).cast("int").alias("parts"))
-    parts = F.coalesce(F.col("parts"), F.lit(1))
-    left = own.join(hot, cell, "left").withColumn("salt", F.pmod(F.xxhash64("id"), parts).cast("int")).drop("parts")
-    right = probes.join(hot, cell, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    right = right.select(*cell, "salt", *[F.col(c).alias(f"probe_{c}") for c in right.columns if c not in (*cell, "salt")])
-    return left.join(right, [*cell, "salt"])
+def _finite(c: Column, limit: float = math.inf) -> Column:
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(limit))
 
 
-def points_once(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """(id, x, y) of each key with a position; null keys, null, NaN and infinite positions are left
+def points_once(points: DataFrame, key: str, x: str, y: str, limit: float = math.inf) -> DataFrame:
+    """(id, x, y) of each key with a position; null keys, null, NaN and infinite positions (and those from ``limit`` on) are left
     out, of a key with several positions the smallest (x, y) counts."""
     seen = points.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    seen = seen.where(F.col("id").isNotNull() & _finite(F.col("x")) & _finite(F.col("y")))
+    seen = seen.where(F.col("id").isNotNull() & _finite(F.col("x"), limit) & _finite(F.col("y"), limit))
     return seen.groupBy("id").agg(F.min(F.struct("x", "y")).alias("at")).select("id", "at.x", "at.y")
 
 
@@ -47,10 +38,11 @@ def near_in_plane(points: DataFrame, key: str, x: str, y: str, radius: float, cr
     ``key``, ``neighbor``, ``distance``, with key < neighbor. An empty table gives no pairs.
 
     Each point probes half of the cells around it, the own one in id order, so that a pair is met
-    once. The number of pairs is that of the result; nothing else is paired.
+    once. The number of pairs is that of the result; nothing else is paired. A coordinate of FARTHEST_CELL
+    times the radius or more is no position.
     """
     size = radius * WIDER
-    once = points_once(points, key, x, y).withColumns(
+    once = points_once(points, key, x, y, size * FARTHEST_CELL).withColumns(
         {"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)}
     )
     half = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i, j in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))])
@@ -58,7 +50,7 @@ def near_in_plane(points: DataFrame, key: str, x: str, y: str, radius: float, cr
         "id", "x", "y", (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"),
         ((F.col("o.dx") == 0) & (F.col("o.dy") == 0)).alias("same"),
     )
-    met = _join_in_cells(once, probes, ["cx", "cy"], crowded)
+    met = join_both(once, probes, ["cx", "cy"], crowded)
     square = (F.col("x") - F.col("probe_x")) * (F.col("x") - F.col("probe_x")) + (F.col("y") - F.col("probe_y")) * (F.col("y") - F.col("probe_y"))
     met = met.where((~F.col("probe_same") | (F.col("probe_id") < F.col("id"))) & (square <= F.lit(float(radius) ** 2)))
     return met.select(
@@ -99,7 +91,7 @@ def near_on_sphere(points: DataFrame, key: str, lon: str, lat: str, radius: floa
     low, high = cell(F.col("x") - F.col("reach"), F.col("band")), cell(F.col("x") + F.col("reach"), F.col("band"))
     covered = F.transform(F.sequence(low, F.least(high, low + cells(F.col("band")) - 1)), lambda c: F.pmod(c, cells(F.col("band"))))
     probes = probes.withColumn("cell", F.explode(F.array_distinct(covered))).select("id", "x", "y", "band", "cell")
-    met = _join_in_cells(own, probes, ["band", "cell"], crowded).where(F.col("id") < F.col("probe_id"))
+    met = join_both(own, probes, ["band", "cell"], crowded).where(F.col("id") < F.col("probe_id"))
     met = met.withColumn("distance", great_circle(F.col("x"), F.col("y"), F.col("probe_x"), F.col("probe_y")))
     return met.where(F.col("distance") <= radius).select(F.col("id").alias(key), F.col("probe_id").alias("neighbor"), "distance")
 
@@ -123,14 +115,14 @@ def points_in_regions(
 ) -> DataFrame:
     """(key, region) of each point and polygon that holds it. Regions are laid over grid cells of
     ``size`` (chosen near the size of a small region), so a point meets only polygons whose box touches
-    its cell. A point may lie in several regions or none."""
-    once = points_once(points, key, x, y).withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
+    its cell. A point may lie in several regions or none; a coordinate of FARTHEST_CELL times ``size`` or more is no position."""
+    once = points_once(points, key, x, y, size * FARTHEST_CELL).withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
     shape = regions.where(F.size(ring) >= 3).select(F.col(region).alias("region_id"), F.col(ring).alias("ring"))
     box = lambda f, axis: F.floor(f(F.transform("ring", lambda p: p[axis])) / size)
     shape = shape.withColumn("cx", F.explode(F.sequence(box(F.array_min, "x"), box(F.array_max, "x"))))
     shape = shape.withColumn("cy", F.explode(F.sequence(box(F.array_min, "y"), box(F.array_max, "y"))))
     shape = shape.select("cx", "cy", F.col("region_id").alias("id"), "ring")
-    met = _join_in_cells(once, shape, ["cx", "cy"], crowded)
+    met = join_both(once, shape, ["cx", "cy"], crowded)
     return met.where(in_polygon(F.col("x"), F.col("y"), F.col("probe_ring"))).select(
         F.col("id").alias(key), F.col("probe_id").alias(region)
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions.latest import last_non_null
 from loomgrid.functions.scalars import iso_week, iso_year, week_end
+from loomgrid.operators.skew import numbered
 
 
 def increments(df: DataFrame, unit: str, day: str, columns: dict[str, str]) -> DataFrame:
@@ -68,17 +69,11 @@ def with_change(df: DataFrame, unit: list[str], time: str, value: str) -> DataFr
     return df.withColumn("changed", F.when(F.col(value).isNotNull() & before.isNotNull(), (F.col(value) != before).cast("double")))
 
 
-def dense_index(df: DataFrame, key: str, prefix: int = 5) -> DataFrame:
-    """Adds ``number``, the 0-based place of each distinct key in text order. Keys are numbered inside their prefix and
-    prefixes by a running count, so no task sees all keys (``prefix`` digits bound the number of prefixes)."""
-    head = F.substring(key, 1, prefix)
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_p", head)
-    counts = keys.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_p", before.alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1 + F.col("_before")
-    numbered = keys.join(starts, "_p").select(key, place.cast("int").alias("number"))
-    return df.join(numbered, key)
+def dense_index(df: DataFrame, key: str) -> DataFrame:
+    """Adds ``number``, the 0-based place of each distinct key in text order. Keys are numbered in ranges, so no task sees all of
+    them, however their first digits crowd."""
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
+    return df.join(numbered(keys, [], [F.asc(key)], "number").withColumn("number", F.col("number") - 1), key)
 
 
 def time_index(df: DataFrame, time: str, first: int = 0) -> DataFrame:

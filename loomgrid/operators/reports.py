@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgrid.operators.skew import numbered, spread
+
 #: Rank error of the sketch that narrows down where a quantile lies.
 SKETCH = 10_000
 
@@ -13,7 +15,7 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, at: dict[str, f
     """One row per group with the quantiles named in ``at`` (linear interpolation) of the non-null values; NaN must be made null before.
 
     Equal values are counted before anything else; a sketch tells between which values each quantile must lie, and only the
-    values between are ordered. So a group with a third of all rows isn't sorted in one task.
+    values between are ordered. So a group with a third of all rows isn't sorted in one task, nor gathered in one.
     """
     rows = df.where(F.col(value).isNotNull())
     counts = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("c"))
@@ -30,7 +32,8 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, at: dict[str, f
         for i, (name, q) in enumerate(at.items())
     ])
     frame = frame.withColumn("w", F.explode(wanted)).select(*group, "w.*")
-    met = counts.join(frame, group)
+    counts, frame, whole = spread(counts, frame, group, value)
+    met = counts.join(frame, whole)
     key = [*group, "name"]
     below = met.groupBy(*key).agg(F.sum(F.when(F.col(value) < F.col("low"), F.col("c")).otherwise(0)).alias("below"))
     inside = met.where((F.col(value) >= F.col("low")) & (F.col(value) <= F.col("high")))
@@ -123,19 +126,7 @@ def one_se_choice(candidates: DataFrame, group: str, first: str, second: str, pl
     return rows.groupBy(group).agg(kept).select(group, "_best.*")
 
 
-def ranks(df: DataFrame, group: str, score: str, order: list[Column], name: str, cuts: int = 64) -> DataFrame:
-    """Adds ``name``, the place of each row in its group by ``order``, which must begin with ``score`` ascending (null as infinity).
-
-    Rows are cut into ranges of the score, numbered inside their range and moved up by the rows of the ranges before, so a
-    group of any size is ordered by many tasks (rows of one score stay together).
-    """
-    infinite = F.coalesce(F.col(score), F.lit(float("inf")))
-    bounds = df.groupBy(group).agg(F.percentile_approx(infinite, [i / cuts for i in range(1, cuts)], 1000).alias("_cuts"))
-    bounds = bounds.withColumnRenamed(group, "_g")
-    keyed = df.join(bounds, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.coalesce(F.col(score), F.lit(float("inf")))))).drop("_g", "_cuts")
-    counts = keyed.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_before"))
-    placed = keyed.join(counts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
-    inside = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order))
-    return placed.withColumn(name, (inside + F.col("_before")).cast("int")).drop("_g", "_r", "_range", "_before")
+def ranks(df: DataFrame, group: str, score: str, order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``, the place of each row in its group by ``score`` (ascending, null as infinity) and then ``order``; a group of any size,
+    also one of equal scores, is ordered by many tasks."""
+    return numbered(df, [group], [F.asc_nulls_last(score), *order], name)

@@ -12,6 +12,7 @@ from loomgrid.functions.latest import latest_row
 from loomgrid.functions.scalars import iso_week, iso_year, number_or_infinity, per, slug, week_end, week_start_of
 from loomgrid.operators.counties import daily_records
 from loomgrid.operators.panel import deltas, fill_from, increments, skeleton, weekly
+from loomgrid.operators.skew import spread
 from loomgrid.plans.views import CODE, DAILY_VIEW, DAILY, daily, population
 from loomgrid.session import run_folder
 from loomgrid.sources.tables import read_text_table, table, write_table
@@ -175,7 +176,8 @@ def manifest_upsert(spark, folder):
     rows = table(spark, folder, "posterior_predictive_summary").select(*MANIFEST, "written_at")
     new = rows.where(F.col("written_at") >= F.lit(CUT).cast("timestamp_ntz")).drop("written_at")
     old = rows.where(F.col("written_at") < F.lit(CUT).cast("timestamp_ntz")).drop("written_at")
-    return old.join(new, "experiment_name", "left_anti").select(*MANIFEST).unionByName(new)
+    kept, named, key = spread(old, new.select("experiment_name").distinct(), ["experiment_name"], "row_id")
+    return kept.join(named, key, "left_anti").select(*MANIFEST).unionByName(new)
 
 
 def manifest_union(spark, folder):

@@ -200,8 +200,7 @@ def trial_warnings(spark, folder):
 def ranked_runs(spark, folder):
     """Place of every item in its experiment by score, worst and names, missing figures last; the first is best."""
     rows = items(spark, folder)
-    order = [F.asc_nulls_last("score"), F.asc_nulls_last("worst"), F.asc("run_name"), F.asc("source_name")]
-    out = ranks(rows, "experiment_name", "score", order, "place")
+    out = ranks(rows, "experiment_name", "score", [F.asc_nulls_last("worst"), F.asc("run_name"), F.asc("source_name")], "place")
     return out.select(*ITEM, "place", (F.col("place") == 1).alias("is_best"))
 
 
