@@ -113,7 +113,7 @@ def fill_category(
     hits = [F.count(F.when(F.col(value) == c, 1)) for c in classes]
     overall = rows.agg(F.struct(*[h.alias(f"c{i}") for i, h in enumerate(hits)]).alias("c")).scalar()
     times = rows.groupBy(F.col("_d").alias("_t")).agg(*[h.alias(f"t{i}") for i, h in enumerate(hits)])
-    joined = rows.join(times, F.col("_d") == F.col("_t"), "left").drop("_t")
+    joined = rows.join(F.broadcast(times), F.col("_d") == F.col("_t"), "left").drop("_t")  # the calendar bounds it
     total = lambda cs: sum(cs[1:], cs[0]) + float(k)
     all_counts = [overall[f"c{i}"] for i in range(k)]
     time_counts = [F.coalesce(F.col(f"t{i}"), F.lit(0)) for i in range(k)]

@@ -14,10 +14,11 @@ from loomgrid.operators.skew import numbered
 
 
 def increments(df: DataFrame, unit: str, day: str, columns: dict[str, str]) -> DataFrame:
-    """Cumulative figures to increments (``columns``: cumulative -> new name): the first is the figure itself, negative
-    ones become 0."""
-    w = Window.partitionBy(unit).orderBy(day)
-    return df.withColumns({new: F.greatest(F.lit(0), F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0))) for c, new in columns.items()})
+    """Cumulative figures to increments (``columns``: cumulative -> new name) against the last known figure: the first is the figure itself,
+    negative ones become 0, a missing figure has none (and what came in its time goes to the next known one)."""
+    before = Window.partitionBy(unit).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    step = lambda c: F.greatest(F.lit(0), F.col(c) - F.coalesce(F.last(c, ignorenulls=True).over(before), F.lit(0)))
+    return df.withColumns({new: F.when(F.col(c).isNotNull(), step(c)) for c, new in columns.items()})
 
 
 def deltas(df: DataFrame, unit: str, time: str, columns: list[str]) -> DataFrame:

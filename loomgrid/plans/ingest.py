@@ -18,7 +18,8 @@ from loomgrid.session import run_folder
 from loomgrid.sources.tables import read_text_table, table, write_table
 
 FIRST_WEEK, LAST_WEEK = "2020-01-26", "2022-05-15"  # fixed values: the calendar's first and last Sunday
-COMMON_LAST = "2020-06-14"  # where the SQL of joined_panel ends; the query goes on
+
+ZERO_FILLED = ["new_cases", "new_deaths", "cases", "deaths", "days", "case_rate", "death_rate"]
 
 
 def steps(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,35 +102,45 @@ def calendar_span(spark: SparkSession, folder: str) -> tuple[str, str]:
 
 
 def joined_panel(spark, folder):
-    """Areas known to all three tables, on every week of the calendar, which is longer where the records are; absent weeks count as zero."""
+    """Areas known to all three tables, on every week of the calendar, which is longer where the records are; in absent weeks the
+    seven figures of the records count as zero. Growth is against the week before."""
     codes = lambda name: table(spark, folder, name).select(area_code(F.col("fips")).alias("fips")).where("fips is not null").distinct()
     master = daily(spark, folder).select("fips").distinct().join(codes("node_geography"), "fips", "left_semi").join(codes("us_county_centroids"), "fips", "left_semi")
     grid = skeleton(master, *calendar_span(spark, folder))
-    outcomes = weeks(spark, folder).select("fips", "week_end", "new_cases", "new_deaths", "cases", "deaths")
+    outcomes = weeks(spark, folder).select("fips", "week_end", *ZERO_FILLED[:5], F.lit(True).alias("seen"))
     out = grid.join(outcomes, ["fips", "week_end"], "left").join(population(spark, folder), "fips", "left")
-    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("new_cases", "new_deaths")}
-    out = out.withColumns({**zero, "observed": F.col("cases").isNotNull()})
-    rate = F.coalesce(per(F.col("new_cases"), F.col("population"), 1e5), F.lit(0.0))
-    return out.select("fips", "week_end", "new_cases", "new_deaths", "cases", "deaths", "population", "observed", F.round(rate, 6).alias("case_rate"))
+    rates = {"case_rate": per(F.col("new_cases"), F.col("population"), 1e5), "death_rate": per(F.col("new_deaths"), F.col("population"), 1e5)}
+    out = out.withColumns(rates).withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ZERO_FILLED})
+    before = F.expr("lag(case_rate) OVER (PARTITION BY fips ORDER BY week_end)")
+    out = out.withColumn("prev_case_rate", before).withColumn("growth", F.when(F.col("prev_case_rate") > 0, F.col("case_rate") / F.col("prev_case_rate")))
+    rounded = [F.round(c, 6).alias(c) for c in ("case_rate", "death_rate", "prev_case_rate", "growth")]
+    return out.select("fips", "week_end", *ZERO_FILLED[:5], "population", F.coalesce("seen", F.lit(False)).alias("observed"), *rounded)
 
 
 JOINED_SQL = f"""WITH {DAILY_VIEW},
  master AS (
    SELECT DISTINCT fips FROM days WHERE fips IN (SELECT {CODE} FROM node_geography) AND fips IN (SELECT {CODE} FROM us_county_centroids)),
- calendar AS (SELECT CAST(unnest(generate_series(DATE '{FIRST_WEEK}'::TIMESTAMP, DATE '{COMMON_LAST}'::TIMESTAMP, INTERVAL 7 DAY)) AS DATE) AS week_end)
-SELECT m.fips, c.week_end, coalesce(w.new_cases, 0) AS new_cases, coalesce(w.new_deaths, 0) AS new_deaths, w.cases, w.deaths, p.population,
-  w.cases IS NOT NULL AS observed, round(coalesce(CASE WHEN p.population > 0 THEN coalesce(w.new_cases, 0) * 1e5::DOUBLE / p.population END, 0), 6) AS case_rate
-FROM master m CROSS JOIN calendar c LEFT JOIN weeks w ON w.fips = m.fips AND w.week_end = c.week_end LEFT JOIN people p ON p.fips = m.fips
+ span AS (
+   SELECT least(DATE '{FIRST_WEEK}', CAST(date_trunc('week', min(date)) + INTERVAL 6 DAY AS DATE)) AS a, greatest(DATE '{LAST_WEEK}', CAST(date_trunc('week', max(date)) + INTERVAL 6 DAY AS DATE)) AS b FROM us_counties),
+ calendar AS (SELECT CAST(unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 7 DAY)) AS DATE) AS week_end FROM span),
+ grid AS (
+   SELECT m.fips, c.week_end, coalesce(w.new_cases, 0) AS new_cases, coalesce(w.new_deaths, 0) AS new_deaths, coalesce(w.cases, 0) AS cases, coalesce(w.deaths, 0) AS deaths,
+     coalesce(w.days, 0) AS days, p.population, w.fips IS NOT NULL AS observed, coalesce(CASE WHEN p.population > 0 THEN w.new_cases * 1e5::DOUBLE / p.population END, 0) AS case_rate,
+     coalesce(CASE WHEN p.population > 0 THEN w.new_deaths * 1e5::DOUBLE / p.population END, 0) AS death_rate
+   FROM master m CROSS JOIN calendar c LEFT JOIN weeks w ON w.fips = m.fips AND w.week_end = c.week_end LEFT JOIN people p ON p.fips = m.fips),
+ grown AS (SELECT *, lag(case_rate) OVER (PARTITION BY fips ORDER BY week_end) AS prev_case_rate FROM grid)
+SELECT * EXCLUDE (case_rate, death_rate, prev_case_rate), round(case_rate, 6) AS case_rate, round(death_rate, 6) AS death_rate, round(prev_case_rate, 6) AS prev_case_rate,
+  round(CASE WHEN prev_case_rate > 0 THEN case_rate / prev_case_rate END, 6) AS growth FROM grown
 """
 
 
 def two_sources(spark, folder):
-    """Weekly figures per nation, from orders where they have them, else from line items by supplier."""
+    """Weekly figures per nation, from orders where there are any, else from line items by supplier (their dates go on for longer)."""
     nation = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation"))
-    orders = table(spark, folder, "orders").where(F.col("o_orderpriority") == "1-URGENT").join(nation, "o_custkey")
+    orders = table(spark, folder, "orders").join(nation, "o_custkey")
     a = orders.groupBy("nation", week_end(F.to_date("o_orderdate")).alias("week_end")).agg(F.count(F.lit(1)).alias("items"), F.round(F.sum("o_totalprice"), 2).alias("total"))
     seller = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation"))
-    lines = table(spark, folder, "lineitem").where(F.col("l_returnflag") == "R").join(seller, "l_suppkey")
+    lines = table(spark, folder, "lineitem").join(seller, "l_suppkey")
     b = lines.groupBy("nation", week_end(F.to_date("l_shipdate")).alias("week_end")).agg(F.count(F.lit(1)).alias("items"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
     filled = fill_from(a, b, ["nation", "week_end"], ["items", "total"], ("orders", "lineitem_fill"))
     return deltas(filled, "nation", "week_end", ["items"])
@@ -137,10 +148,10 @@ def two_sources(spark, folder):
 
 TWO_SOURCES_SQL = """WITH a AS (
    SELECT c_nationkey AS nation, CAST(date_trunc('week', o_orderdate) + INTERVAL 6 DAY AS DATE) AS week_end, count(*) AS items, round(sum(o_totalprice), 2) AS total
-   FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2),
+   FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),
  b AS (
    SELECT s_nationkey AS nation, CAST(date_trunc('week', l_shipdate) + INTERVAL 6 DAY AS DATE) AS week_end, count(*) AS items, round(sum(l_extendedprice), 2) AS total
-   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'R' GROUP BY 1, 2),
+   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2),
  f AS (
    SELECT coalesce(a.nation, b.nation) AS nation, coalesce(a.week_end, b.week_end) AS week_end, coalesce(a.items, b.items) AS items, coalesce(a.total, b.total) AS total,
      CASE WHEN a.items IS NOT NULL OR a.total IS NOT NULL THEN 'orders' ELSE 'lineitem_fill' END AS source
@@ -185,7 +196,8 @@ def manifest_union(spark, folder):
     rows = table(spark, folder, "posterior_predictive_summary")
     fits = rows.where(F.col("source_type") == "fit").select("row_id", "experiment_name", "latent_rank", "coverage_rate")
     truths = rows.where(F.col("source_type") == "truth").select("experiment_name", "row_id", "gibbs_sweeps", "output_path")
-    return fits.unionByName(truths, allowMissingColumns=True)
+    rest = rows.where(~F.coalesce(F.col("source_type").isin("fit", "truth"), F.lit(False))).select("row_id", "num_samples", "experiment_name")
+    return fits.unionByName(truths, allowMissingColumns=True).unionByName(rest, allowMissingColumns=True)
 
 
 def plan_status(spark, folder):
@@ -247,8 +259,9 @@ ORACLES = {
         count(CASE WHEN cases IS NULL OR cases < 0 THEN 1 END) AS bad_cases, min(date) AS first_day, max(date) AS last_day FROM r""",
     "manifest_upsert": f"""WITH n AS (SELECT {", ".join(MANIFEST)} FROM posterior_predictive_summary WHERE written_at >= TIMESTAMP '{CUT}')
       SELECT {", ".join(MANIFEST)} FROM posterior_predictive_summary WHERE written_at < TIMESTAMP '{CUT}' AND experiment_name NOT IN (SELECT experiment_name FROM n) UNION ALL SELECT * FROM n""",
-    "manifest_union": """SELECT row_id, experiment_name, latent_rank, coverage_rate, NULL AS gibbs_sweeps, NULL AS output_path FROM posterior_predictive_summary WHERE source_type = 'fit'
-      UNION ALL SELECT row_id, experiment_name, NULL, NULL, gibbs_sweeps, output_path FROM posterior_predictive_summary WHERE source_type = 'truth'""",
+    "manifest_union": """SELECT row_id, experiment_name, latent_rank, coverage_rate, NULL AS gibbs_sweeps, NULL AS output_path, NULL AS num_samples FROM posterior_predictive_summary WHERE source_type = 'fit'
+      UNION ALL SELECT row_id, experiment_name, NULL, NULL, gibbs_sweeps, output_path, NULL FROM posterior_predictive_summary WHERE source_type = 'truth'
+      UNION ALL SELECT row_id, experiment_name, NULL, NULL, NULL, NULL, num_samples FROM posterior_predictive_summary WHERE source_type IS NULL OR source_type NOT IN ('fit', 'truth')""",
     "plan_status": """SELECT experiment_name, source_name, count(output_path) AS results, max(CASE WHEN output_path IS NOT NULL THEN written_at END) AS last_written,
       CASE WHEN count(output_path) > 0 THEN 'completed' ELSE 'missing' END AS status FROM posterior_predictive_summary GROUP BY 1, 2""",
     "coerced": f"""SELECT row_id, try_cast({CODE} AS INTEGER) AS as_number, coalesce(try_cast({CODE} AS DOUBLE), 'inf'::DOUBLE) AS for_ranking, try_strptime(county, '%Y-%m-%d')::DATE AS as_date,

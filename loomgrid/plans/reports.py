@@ -71,12 +71,12 @@ def truth_calibration(spark, folder):
     rows = items(spark, folder)
     truth = rows.where("source_type = 'truth'").groupBy("experiment_name").agg(F.round(F.avg("score"), 6).alias("observed"))
     out = calibration(rows.where("source_type <> 'truth'"), truth, ["experiment_name"], "score", "observed")
-    return out.select("experiment_name", "observed", "n", *nine(["mean", "std"]), F.round(F.when(F.abs("z") < 1e9, F.col("z")), 6).alias("z"), *nine(["tail", "q025", "q500", "q975"]), "inside")
+    return out.select("experiment_name", "observed", "n", *nine(["mean", "std"]), F.round("z", 6).alias("z"), *nine(["tail", "q025", "q500", "q975"]), "inside")
 
 
 def calibration_summary(spark, folder):
     """Over all experiments the mean and greatest absolute z-score (finite ones) and the coverage rate."""
-    out = truth_calibration(spark, folder)
+    out = truth_calibration(spark, folder).withColumn("z", finite(F.col("z")))
     return out.agg(F.count("z").alias("n"), F.round(F.avg(F.abs("z")), 6).alias("mean_abs_z"), F.round(F.max(F.abs("z")), 6).alias("max_abs_z"), F.round(F.avg(F.col("inside").cast("int")), 6).alias("coverage_rate"))
 
 
@@ -84,7 +84,7 @@ CALIBRATION_SQL = f"""WITH {ITEMS_VIEW}, truth AS (SELECT experiment_name, round
  s AS (SELECT i.experiment_name, observed, score FROM items i JOIN truth t USING (experiment_name) WHERE source_type <> 'truth' AND score IS NOT NULL AND observed IS NOT NULL),
  g AS (SELECT experiment_name, observed, {SUMMARY_SQL}, avg(CAST(score <= observed AS INTEGER)) AS l, avg(CAST(score >= observed AS INTEGER)) AS r FROM s GROUP BY 1, 2),
  calibrated AS (
-   SELECT experiment_name, observed, n, round(mean, 9) AS mean, round(std, 9) AS std, round(CASE WHEN std < 1e-12 THEN CASE WHEN abs(observed - mean) < 1e-12 THEN 0 END ELSE (observed - mean) / std END, 6) AS z,
+   SELECT experiment_name, observed, n, round(mean, 9) AS mean, round(std, 9) AS std, round(CASE WHEN std < 1e-12 THEN CASE WHEN abs(observed - mean) < 1e-12 THEN 0 ELSE sign(observed - mean) * 'inf'::DOUBLE END ELSE (observed - mean) / std END, 6) AS z,
      round(least(1.0, 2 * least(l, r)), 9) AS tail, round(q025, 9) AS q025, round(q500, 9) AS q500, round(q975, 9) AS q975, observed BETWEEN q025 AND q975 AS inside FROM g)
 """
 
@@ -275,7 +275,7 @@ ORACLES = {
     "source_summary": f"""WITH {ITEMS_VIEW}, s AS (SELECT source_name, {SUMMARY_SQL} FROM items GROUP BY 1), m AS (SELECT quantile_cont(score, 0.5) AS m FROM items), g AS (SELECT *, abs(mean - m) AS gap FROM s, m)
       SELECT count(*) AS sources, round(avg(gap), 9) AS mae, round(sqrt(avg(gap * gap)), 9) AS rmse, round(max(gap), 9) AS max_error, round(avg(CAST(m BETWEEN q025 AND q975 AS INTEGER)), 9) AS covered FROM g""",
     "truth_calibration": CALIBRATION_SQL + "SELECT * FROM calibrated",
-    "calibration_summary": CALIBRATION_SQL + "SELECT count(z) AS n, round(avg(abs(z)), 6) AS mean_abs_z, round(max(abs(z)), 6) AS max_abs_z, round(avg(CAST(inside AS INTEGER)), 6) AS coverage_rate FROM calibrated",
+    "calibration_summary": CALIBRATION_SQL + "SELECT count(z) FILTER (isfinite(z)) AS n, round(avg(abs(z)) FILTER (isfinite(z)), 6) AS mean_abs_z, round(max(abs(z)) FILTER (isfinite(z)), 6) AS max_abs_z, round(avg(CAST(inside AS INTEGER)), 6) AS coverage_rate FROM calibrated",
     "truth_comparison": f"""WITH {ITEMS_VIEW}, t AS (SELECT experiment_name, run_name, max(score) AS truth FROM items WHERE source_type = 'truth' GROUP BY 1, 2 HAVING count(*) = 1),
       p AS (SELECT source_name, score AS a, truth AS b FROM items JOIN t USING (experiment_name, run_name) WHERE source_type <> 'truth' AND score IS NOT NULL AND truth IS NOT NULL) SELECT source_name, {ERRORS_SQL} FROM p GROUP BY 1""",
     "truth_self": f"WITH {ITEMS_VIEW}, p AS (SELECT experiment_name, score AS a, score AS b FROM items WHERE source_type = 'truth' AND score IS NOT NULL) SELECT experiment_name, {ERRORS_SQL} FROM p GROUP BY 1",

@@ -15,17 +15,17 @@ DAILY = DAILY_SQL.format(code=CODE)
 
 
 def daily(spark: SparkSession, folder: str) -> DataFrame:
-    """(fips, date, county, state, cases, deaths): daily records with both figures, neither negative."""
+    """(fips, date, county, state, cases, deaths): daily records; a negative figure is none, and a record without one keeps the other."""
     rows = daily_records(table(spark, folder, "us_counties"), ["county", "state", "cases", "deaths"])
-    rows = rows.where((F.col("cases") >= 0) & (F.col("deaths") >= 0))
-    return rows.withColumnRenamed("code", "fips")
+    return rows.withColumns({c: F.when(F.col(c) >= 0, F.col(c)) for c in ("cases", "deaths")}).withColumnRenamed("code", "fips")
 
 
 DAILY_VIEW = f"""{DAILY},
- days AS (SELECT code AS fips, date, county, state, cases, deaths FROM daily WHERE cases >= 0 AND deaths >= 0),
+ days AS (SELECT code AS fips, date, county, state, CASE WHEN cases >= 0 THEN cases END AS cases, CASE WHEN deaths >= 0 THEN deaths END AS deaths FROM daily),
  steps AS (
-   SELECT *, greatest(0, cases - coalesce(lag(cases) OVER w, 0)) AS new_cases, greatest(0, deaths - coalesce(lag(deaths) OVER w, 0)) AS new_deaths
-   FROM days WINDOW w AS (PARTITION BY fips ORDER BY date)),
+   SELECT *, CASE WHEN cases IS NOT NULL THEN greatest(0, cases - coalesce(last_value(cases IGNORE NULLS) OVER w, 0)) END AS new_cases,
+     CASE WHEN deaths IS NOT NULL THEN greatest(0, deaths - coalesce(last_value(deaths IGNORE NULLS) OVER w, 0)) END AS new_deaths
+   FROM days WINDOW w AS (PARTITION BY fips ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
  weeks AS (
    SELECT fips, isoyear(date) AS iso_year, week(date) AS iso_week, CAST(date_trunc('week', date) + INTERVAL 6 DAY AS DATE) AS week_end,
      CAST(sum(new_cases) AS BIGINT) AS new_cases, CAST(sum(new_deaths) AS BIGINT) AS new_deaths, max(cases) AS cases, max(deaths) AS deaths,
