@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions.codes import area_code, area_code_sql
 from loomgrid.operators.counties import DAILY_SQL, daily_records, rows_of_areas
-from loomgrid.operators.impute import fill_category, fill_numeric
+from loomgrid.operators.impute import MOST_CORRELATION, MOST_LOG, NEWTON_STEPS, NO_EFFECT, fill_category, fill_numeric
 from loomgrid.operators.nearby import near_in_plane, near_on_sphere, points_in_regions
 from loomgrid.operators.orphans import orphan_references, orphan_report
 from loomgrid.operators.rolling import rolling_totals
-from loomgrid.session import written_table
 from loomgrid.sources.tables import table
 
 CODE = area_code_sql("fips")
@@ -148,8 +147,7 @@ WITH refs AS (
 def filled_counties(spark: SparkSession, folder: str) -> DataFrame:
     daily = daily_records(table(spark, folder, "us_counties"), ["cases", "deaths"])
     counts = [F.when(F.col(c) >= 0, F.col(c)).alias(c) for c in ("cases", "deaths")]
-    daily = written_table(daily.select("code", "date", *counts))  # the model goes over it several times
-    return fill_numeric(daily, ["code"], "date", ["cases", "deaths"], 7)
+    return fill_numeric(daily.select("code", "date", *counts), ["code"], "date", ["cases", "deaths"], 7)
 
 
 def filled_cells(spark: SparkSession, folder: str) -> DataFrame:
@@ -199,6 +197,81 @@ SELECT 'realized_binary_artifact', a.area, strftime(a.week_end_date, '%Y-%m-%d')
    SELECT 1 FROM cells b WHERE b.area = a.area AND b.field = a.field AND b.v IS NOT NULL AND abs(b.week_end_date - a.week_end_date) <= 14)
 """
 
+
+
+def _ratio_sql(classes: str) -> str:
+    """Per field the ratio of variances within classes and of their effects, from the sums n, s, q of each class; 1e6 without an effect."""
+    return f"""(SELECT field, n_all, s_all, CASE WHEN n_all <= k OR k < 2 OR n_all * n_all <= n2 THEN {NO_EFFECT} WHEN among > 0 THEN greatest(inside / among, 0) ELSE {NO_EFFECT} END AS ratio FROM (
+      SELECT *, inside_sum / nullif(n_all - k, 0) AS inside, ((between_sum - s_all * s_all / n_all) / nullif(k - 1, 0) - inside_sum / nullif(n_all - k, 0)) * (k - 1) / nullif(n_all - n2 / n_all, 0) AS among FROM (
+        SELECT field, sum(n) AS n_all, count(*) AS k, sum(s) AS s_all, sum(q - s * s / n) AS inside_sum, sum(s * s / n) AS between_sum, sum(n * n) AS n2 FROM {classes} WHERE n > 0 GROUP BY field)))"""
+
+
+def _numeric_sql(reach: int) -> str:
+    """The mixed-effects fill step by step: effects of areas, of days, of areas again, of days again; then the residuals beside each gap."""
+    effect = lambda rows, key: f"SELECT field, {key}, CAST(count(*) AS DOUBLE) AS n, sum(r) AS s, sum(r * r) AS q FROM {rows} GROUP BY 1, 2"
+    return f"""
+ logs AS MATERIALIZED (SELECT code, date, field, ln(1 + greatest(v::DOUBLE, -0.999)) AS r FROM fields WHERE v IS NOT NULL),
+ g1 AS ({effect("logs", "code")}), m1 AS (SELECT field, s_all / n_all AS mean, ratio FROM {_ratio_sql("g1")}),
+ r1 AS MATERIALIZED (SELECT l.code, l.date, l.field, l.r - mean - (g.s - g.n * mean) / (g.n + ratio) AS r FROM logs l JOIN g1 g USING (code, field) JOIN m1 USING (field)),
+ d1 AS ({effect("r1", "date")}), b1 AS MATERIALIZED (SELECT d.date, d.field, s / (n + ratio) AS b FROM d1 d JOIN {_ratio_sql("d1")} USING (field)),
+ y2 AS MATERIALIZED (SELECT l.code, l.date, l.field, l.r - b AS r, b FROM logs l JOIN b1 USING (date, field)),
+ g2 AS MATERIALIZED ({effect("y2", "code")}), m2 AS MATERIALIZED (SELECT field, ratio FROM {_ratio_sql("g2")}),
+ r2 AS MATERIALIZED (SELECT y.code, y.date, y.field, y.r + y.b - mean - (g.s - g.n * mean) / (g.n + m2.ratio) AS r, b FROM y2 y JOIN g2 g USING (code, field) JOIN m1 USING (field) JOIN m2 USING (field)),
+ d2 AS ({effect("r2", "date")}), b2 AS MATERIALIZED (SELECT d.date, d.field, s / (n + ratio) AS b FROM d2 d JOIN {_ratio_sql("d2")} USING (field)),
+ steps AS (
+   SELECT field, r - b AS y, lag(r - b) OVER w AS x, date - lag(date) OVER w AS gap FROM r2 WINDOW w AS (PARTITION BY code, field ORDER BY date)),
+ tied AS MATERIALIZED (
+   SELECT field, coalesce(CASE WHEN sum(x * y) > 0 THEN pow(least(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), {MOST_CORRELATION}), count(*) / sum(gap)) END, 0) AS c
+   FROM steps WHERE gap <= {reach} GROUP BY 1),
+ g3 AS MATERIALIZED (SELECT l.code, l.field, count(*) AS n, sum(l.r - mean - b) AS s FROM logs l JOIN m1 USING (field) JOIN b2 USING (date, field) GROUP BY 1, 2),
+ fixed AS (
+   SELECT f.code, f.date, f.field, f.v, mean + coalesce(g.s / (g.n + m2.ratio), 0) + coalesce(b, 0) AS base, c, CASE WHEN v IS NOT NULL THEN ln(1 + greatest(v::DOUBLE, -0.999)) END AS y
+   FROM fields f JOIN m1 USING (field) JOIN m2 USING (field) LEFT JOIN tied USING (field) LEFT JOIN g3 g USING (code, field) LEFT JOIN b2 ON b2.date = f.date AND b2.field = f.field),
+ beside AS (
+   SELECT *, last_value(y - base IGNORE NULLS) OVER p AS ra, date - last_value(CASE WHEN v IS NOT NULL THEN date END IGNORE NULLS) OVER p AS da,
+     first_value(y - base IGNORE NULLS) OVER f AS rb, first_value(CASE WHEN v IS NOT NULL THEN date END IGNORE NULLS) OVER f - date AS db FROM fixed
+   WINDOW p AS (PARTITION BY code, field ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY code, field ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+ weighed AS (SELECT *, coalesce(pow(c, da), 0) AS wa, coalesce(pow(c, db), 0) AS wb, v IS NULL AND coalesce(da <= {reach} OR db <= {reach}, da <= {reach}, db <= {reach}, false) AS filled FROM beside),
+ numeric AS (
+   SELECT code AS fips, date AS day, field, filled, CASE WHEN filled THEN greatest(floor(exp(least(
+     base + (wa * (1 - wb * wb) * coalesce(ra, 0) + wb * (1 - wa * wa) * coalesce(rb, 0)) / greatest(1 - wa * wa * wb * wb, 1e-300), {MOST_LOG})) - 1 + 0.5), 0) ELSE v END AS value FROM weighed)"""
+
+
+def _logit_sql(reach: int) -> str:
+    """The logit of class 1 against -1 on the differences of three log shares, by Newton steps with a 3 x 3 system solved by determinants."""
+    share = lambda n, own, a: f"ln({n}p - {own}p + {a}) - ln({n}m - {own}m + {a})"
+    det = lambda a, b, c: f"({a}1 * ({b}2 * {c}3 - {b}3 * {c}2) - {a}2 * ({b}1 * {c}3 - {b}3 * {c}1) + {a}3 * ({b}1 * {c}2 - {b}2 * {c}1))"
+    steps = ["w0 AS (SELECT 0::DOUBLE AS w1, 0::DOUBLE AS w2, 0::DOUBLE AS w3)"]
+    for i in range(NEWTON_STEPS):
+        sums = ", ".join([f"coalesce(sum((y - p) * x{a}), 0) - any_value(w{a}) AS g{a}" for a in (1, 2, 3)] + [f"coalesce(sum(p * (1 - p) * x{a} * x{b}), 0) + {int(a == b)} AS h{a}{b}" for a in (1, 2, 3) for b in (1, 2, 3)])
+        rows = [", ".join(f"h{a}{b} AS {r}{b}" for b in (1, 2, 3)) for a, r in ((1, "a"), (2, "b"), (3, "c"))]
+        solved = []
+        for a in (1, 2, 3):  # Cramer: column a replaced by the gradient
+            cell = lambda r, b, a=a: f"g{'abc'.index(r) + 1}" if a == b else f"{r}{b}"
+            top = f"({cell('a', 1)} * ({cell('b', 2)} * {cell('c', 3)} - {cell('b', 3)} * {cell('c', 2)}) - {cell('a', 2)} * ({cell('b', 1)} * {cell('c', 3)} - {cell('b', 3)} * {cell('c', 1)}) + {cell('a', 3)} * ({cell('b', 1)} * {cell('c', 2)} - {cell('b', 2)} * {cell('c', 1)}))"
+            solved.append(f"w{a} + {top} / {det('a', 'b', 'c')} AS w{a}")
+        steps.append(f"s{i} AS MATERIALIZED (SELECT {sums} FROM (SELECT *, 1 / (1 + exp(-(w1 * x1 + w2 * x2 + w3 * x3))) AS p FROM shares, w{i} WHERE y IS NOT NULL AND near > 0))")
+        steps.append(f"w{i + 1} AS MATERIALIZED (SELECT {', '.join(solved)} FROM w{i}, (SELECT *, {', '.join(rows)} FROM s{i}))")
+    return f"""
+ counted AS (
+   SELECT field, area, week_end_date, v, coalesce(v = 1, false)::INT AS op, coalesce(v = -1, false)::INT AS om, count(*) FILTER (v = 1) OVER g AS gp, count(*) FILTER (v = -1) OVER g AS gm,
+     count(*) FILTER (v = 1) OVER t AS tp, count(*) FILTER (v = -1) OVER t AS tm, count(*) FILTER (v = 1) OVER l AS np, count(*) FILTER (v = -1) OVER l AS nm FROM cells
+   WINDOW g AS (PARTITION BY field, area), t AS (PARTITION BY week_end_date),
+     l AS (PARTITION BY field, area ORDER BY week_end_date RANGE BETWEEN INTERVAL {reach} DAY PRECEDING AND INTERVAL {reach} DAY FOLLOWING)),
+ shares AS MATERIALIZED (
+   SELECT field, area, week_end_date, v, (v + 1) / 2 AS y, {share("g", "o", "1.0::DOUBLE")} AS x1, {share("t", "o", "1.0::DOUBLE")} AS x2, {share("n", "o", "0.5::DOUBLE")} AS x3, np + nm - op - om AS near FROM counted),
+ {", ".join(steps)},
+ category AS (
+   SELECT area AS fips, week_end_date AS day, field, v IS NULL AND near > 0 AS filled, CASE WHEN v IS NULL AND near > 0 THEN CASE WHEN w1 * x1 + w2 * x2 + w3 * x3 > 0 THEN 1 ELSE -1 END ELSE v END AS value
+   FROM shares, w{NEWTON_STEPS})"""
+
+
+P5_VIEWS = P5_SQL[: P5_SQL.index("SELECT 'us_counties' AS table_name")]
+P5_FILLED_SQL = P5_VIEWS.rstrip() + "," + _numeric_sql(7) + "," + _logit_sql(14) + """
+SELECT 'us_counties' AS table_name, fips, strftime(day, '%Y-%m-%d') AS day, field, value::DOUBLE AS value, filled FROM numeric
+UNION ALL SELECT 'realized_binary_artifact', fips, strftime(day, '%Y-%m-%d'), field, value::DOUBLE, filled FROM category
+"""
+
 POSITIONS_SQL = f"""
  points AS (
    SELECT {CODE} AS code, any_value(centroid_x) AS x, any_value(centroid_y) AS y, any_value(centroid_lon) AS lon, any_value(centroid_lat) AS lat, any_value(state_name) AS state_name
@@ -234,4 +307,5 @@ ORACLES = {
     "p4_found": P4_SQL + "SELECT * FROM missed",
     "p4_report": P4_SQL + "SELECT table_name, ref_field, kind, period, count(*) AS misses FROM missed GROUP BY ALL",
     "p5_found": P5_SQL,
+    "p5_filled": P5_FILLED_SQL,
 }
