@@ -77,24 +77,25 @@ def rolling_totals(
     value: str,
     windows: tuple[int, ...] = (7, 30),
     tile_days: int = 128,
-    spans: DataFrame | None = None,
 ) -> DataFrame:
     """Of each entity and calendar day from its first to its last record: ``day_index`` (days since
     the first), ``total_<w>`` (bigint) and ``average_<w>`` (total / w, also where fewer than w days
     have passed) of the trailing ``w`` days.
 
-    ``daily`` has one row per entity and day; several rows of a day are added up. A null value
-    counts as 0 but its day as a record; rows with a null entity or day are left out. An empty
-    table gives no rows. Other columns of ``daily`` are ignored. ``spans`` (entity, first_day,
-    last_day) may be given where it can be had more cheaply than from ``daily``.
+    Several rows of an entity and day are added up, before they are shuffled (beyond 64 bits the nearest 64-bit number). A null
+    value counts as 0 but its day as a record; rows with a null entity or day are left out. An empty table gives no rows. Other
+    columns of ``daily`` are ignored.
     """
     halo = max(windows) - 1
-    number = F.unix_date(F.col(day))
     known = daily.where(F.col(entity).isNotNull() & F.col(day).isNotNull())
-    if spans is None:
-        spans = known.groupBy(F.col(entity)).agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"))
+    v = F.col(value).cast("long")
+    beyond = F.when(F.sum(v.cast("double")) > 0, F.lit(2**63 - 1)).otherwise(F.lit(-(2**63)))
+    total = F.coalesce(F.try_sum(v), F.when(F.count(v) > 0, beyond), F.lit(0))
+    once = known.groupBy(F.col(entity).alias("e"), F.col(day).alias("day")).agg(total.alias("v"))
+    # the sum keeps v in this branch, so that both branches read one exchange
+    spans = once.groupBy("e").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.sum(F.signum("v")).alias("days_above_zero"))
     tile_of = lambda d: F.floor(d / tile_days).cast("int")
-    records = known.select(F.col(entity).alias("e"), number.alias("d"), F.coalesce(F.col(value), F.lit(0)).cast("long").alias("v"))
+    records = once.select("e", F.unix_date("day").alias("d"), "v")
     records = records.select(
         "e",
         F.explode(F.sequence(tile_of(F.col("d")), tile_of(F.col("d") + halo))).alias("tile"),
@@ -103,12 +104,12 @@ def rolling_totals(
         F.lit(None).cast("int").alias("first"),
         F.lit(None).cast("int").alias("last"),
     )
-    frame = spans.select(F.col(entity).alias("e"), F.unix_date("first_day").alias("first"), F.unix_date("last_day").alias("last"))
+    frame = spans.select("e", F.unix_date("first_day").alias("first"), F.unix_date("last_day").alias("last"), F.col("days_above_zero").cast("long").alias("v"))
     frame = frame.select(
         "e",
         F.explode(F.sequence(tile_of(F.col("first")), tile_of(F.col("last")))).alias("tile"),
         F.lit(None).cast("int").alias("d"),
-        F.lit(0).cast("long").alias("v"),
+        "v",
         "first",
         "last",
     )

@@ -21,11 +21,8 @@ SPHERE_RADIUS_M = 2_000.0
 
 # 1 Rolling totals
 def rolling(spark: SparkSession, folder: str) -> DataFrame:
-    counties = table(spark, folder, "us_counties")
-    daily = daily_records(counties, ["new_cases"]).withColumn("new_cases", F.greatest("new_cases", F.lit(0)))
-    spans = rows_of_areas(counties).where(F.col("date").isNotNull()).groupBy("code")
-    spans = spans.agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"))
-    return rolling_totals(daily, "code", "date", "new_cases", (7, 30), spans=spans)
+    daily = daily_records(table(spark, folder, "us_counties"), ["new_cases"]).withColumn("new_cases", F.greatest("new_cases", F.lit(0)))
+    return rolling_totals(daily, "code", "date", "new_cases", (7, 30))
 
 
 def p1_windows(spark: SparkSession, folder: str) -> DataFrame:

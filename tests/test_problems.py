@@ -5,13 +5,14 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loomgrid.functions.codes import area_code
 from loomgrid.operators.impute import fill_category, fill_numeric
 from loomgrid.operators.nearby import great_circle, in_polygon, near_in_plane, near_on_sphere, points_in_regions
-from loomgrid.operators.orphans import orphan_references, orphan_report
+from loomgrid.operators.orphans import coded, orphan_references, orphan_report
 from loomgrid.operators.rolling import banded, rolling_totals, window_totals
 
 DAY = dt.date(2020, 1, 1)
@@ -56,6 +57,13 @@ def test_rolling_totals(spark, tile_days):
     assert got == want
 
 
+def test_rolling_totals_of_repeated_days(spark):
+    rows = [("a", DAY, 2**62)] * 3 + [("a", DAY + dt.timedelta(1), None)] * 2 + [("b", DAY, -(2**62))] * 3 + [("c", DAY, 1)] * 500
+    df = spark.createDataFrame(rows, "e string, day date, v long")
+    out = {(r.e, r.day_index): r.total_7 for r in rolling_totals(df, "e", "day", "v").collect()}
+    assert out == {("a", 0): 2**63 - 1, ("a", 1): 2**63 - 1, ("b", 0): -(2**63), ("c", 0): 500}
+
+
 def test_rolling_totals_empty(spark):
     df = spark.createDataFrame([], "e string, date date, v long")
     assert rolling_totals(df, "e", "date", "v").collect() == []
@@ -130,6 +138,20 @@ def test_orphans(spark, hot_share):
     assert sum(r.misses for r in report) == len(want)
 
 
+def test_keys_as_bytes():
+    keys = ["a", "a\0", "a\0\0", "", "é", "x" * 48, "x" * 49, "x" * 100_000, "x" * 99_999 + "y", "a"]
+    bytes_ = coded(pa.array(keys))
+    assert [[i == j for j in bytes_] for i in bytes_] == [[i == j for j in keys] for i in keys]
+    assert len(coded(pa.array([], pa.string()))) == 0 and coded(pa.array(keys)[2:4]).tolist() == bytes_[2:4].tolist()
+
+
+def test_long_keys(spark):
+    names = ["k" * 200 + str(i) for i in range(5)] + ["", "k"]
+    left = spark.createDataFrame([("t", i, "f", k, T) for i, k in enumerate(names)], "table_name string, row_id long, ref_field string, key string, at timestamp_ntz")
+    right = spark.createDataFrame([(k, None, at(-1) if i == 1 else None) for i, k in enumerate(names[:3])] + [("", at(1), None)], "key string, created_at timestamp_ntz, deleted_at timestamp_ntz")
+    assert {r.row_id: r.kind for r in orphan_references(left, right).collect()} == {1: "deleted", 3: "missing", 4: "missing", 5: "late", 6: "missing"}
+
+
 def test_orphans_empty(spark):
     left = spark.createDataFrame([("t", 1, "f", "a", T)], "table_name string, row_id long, ref_field string, key string, at timestamp_ntz")
     right = spark.createDataFrame([], "key string, created_at timestamp_ntz, deleted_at timestamp_ntz")
