@@ -1,9 +1,10 @@
 """Byte-level BPE over the distinct words of a partition, by a pair occurrence index.
 
 Words are cut from whole batches of text with array operations, equal words are kept once, and the
-merges are applied to all of them together: every pair of adjacent tokens is listed under its rank,
-ranks are worked off in ascending order (in bands of neighbouring ranks; inside a band each word
-takes its lowest rank first), and only the lists of the pairs beside a merge are updated.
+merges are applied to all of them together: every pair of adjacent tokens is listed under its rank with all
+its positions, active ranks are worked off in ascending order, and only the lists of the pairs beside a merge are updated.
+Lists of neighbouring ranks are kept together in bands, inside which each word takes its lowest rank first; words don't touch
+each other, so the result is that of one list per rank (``bands=None``), with fewer and longer array operations.
 """
 
 from __future__ import annotations
@@ -20,11 +21,6 @@ BANDS = 96
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 
 
-@lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
-
-
 @lru_cache(maxsize=1)
 def char_classes() -> np.ndarray:
     """White space, letter, number or other, of every code point."""
@@ -51,19 +47,28 @@ class Vocabulary:
         left = np.array([ids[a] for a, _ in pairs], np.int64)
         right = np.array([ids[b] for _, b in pairs], np.int64)
         self.merged = np.array([ids[a + b] for a, b in pairs], np.int32)
-        key = left * 65536 + right
+        self.size = max(ids.values()) + 1  # keys of pairs can't collide, however many ids there are
+        spelled = {i: t for t, i in ids.items()}
+        of_char = {c: b for b, c in shown.items()}
+        self.spelled = [bytes(of_char[c] for c in spelled[i]) if i in spelled and all(c in of_char for c in spelled[i]) else b"" for i in range(self.size)]
+        key = left * self.size + right
         order = np.argsort(key)
         self.keys, self.ranks = key[order], order.astype(np.int32)
-        byte = np.arange(256)
         self.byte_pairs = self.rank(np.repeat(self.of_byte, 256), np.tile(self.of_byte, 256)).reshape(256, 256)
-        assert len(byte) == 256
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left.astype(np.int64) * 65536 + right
+        key = left.astype(np.int64) * self.size + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NONE)
 
-    def encode_words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def edges(self, ranks: np.ndarray, bands: int | None) -> np.ndarray:
+        """The first rank of each list: of every rank, or of about 1.5 times ``bands`` bands, half of them by how often ranks occur."""
+        if bands is None:
+            return np.arange(len(self.keys) + 2)
+        spread = np.quantile(ranks, np.linspace(0, 1, bands), method="nearest") if len(ranks) else []
+        return np.unique(np.concatenate([[0], spread, np.linspace(0, len(self.keys), bands // 2), [len(self.keys) + 1]]).astype(np.int64))
+
+    def encode_words(self, data: np.ndarray, offsets: np.ndarray, bands: int | None = BANDS) -> tuple[np.ndarray, np.ndarray]:
         """Of words (bytes and n + 1 offsets, no empty word): all token ids, and n + 1 offsets into them."""
         n = len(data)
         count = len(offsets) - 1
@@ -81,8 +86,7 @@ class Vocabulary:
         dead = np.zeros(n, bool)
         listed = np.flatnonzero(rank < NONE).astype(np.int32)
         first = rank[listed]
-        spread = np.quantile(first, np.linspace(0, 1, BANDS), method="nearest") if len(first) else []
-        edges = np.unique(np.concatenate([[0], spread, np.linspace(0, len(self.keys), BANDS // 2), [len(self.keys) + 1]]).astype(np.int64))
+        edges = self.edges(first, bands)
         lists: list[list[np.ndarray]] = [[] for _ in range(len(edges) - 1)]
 
         def enlist(at: np.ndarray, ranks: np.ndarray) -> None:
@@ -96,12 +100,15 @@ class Vocabulary:
         if len(listed):
             enlist(listed, first)
         best = np.full(count, NONE, np.int32)
-        for b in range(len(lists)):
+        b = 0
+        while b < len(lists):
             if not lists[b]:
+                b += 1
                 continue
             top = edges[b + 1]
             at = np.unique(np.concatenate(lists[b]))
             lists[b] = []
+            back = b + 1
             while True:
                 ranks = rank[at]
                 live = ranks < top
@@ -137,12 +144,23 @@ class Vocabulary:
                 later = ~now & (new < NONE)
                 if later.any():
                     enlist(changed[later], new[later])
+                lower = now & (new < edges[b])  # a pair of an earlier list: its turn is next
+                if lower.any():
+                    enlist(changed[lower], new[lower])
+                    now &= ~lower
+                    back = min(back, int(np.searchsorted(edges, new[lower].min(), side="right")) - 1)
                 at = np.unique(np.concatenate([rest, changed[now]]))
+            b = back
         alive = ~dead
         sizes = np.add.reduceat(alive.astype(np.int64), begins) if count else np.zeros(0, np.int64)
         return token[alive], np.concatenate([[0], np.cumsum(sizes)])
 
 
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
 def word_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Which code points begin a word; ``first`` marks the first one of each text.
 
@@ -222,9 +240,9 @@ class Words:
         mapped = np.fromiter((number.setdefault(w, len(number)) for w in words.dictionary.to_pylist()), np.int32, len(words.dictionary))
         return mapped[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int32)
 
-    def encoded(self, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    def encoded(self, vocabulary: Vocabulary, bands: int | None = BANDS) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, self.number), np.int64, len(self.number))
-        return vocabulary.encode_words(np.frombuffer(b"".join(self.number), np.uint8), np.concatenate([[0], np.cumsum(sizes)]))
+        return vocabulary.encode_words(np.frombuffer(b"".join(self.number), np.uint8), np.concatenate([[0], np.cumsum(sizes)]), bands)
 
 
 def gather(flat: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> np.ndarray:

@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.bpe import Words, cut_words, gather, vocabulary
+from loomgrid.llm.bpe import Vocabulary, Words, cut_words, gather, vocabulary
 
 TOKENIZERS = "/opt/tokenizers"
 #: Bytes of text cut at a time; words and distinct bytes held before they are encoded. All bound the memory of a task.
@@ -50,7 +51,12 @@ class Held:
         return self.count >= HELD_WORDS or self.size >= HELD_BYTES
 
 
-def token_runs(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def shipped(df: DataFrame, path: str) -> Broadcast[Vocabulary]:
+    """The vocabulary, read once where the driver runs and sent with the job; its size is that of the file, whatever the corpus."""
+    return df.sparkSession.sparkContext.broadcast(vocabulary(path))
+
+
+def token_runs(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Of each part of a partition: the ids of its texts, the words and word counts of each text, and the
     encoded words (flat tokens, offsets)."""
     held = Held()
@@ -58,10 +64,10 @@ def token_runs(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[p
         for part in slices(batch, "text"):
             held.add(part)
             if held.full:
-                flat, offsets = held.words.encoded(vocabulary(path))
+                flat, offsets = held.words.encoded(vocabulary)
                 yield from ((*p, flat, offsets) for p in held.parts)
                 held = Held()
-    flat, offsets = held.words.encoded(vocabulary(path))
+    flat, offsets = held.words.encoded(vocabulary)
     yield from ((*p, flat, offsets) for p in held.parts)
 
 
@@ -78,10 +84,10 @@ def encode_corpus(documents: DataFrame, id: str, text: str, file: str = "byte_bp
 
     No shuffle: each task encodes its part of the scan.
     """
-    path = f"{folder}/{file}"
+    sent = shipped(documents, f"{folder}/{file}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, words, counts, flat, offsets in token_runs(batches, path):
+        for ids, words, counts, flat, offsets in token_runs(batches, sent.value):
             ends = text_offsets(words, counts, offsets).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(gather(flat, offsets, words)))
             yield pa.RecordBatch.from_arrays([ids, lists], names=["id", "ids"])
@@ -89,3 +95,19 @@ def encode_corpus(documents: DataFrame, id: str, text: str, file: str = "byte_bp
     kind = documents.schema[id].dataType.simpleString()
     named = documents.select(F.col(id).alias("id"), F.col(text).alias("text"))
     return named.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id)
+
+
+def decode_corpus(encoded: DataFrame, id: str, ids: str, file: str = "byte_bpe_50k.json", folder: str = TOKENIZERS) -> DataFrame:
+    """``id`` and ``text`` of every row, the inverse of ``encode_corpus``; a null list gives an empty text, bytes that aren't UTF-8
+    become replacement characters."""
+    sent = shipped(encoded, f"{folder}/{file}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelled = sent.value.spelled
+        for batch in batches:
+            texts = [b"".join([spelled[i] for i in tokens or ()]).decode("utf-8", "replace") for tokens in batch["ids"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(texts, pa.string())], names=["id", "text"])
+
+    kind = encoded.schema[id].dataType.simpleString()
+    named = encoded.select(F.col(id).alias("id"), F.col(ids).alias("ids"))
+    return named.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id)

@@ -17,12 +17,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.encode import TOKENIZERS, text_offsets, token_runs
+from loomgrid.llm.encode import TOKENIZERS, shipped, text_offsets, token_runs
 from loomgrid.session import cut_lineage
 
 WINDOWS = 256
 #: Tasks whose leftover windows are merged in one group (so a group has at most WINDOWS times as many).
 MERGED_TASKS = 64
+#: Rows of closed windows that a task holds before it sends them on.
+EMITTED_ROWS = 20_000
 
 
 class OpenWindows:
@@ -31,6 +33,7 @@ class OpenWindows:
     def __init__(self, capacity: int, most: int, first: int):
         self.capacity, self.most, self.next = capacity, most, first
         self.open: list[tuple[int, int]] = []  # (room, container)
+        self.closed: list[int] = []  # containers closed since the caller last emptied the list
 
     def place(self, size: int) -> tuple[int, int]:
         """Container and offset of an item no larger than the capacity."""
@@ -41,9 +44,11 @@ class OpenWindows:
             room, container = self.capacity, self.next
             self.next += 1
             if size < room and len(self.open) >= self.most:
-                self.open.pop(0)  # the fullest: nothing later goes into it
+                self.closed.append(self.open.pop(0)[1])  # the fullest: nothing later goes into it
         if room > size:
             insort(self.open, (room - size, container))
+        else:
+            self.closed.append(container)
         return container, self.capacity - room
 
 
@@ -77,40 +82,50 @@ def pack_tokens(
     A text is in one container unless it alone is larger than the capacity; null and empty texts are not placed; rows with
     the same id are placed one by one. Containers never hold more than ``capacity`` tokens.
     """
-    path = f"{folder}/{file}"
+    sent = shipped(documents, f"{folder}/{file}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        task = context.partitionId() if context else 0
-        ids, sizes = [], []
-        for part_ids, words, counts, _, offsets in token_runs(batches, path):
-            ids.append(part_ids)
-            sizes.append(np.diff(text_offsets(words, counts, offsets)))
-        if not ids:
-            return
-        rows, state = pack_sizes(np.concatenate(sizes), capacity, windows, task << 32)
-        if not rows:
-            return
-        item, piece, start, length, container, offset = (np.array(c) for c in zip(*rows))
-        left = np.isin(container, [c for _, c in state.open])
-        out = pa.RecordBatch.from_arrays(
-            [pa.concat_arrays(ids).take(pa.array(item)), pa.array(piece.astype(np.int32)), pa.array(start.astype(np.int64)),
-             pa.array(length.astype(np.int32)), pa.array(container.astype(np.int64)), pa.array(offset.astype(np.int32)), pa.array(left)],
-            names=["id", *[c.split()[0] for c in SCHEMA.split(", ")]],
-        )
-        for at in range(0, out.num_rows, 50_000):
-            yield out.slice(at, 50_000)
+        state = OpenWindows(capacity, windows, (context.partitionId() if context else 0) << 32)
+        held: dict[int, list[tuple]] = {}  # rows of the open windows: at most windows times capacity
+        ready: list[tuple] = []
+        kind = None
+
+        def batch_of(rows: list[tuple], left: bool) -> pa.RecordBatch:
+            ids, *columns = zip(*rows)
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+            columns = [pa.array(ids, kind), *[pa.array(c, k) for c, k in zip(columns, kinds)], pa.array([left] * len(rows))]
+            return pa.RecordBatch.from_arrays(columns, names=["id", *[c.split()[0] for c in SCHEMA.split(", ")]])
+
+        for ids, words, counts, _, offsets in token_runs(batches, sent.value):
+            kind = ids.type
+            for name, size in zip(ids.to_pylist(), np.diff(text_offsets(words, counts, offsets)).tolist()):
+                full = size // capacity if size > capacity else 0
+                for piece in range(full):
+                    ready.append((name, piece, piece * capacity, capacity, state.next, 0))
+                    state.next += 1
+                rest = size - full * capacity
+                if rest:
+                    container, offset = state.place(rest)
+                    held.setdefault(container, []).append((name, full, full * capacity, rest, container, offset))
+                    while state.closed:
+                        ready += held.pop(state.closed.pop())
+                if len(ready) >= EMITTED_ROWS:
+                    yield batch_of(ready, False)
+                    ready = []
+        if ready:
+            yield batch_of(ready, False)
+        rows = [row for window in held.values() for row in window]
+        for at in range(0, len(rows), EMITTED_ROWS):
+            yield batch_of(rows[at : at + EMITTED_ROWS], True)
 
     kind = documents.schema[id].dataType.simpleString()
     named = documents.select(F.col(id).alias("id"), F.col(text).alias("text"))
     placed = cut_lineage(named.mapInArrow(run, f"id {kind}, {SCHEMA}"))  # tokens are counted once
-    merged = merge_leftovers(placed, capacity)
-    done = placed.join(merged, "container", "left")
-    return done.select(
-        F.col("id").alias(id), "piece", "token_start", "n_tokens",
-        F.coalesce("target", "container").alias("container"),
-        (F.col("container_offset") + F.coalesce("shift", F.lit(0))).cast("int").alias("container_offset"),
-    )
+    columns = ["id", "piece", "token_start", "n_tokens", "container", "container_offset"]
+    moved = placed.where("left_open").join(merge_leftovers(placed, capacity), "container")
+    moved = moved.withColumns({"container": F.col("target"), "container_offset": (F.col("container_offset") + F.col("shift")).cast("int")})
+    return placed.where("not left_open").select(columns).unionByName(moved.select(columns)).withColumnRenamed("id", id)
 
 
 def merge_leftovers(placed: DataFrame, capacity: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm.encode import encode_corpus
+from loomgrid.llm.encode import decode_corpus, encode_corpus
 from loomgrid.llm.packing import pack_tokens
 from loomgrid.llm.quality import natural_prose, quality
 from loomgrid.llm.topn import latest_items, top_n_per_group
@@ -50,11 +50,32 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The digest of every text after encoding and decoding."""
+    texts = decode_corpus(p6_ids(spark, folder), "doc_id", "ids")
+    return texts.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 # 7 Texts in containers of 2,048 tokens
 def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
     return pack_tokens(table(spark, folder, "documents"), "doc_id", "text", CAPACITY)
 
 
+def p7_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Every placed document: whether its pieces follow each other without a gap, with all its tokens, and whether it lies in one container or
+    in as many as it must; and whether none of its containers holds more than the capacity."""
+    rows = p7_packed(spark, folder)
+    fill = rows.groupBy("container").agg(F.sum("n_tokens").alias("fill"), F.max(F.col("container_offset") + F.col("n_tokens")).alias("end"))
+    sizes = p6_ids(spark, folder).select("doc_id", F.size("ids").alias("size"))
+    each = rows.join(fill, "container").groupBy("doc_id").agg(
+        F.sum("n_tokens").alias("tokens"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"), F.count(F.lit(1)).alias("pieces"), F.count_distinct("container").alias("containers"),
+        F.max("fill").alias("fullest"), F.max(F.greatest("fill", F.col("end"))).alias("farthest"),
+    )
+    each = each.join(sizes, "doc_id")
+    whole = (F.col("tokens") == F.col("size")) & (F.col("end") == F.col("size")) & (F.col("pieces") == F.col("containers")) & (F.col("pieces") == F.ceil(F.col("size") / CAPACITY))
+    return each.select("doc_id", whole.alias("whole"), ((F.col("fullest") <= CAPACITY) & (F.col("farthest") <= CAPACITY)).alias("fits"))
+
+
 # 8 Text quality
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     words = table(spark, folder, "common_words")
@@ -69,7 +90,9 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_best": p2_best,
     "p6_ids": p6_ids,
+    "p6_round_trip": p6_round_trip,
     "p7_packed": p7_packed,
+    "p7_documents": p7_documents,
     "p8_found": p8_found,
     "p8_quality": p8_quality,
 }
@@ -77,4 +100,6 @@ QUERIES = {
 ORACLES = {
     "p2_found": P2_SQL + "SELECT experiment_name, r AS rank_in_experiment, row_id FROM ranked WHERE r <= 3",
     "p2_best": P2_SQL + "SELECT experiment_name, run_name, source_name, row_id, mean_abs_zscore, r AS rank_in_experiment, true AS is_best FROM ranked WHERE r = 1",
+    "p6_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
+    "p7_documents": "SELECT doc_id, true AS whole, true AS fits FROM documents WHERE text <> ''",
 }

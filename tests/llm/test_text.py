@@ -1,5 +1,6 @@
 """Training-text operators against libraries, brute force and round trips, with nulls, empty and long texts."""
 
+import json
 import math
 import os
 import random
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgrid.llm.bpe import Words, cut_words, gather, plain_text, vocabulary
-from loomgrid.llm.encode import TOKENIZERS, encode_corpus, text_offsets
+from loomgrid.llm.encode import TOKENIZERS, decode_corpus, encode_corpus, text_offsets
 from loomgrid.llm.packing import OpenWindows, pack_sizes, pack_tokens
 from loomgrid.llm.quality import BINS, STATISTICS, UNLISTED, natural_prose, quality, share_cuts, statistics, text_figures
 from loomgrid.llm.topn import latest_items, top_n_per_group
@@ -41,6 +42,33 @@ def test_ids_equal_the_library(spark):
     assert [got[i] for i in range(len(given))] == want
     assert library.decode(got[7]) == given[7]
     assert encode_corpus(rows.limit(0), "doc_id", "text").collect() == []
+    back = {r.doc_id: r.text for r in decode_corpus(encode_corpus(rows, "doc_id", "text"), "doc_id", "ids").collect()}
+    assert [back[i] for i in range(len(given))] == [t or "" for t in given]
+
+
+@needs_file
+def test_one_list_per_rank_gives_the_same():
+    words, v = Words(), vocabulary(FILE)
+    words.numbers(cut_words(pa.array(texts()))[0])
+    banded, ranked = words.encoded(v), words.encoded(v, None)
+    assert banded[0].tolist() == ranked[0].tolist() and banded[1].tolist() == ranked[1].tolist()
+
+
+def test_ids_beyond_65536_and_lower_ranks_after_a_merge(tmp_path):
+    """A file whose ids are far apart, and where a late merge forms a pair of an early one."""
+    letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    shown = [chr(b) for b in letters] + [chr(256 + i) for i in range(256 - len(letters))]
+    vocab = {c: 70_000 * i for i, c in enumerate(shown)} | {t: 70_000 * 256 + i for i, t in enumerate(["bc", "abc", "abcd", "ab", "xy"])}
+    merges = [["b", "c"], ["a", "bc"], ["abc", "d"], ["x", "y"], ["a", "b"], ["ab", "c"]]
+    merges = [merges[i] for i in (2, 4, 5, 3)]  # abc + d ranks first, but only the last but one merge makes abc
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps({"model": {"vocab": vocab, "merges": merges}}))
+    v = vocabulary(str(path))
+    for bands in (None, 2, 96):
+        words = Words()
+        words.numbers(pa.array([b"abcd", b"xyabcd", b"ba"]).dictionary_encode())
+        flat, offsets = words.encoded(v, bands)
+        assert [[v.spelled[i] for i in flat[a:b]] for a, b in zip(offsets[:-1], offsets[1:])] == [[b"abcd"], [b"xy", b"abcd"], [b"b", b"a"]]
 
 
 @needs_file
@@ -189,7 +217,8 @@ def test_queries_agree_with_sql(spark, data):
     from loomgrid.llm import ORACLES, QUERIES
 
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW posterior_predictive_summary AS SELECT * FROM '{data}/posterior_predictive_summary.parquet'")
+    for name in ("posterior_predictive_summary", "documents"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{data}/{name}.parquet'")
     for name, sql in ORACLES.items():
         df = QUERIES[name](spark, data)
         rel = db.sql(sql)
