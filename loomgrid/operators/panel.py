@@ -109,7 +109,7 @@ def start_and_end(panel: DataFrame, unit: str, t: str, z: str, steps: Column) ->
     return first.agg(F.coalesce(F.min("first"), steps).alias("s"), F.coalesce(F.max("first") + 1, F.lit(0)).alias("e"))
 
 
-def interventions(panel: DataFrame, t: str, z: str, s: int) -> DataFrame:
+def interventions(panel: DataFrame, t: str, z: str, s: int | Column) -> DataFrame:
     """The saved interventions over the grid of a panel: as observed, all on, never on, on from ``s``."""
     kinds = {"observed": F.col(z), "full_on_all_time": F.lit(1), "full_on_no_time": F.lit(-1), "full_on_from_s": F.when(F.col(t) >= s, 1).otherwise(-1)}
     each = F.array(*[F.struct(F.lit(k).alias("intervention"), v.cast("int").alias("z_set")) for k, v in kinds.items()])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgrid.operators.skew import numbered, spread
+
 TRAINING, SEPARATOR, VALIDATION, OUTER_TEST = "training", "separator", "validation", "outer_test"
 
 
@@ -66,26 +68,43 @@ def roles(members: DataFrame, edges: DataFrame, steps: int, folds: int) -> DataF
     return slots.select("fold", "t", "unit", role.alias("role"))
 
 
+def pattern_members(outer: DataFrame, folds: int) -> DataFrame:
+    """(key, t, unit, part): inner parts. Between two changes of the set of slots that the outer layer shares out (its pattern), the units of
+    the set are numbered in their order and dealt out; units outside it have part 0. ``outer`` as in ``inner_roles``."""
+    key = [c for c in outer.columns if c not in ("t", "unit", "role")]
+    upto = Window.partitionBy(*key).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    patterns = pattern_changes(outer).withColumn("pattern", F.sum(F.col("changed").cast("int")).over(upto)).select(*key, "t", "pattern")
+    first = patterns.groupBy(*key, "pattern").agg(F.min("t").alias("t"))
+    slots = outer.where(F.col("role") != VALIDATION).join(F.broadcast(first), [*key, "t"])  # a row per fold and pattern, bounded by the calendar
+    dealt = numbered(slots.select(*key, "pattern", "unit"), [*key, "pattern"], [F.asc("unit")], "n")
+    parts = dealt.select(*key, "pattern", "unit", F.pmod(F.col("n") - 1, F.lit(folds)).cast("int").alias("part"))
+    placed = outer.join(F.broadcast(patterns), [*key, "t"]).select(*key, "t", "unit", "pattern")
+    return placed.join(parts, [*key, "pattern", "unit"], "left").select(*key, "t", "unit", F.coalesce(F.col("part") + 1, F.lit(0)).alias("part"))
+
+
 def inner_roles(outer: DataFrame, members: DataFrame, edges: DataFrame, steps: int, folds: int) -> DataFrame:
-    """(fold, t, unit, role) inside an outer layer. ``outer``: t, unit, role of one outer fold; ``members``: the inner parts.
+    """(key, fold, t, unit, role) inside an outer layer. ``outer``: t, unit, role and any key columns, such as the outer fold; ``members``: the
+    inner parts, by unit or also by time and key (``pattern_members``).
 
     Slots the outer layer trains on are shared out like in ``roles``; its separators stay visible as separators; a change of the
-    set of such slots from one time to the next separates like a transition does; its validation slots are
-    outer_test.
+    set of such slots from one time to the next separates like a transition does, in the parts of before and after; its validation
+    slots are outer_test. A hub's edges are spread over tasks.
     """
     spark = outer.sparkSession
     plan = F.broadcast(schedule_table(spark, steps, folds))
-    slots = outer.join(members.withColumnRenamed("part", "own"), "unit").withColumn("shared", F.col("role") != VALIDATION)
-    neighbours = slots.where("shared").select(F.col("unit").alias("dst"), "t", F.col("own").alias("other"))
-    near = edges.join(neighbours, "dst").groupBy(F.col("src").alias("unit"), "t").agg(F.collect_set("other").alias("near"))
-    slots = slots.join(near, ["unit", "t"], "left")
-    slots = slots.withColumn("before", F.lag("shared").over(Window.partitionBy("unit").orderBy("t")))
-    changes = pattern_changes(outer)
-    full = slots.join(F.broadcast(changes), "t", "left").join(plan, "t")
+    key = [c for c in outer.columns if c not in ("t", "unit", "role")]
+    slots = outer.join(members.withColumnRenamed("part", "own"), [c for c in (*key, "t", "unit") if c in members.columns]).withColumn("shared", F.col("role") != VALIDATION)
+    neighbours = slots.where("shared").select(*key, F.col("unit").alias("dst"), "t", F.col("own").alias("other"))
+    links, neighbours, by = spread(edges.select("src", "dst"), neighbours, ["dst"], "src")
+    near = links.join(neighbours, by).groupBy(*key, F.col("src").alias("unit"), "t").agg(F.collect_set("other").alias("near"))
+    slots = slots.join(near, [*key, "unit", "t"], "left")
+    along = Window.partitionBy(*key, "unit").orderBy("t")
+    slots = slots.withColumns({"before": F.lag("shared").over(along), "own_before": F.lag("own").over(along)})
+    full = slots.join(F.broadcast(pattern_changes(outer)), [*key, "t"], "left").join(plan, "t")
     jump, changed = F.col("is_transition"), F.coalesce("changed", F.lit(False))
     own = F.col("own") == F.col("part")
     near_part = F.coalesce(F.array_contains("near", F.col("part")), F.lit(False)) & ~own
-    previous = F.coalesce("before", F.lit(False)) & (F.col("own") == F.when(jump, F.col("previous_part")).otherwise(F.col("part")))
+    previous = F.coalesce("before", F.lit(False)) & (F.col("own_before") == F.when(jump, F.col("previous_part")).otherwise(F.col("part")))
     separate = near_part | (F.col("role") == SEPARATOR)
     role = (
         F.when(F.col("role") == VALIDATION, OUTER_TEST)
@@ -95,27 +114,30 @@ def inner_roles(outer: DataFrame, members: DataFrame, edges: DataFrame, steps: i
         .when(own, VALIDATION)
         .otherwise(TRAINING)
     )
-    return full.select("fold", "t", "unit", role.alias("role"))
+    return full.select(*key, "fold", "t", "unit", role.alias("role"))
 
 
 def pattern_changes(outer: DataFrame) -> DataFrame:
-    """(t, changed): whether any slot begins or ends to be outer validation at t."""
-    before = F.lag("role").over(Window.partitionBy("unit").orderBy("t"))
+    """(key, t, changed): whether any slot begins or ends to be outer validation at t."""
+    key = [c for c in outer.columns if c not in ("t", "unit", "role")]
+    before = F.lag("role").over(Window.partitionBy(*key, "unit").orderBy("t"))
     flips = before.isNotNull() & ((F.col("role") == VALIDATION) != (before == VALIDATION))
-    return outer.withColumn("flips", flips).groupBy("t").agg(F.max("flips").alias("changed"))
+    return outer.withColumn("flips", flips).groupBy(*key, "t").agg(F.max("flips").alias("changed"))
 
 
 def blanket_violations(slots: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per fold: edges at one time between validation (or outer test) and training, and steps of a unit between validation
-    and training. ``edges``: undirected pairs."""
+    """Per fold (and other key columns): edges at one time between validation (or outer test) and training, and steps of a unit between
+    validation and training. ``edges``: undirected pairs. A hub's edges are spread over tasks."""
+    key = [c for c in slots.columns if c not in ("t", "unit", "role")]
     marked = slots.where(F.col("role") != SEPARATOR)
-    a = marked.select("fold", "t", F.col("unit").alias("src"), F.col("role").alias("a"))
-    b = marked.select("fold", "t", F.col("unit").alias("dst"), F.col("role").alias("b"))
-    met = edges.select("src", "dst").join(a, "src").join(b, ["fold", "t", "dst"])
+    a = marked.select(*key, "t", F.col("unit").alias("src"), F.col("role").alias("a"))
+    b = marked.select(*key, "t", F.col("unit").alias("dst"), F.col("role").alias("b"))
+    links, a, by = spread(edges.select("src", "dst"), a, ["src"], "dst")
+    met = links.join(a, by).join(b, [*key, "t", "dst"])
     pair = lambda role: ((F.col("a") == role) & (F.col("b") == TRAINING)) | ((F.col("a") == TRAINING) & (F.col("b") == role))
-    spatial = met.groupBy("fold").agg(F.count(F.when(pair(VALIDATION) | pair(OUTER_TEST), 1)).alias("spatial"))
-    before = F.lag("role").over(Window.partitionBy("fold", "unit").orderBy("t"))
+    spatial = met.groupBy(*key).agg(F.count(F.when(pair(VALIDATION) | pair(OUTER_TEST), 1)).alias("spatial"))
+    before = F.lag("role").over(Window.partitionBy(*key, "unit").orderBy("t"))
     steps = slots.withColumn("before", before)
     crossed = ((F.col("role") == VALIDATION) & (F.col("before") == TRAINING)) | ((F.col("role") == TRAINING) & (F.col("before") == VALIDATION))
-    temporal = steps.groupBy("fold").agg(F.count(F.when(crossed, 1)).alias("temporal"))
-    return temporal.join(spatial, "fold", "left").select("fold", F.coalesce("spatial", F.lit(0)).alias("spatial"), "temporal")
+    temporal = steps.groupBy(*key).agg(F.count(F.when(crossed, 1)).alias("temporal"))
+    return temporal.join(spatial, key, "left").select(*key, F.coalesce("spatial", F.lit(0)).alias("spatial"), "temporal")

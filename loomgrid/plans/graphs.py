@@ -10,9 +10,11 @@ from loomgrid.operators.graph import (
     asymmetry, both_ways, components, kernel_weight, median_distance, nearest, neighbour_sum, normalised, random_graph, symmetric_by_max, symmetric_by_mean,
 )
 from loomgrid.operators.panel import dense_index
-from loomgrid.operators.splits import SEPARATOR, TRAINING, VALIDATION, blanket_violations, inner_roles, neighbour_parts, pattern_changes, roles, schedule_table, time_blocks
+from loomgrid.operators.skew import numbered
+from loomgrid.operators.splits import SEPARATOR, TRAINING, VALIDATION, blanket_violations, inner_roles, neighbour_parts, pattern_changes, pattern_members, roles, schedule_table, time_blocks
 from loomgrid.plans.problems import POSITIONS_SQL, positions
 from loomgrid.plans.views import CELLS_VIEW, CODE, EDGES_VIEW, PANEL_VIEW, cells, edges, panel
+from loomgrid.session import written_table
 from loomgrid.sources.tables import table
 
 K = 4
@@ -141,9 +143,20 @@ def steps_of(spark: SparkSession, folder: str) -> int:
 
 
 def members(spark: SparkSession, folder: str, folds: int) -> DataFrame:
-    """(unit, part): nodes of the graph shared out by their number."""
+    """(unit, part): nodes of the graph in spatial parts; nodes without a position are dealt out by their number."""
     nodes = both_ways(edges(spark, folder)).select(F.col("src").alias("unit")).distinct()
-    return dense_index(nodes, "unit").select("unit", (F.col("number") % folds + 1).cast("int").alias("part"))
+    placed = spatial_parts(spark, folder).withColumnRenamed("fips", "unit")
+    return dense_index(nodes, "unit").join(placed, "unit", "left").select("unit", F.coalesce("part", (F.col("number") % folds + 1).cast("int")).alias("part"))
+
+
+def outer_slots(spark: SparkSession, folder: str) -> DataFrame:
+    return fold_roles(spark, folder).withColumnRenamed("fold", "outer_fold")
+
+
+def inner_slots(spark: SparkSession, folder: str) -> DataFrame:
+    """The roles of all slots in the inner folds of every outer fold."""
+    outer = written_table(outer_slots(spark, folder))  # both the parts and the roles come from it
+    return inner_roles(outer, pattern_members(outer, INNER_FOLDS), both_ways(edges(spark, folder)), steps_of(spark, folder), INNER_FOLDS)
 
 
 def blocks(spark, folder):
@@ -174,24 +187,18 @@ def blanket_check(spark, folder):
 
 
 def inner_fold_roles(spark, folder):
-    """Roles inside the training slots of outer fold 1, counted per fold, time and role."""
-    steps = steps_of(spark, folder)
-    outer = fold_roles(spark, folder).where("fold = 1").drop("fold")
-    slots = inner_roles(outer, members(spark, folder, INNER_FOLDS), both_ways(edges(spark, folder)), steps, INNER_FOLDS)
-    return slots.groupBy("fold", "t", "role").agg(F.count(F.lit(1)).alias("slots"))
+    """Roles inside the training slots of every outer fold, counted per outer fold, fold, time and role."""
+    return inner_slots(spark, folder).groupBy("outer_fold", "fold", "t", "role").agg(F.count(F.lit(1)).alias("slots"))
 
 
 def inner_blanket_check(spark, folder):
-    """P15 for the inner layer: no violations of validation against training."""
-    steps = steps_of(spark, folder)
-    outer = fold_roles(spark, folder).where("fold = 1").drop("fold")
-    slots = inner_roles(outer, members(spark, folder, INNER_FOLDS), both_ways(edges(spark, folder)), steps, INNER_FOLDS)
-    return blanket_violations(slots, edges(spark, folder))
+    """P15 for the inner layer of every outer fold: no violations of validation against training."""
+    return blanket_violations(inner_slots(spark, folder), edges(spark, folder))
 
 
 def active_pattern_changes(spark, folder):
-    """Times at which the set of slots open to the inner layer changes."""
-    return pattern_changes(fold_roles(spark, folder).where("fold = 1").drop("fold")).select("t", F.col("changed"))
+    """Times at which the set of slots open to the inner layer changes, for every outer fold."""
+    return pattern_changes(outer_slots(spark, folder)).select("outer_fold", "t", "changed")
 
 
 def partition_metrics(spark, folder):
@@ -209,15 +216,15 @@ def partition_metrics(spark, folder):
 
 
 def spatial_parts(spark, folder):
-    """Balanced compact parts without a graph library: areas in order of interleaved coordinates, cut at quantiles."""
+    """Balanced compact parts without a graph library: areas in order of interleaved coordinates, cut into equal parts."""
     points = positions(spark, folder).where("code is not null").groupBy("code").agg(F.max("centroid_x").alias("x"), F.max("centroid_y").alias("y"))
     points = points.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
     cell = lambda c: F.floor((F.col(c) + 20_000_000.0) / 1000.0).cast("long")
-    spread = lambda c: sum((F.shiftleft(F.shiftright(c, b).bitwiseAND(F.lit(1)), 2 * b) for b in range(1, 16)), c.bitwiseAND(F.lit(1)))
-    keyed = points.withColumn("place", (spread(cell("x")) + 2 * spread(cell("y"))).cast("double"))
-    cuts = keyed.agg(F.percentile_approx("place", [i / FOLDS for i in range(1, FOLDS)], 10000)).scalar()
-    keyed = keyed.withColumn("cuts", cuts)
-    return keyed.select(F.col("code").alias("fips"), (F.size(F.filter("cuts", lambda c: c < F.col("place"))) + 1).alias("part"))
+    spread_bits = lambda c: sum((F.shiftleft(F.shiftright(c, b).bitwiseAND(F.lit(1)), 2 * b) for b in range(1, 16)), c.bitwiseAND(F.lit(1)))
+    keyed = points.select("code", (spread_bits(cell("x")) + 2 * spread_bits(cell("y"))).alias("place"))
+    placed = numbered(keyed, [], [F.asc("place"), F.asc("code")], "n")
+    total = keyed.agg(F.count(F.lit(1))).scalar()
+    return placed.select(F.col("code").alias("fips"), (F.floor((F.col("n") - 1) * FOLDS / total) + 1).cast("int").alias("part"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -239,9 +246,14 @@ def _schedule_sql(folds: int, name: str) -> str:
    FROM times{name}, (SELECT unnest(range(1, {folds} + 1)) AS fold))"""
 
 
+_bits = lambda c: " + ".join(f"(((({c}) >> {b}) & 1) << {2 * b})" for b in range(16))
+_cell = lambda c: f"CAST(floor(({c} + 20000000.0) / 1000.0) AS BIGINT)"
+SPATIAL_VIEW = POSITIONS_SQL + f""",
+ keyed AS (SELECT code, {_bits(_cell("x"))} + 2 * ({_bits(_cell("y"))}) AS place FROM points),
+ spatial AS (SELECT code AS fips, CAST((row_number() OVER (ORDER BY place, code) - 1) * {FOLDS} // count(*) OVER () + 1 AS INTEGER) AS part FROM keyed)"""
 SIDES_VIEW = EDGES_VIEW + ", ways AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), units AS (SELECT DISTINCT src AS unit FROM ways)"
-ROLES_VIEW = SIDES_VIEW + f""",
- members AS (SELECT unit, (row_number() OVER (ORDER BY unit) - 1) % {FOLDS} + 1 AS own FROM units),
+ROLES_VIEW = SIDES_VIEW + "," + SPATIAL_VIEW + f""",
+ members AS (SELECT unit, coalesce(part, (row_number() OVER (ORDER BY unit) - 1) % {FOLDS} + 1) AS own FROM units LEFT JOIN spatial ON fips = unit),
  near AS (SELECT DISTINCT w.src AS unit, m.own AS part FROM ways w JOIN members m ON m.unit = w.dst JOIN members s ON s.unit = w.src WHERE s.own <> m.own),
  {_schedule_sql(FOLDS, "")},
  roles AS (
@@ -250,18 +262,37 @@ ROLES_VIEW = SIDES_VIEW + f""",
    FROM members m CROSS JOIN plan p LEFT JOIN near n ON n.unit = m.unit AND n.part = p.part)
 """
 INNER_VIEW = ROLES_VIEW + f""",
- own2 AS (SELECT unit, (row_number() OVER (ORDER BY unit) - 1) % {INNER_FOLDS} + 1 AS own FROM units),
- outer_slots AS (SELECT r.t, r.unit, r.role, o.own, r.role <> 'validation' AS shared, lag(r.role <> 'validation') OVER (PARTITION BY r.unit ORDER BY r.t) AS before FROM roles r JOIN own2 o ON o.unit = r.unit WHERE fold = 1),
- jumps AS (SELECT t, max(CAST(before IS NOT NULL AND before <> shared AS INTEGER)) = 1 AS changed FROM outer_slots GROUP BY t),
- near2 AS (SELECT DISTINCT w.src AS unit, s.t, s.own AS part FROM ways w JOIN outer_slots s ON s.unit = w.dst AND s.shared),
+ steps_ AS (SELECT fold AS outer_fold, t, unit, role, role <> 'validation' AS shared, lag(role <> 'validation') OVER (PARTITION BY fold, unit ORDER BY t) AS before FROM roles),
+ jumps AS (SELECT outer_fold, t, max(CAST(before IS NOT NULL AND before <> shared AS INTEGER)) = 1 AS changed FROM steps_ GROUP BY 1, 2),
+ patterns AS (SELECT outer_fold, t, sum(CAST(changed AS INTEGER)) OVER (PARTITION BY outer_fold ORDER BY t) AS pattern FROM jumps),
+ dealt AS (
+   SELECT p.outer_fold, pattern, unit, (row_number() OVER (PARTITION BY p.outer_fold, pattern ORDER BY unit) - 1) % {INNER_FOLDS} + 1 AS own
+   FROM (SELECT outer_fold, pattern, min(t) AS t FROM patterns GROUP BY 1, 2) p JOIN steps_ s ON s.outer_fold = p.outer_fold AND s.t = p.t WHERE shared),
+ placed AS (
+   SELECT s.*, coalesce(d.own, 0) AS own FROM steps_ s JOIN patterns p ON p.outer_fold = s.outer_fold AND p.t = s.t LEFT JOIN dealt d ON d.outer_fold = s.outer_fold AND d.pattern = p.pattern AND d.unit = s.unit),
+ outer_slots AS (SELECT *, lag(own) OVER (PARTITION BY outer_fold, unit ORDER BY t) AS own_before FROM placed),
+ near2 AS (SELECT DISTINCT s.outer_fold, w.src AS unit, s.t, s.own AS part FROM ways w JOIN outer_slots s ON s.unit = w.dst AND s.shared),
  {_schedule_sql(INNER_FOLDS, "2")},
  inner_slots AS (
-   SELECT p.fold, s.t, s.unit, CASE WHEN role = 'validation' THEN 'outer_test' WHEN role = 'separator' OR (n.unit IS NOT NULL AND s.own <> p.part) THEN 'separator'
-     WHEN (is_transition OR changed) AND (s.own = p.part OR (before AND s.own = CASE WHEN is_transition THEN previous_part ELSE p.part END)) THEN 'separator'
+   SELECT s.outer_fold, p.fold, s.t, s.unit, CASE WHEN role = 'validation' THEN 'outer_test' WHEN role = 'separator' OR (n.unit IS NOT NULL AND s.own <> p.part) THEN 'separator'
+     WHEN (is_transition OR changed) AND (s.own = p.part OR coalesce(before AND s.own_before = CASE WHEN is_transition THEN previous_part ELSE p.part END, false)) THEN 'separator'
      WHEN is_transition OR changed THEN 'training' WHEN s.own = p.part THEN 'validation' ELSE 'training' END AS role
-   FROM outer_slots s JOIN plan2 p ON p.t = s.t JOIN jumps j ON j.t = s.t LEFT JOIN near2 n ON n.unit = s.unit AND n.t = s.t AND n.part = p.part)
+   FROM outer_slots s JOIN plan2 p ON p.t = s.t JOIN jumps j ON j.outer_fold = s.outer_fold AND j.t = s.t
+   LEFT JOIN near2 n ON n.outer_fold = s.outer_fold AND n.unit = s.unit AND n.t = s.t AND n.part = p.part)
 """
 
+
+def _violations_sql(slots: str, key: str) -> str:
+    """Counts of edges and steps that join validation (or, for edges, outer test) to training."""
+    on = " AND ".join(f"a.{k} = b.{k}" for k in key.split(", "))
+    return f""", pairs_ AS (
+   SELECT {", ".join(f"a.{k}" for k in key.split(", "))}, count(*) AS spatial FROM edges e JOIN {slots} a ON a.unit = e.src JOIN {slots} b ON b.unit = e.dst AND b.t = a.t AND {on}
+   WHERE (a.role IN ('validation', 'outer_test') AND b.role = 'training') OR (b.role IN ('validation', 'outer_test') AND a.role = 'training') GROUP BY ALL),
+ walks AS (SELECT *, lag(role) OVER (PARTITION BY {key}, unit ORDER BY t) AS last_role FROM {slots}),
+ times_ AS (SELECT {key}, count(CASE WHEN (role = 'validation' AND last_role = 'training') OR (role = 'training' AND last_role = 'validation') THEN 1 END) AS temporal FROM walks GROUP BY ALL)
+ SELECT {key}, coalesce(spatial, 0) AS spatial, temporal FROM times_ LEFT JOIN pairs_ USING ({key})"""
+
+
 ORACLES = {
     "contiguity": f"WITH {EDGES_VIEW} SELECT src AS fips, dst AS neighbor_fips FROM edges",
     "network_by_max": f"WITH {DIRECTED_VIEW} SELECT src, dst, round(w, 9) AS w FROM gamma",
@@ -286,10 +317,11 @@ ORACLES = {
     "fold_summary": f"""WITH {ROLES_VIEW}, c AS (SELECT fold, count(CASE WHEN role = 'training' THEN 1 END) AS training_slots, count(CASE WHEN role = 'separator' THEN 1 END) AS separator_slots,
         count(CASE WHEN role = 'validation' THEN 1 END) AS validation_slots FROM roles GROUP BY 1), u AS (SELECT *, training_slots > 0 AND validation_slots > 0 AS usable FROM c)
       SELECT *, coalesce(fold = (SELECT min(fold) FROM u WHERE usable), false) AS validation_mode FROM u""",
-    "blanket_check": f"SELECT unnest(range(1, {FOLDS} + 1)) AS fold, 0 AS spatial, 0 AS temporal",
-    "inner_fold_roles": f"WITH {INNER_VIEW} SELECT fold, t, role, count(*) AS slots FROM inner_slots GROUP BY 1, 2, 3",
-    "inner_blanket_check": f"SELECT unnest(range(1, {INNER_FOLDS} + 1)) AS fold, 0 AS spatial, 0 AS temporal",
-    "active_pattern_changes": f"WITH {INNER_VIEW} SELECT t, changed FROM jumps",
+    "blanket_check": "WITH " + ROLES_VIEW + _violations_sql("roles", "fold"),
+    "inner_fold_roles": f"WITH {INNER_VIEW} SELECT outer_fold, fold, t, role, count(*) AS slots FROM inner_slots GROUP BY 1, 2, 3, 4",
+    "inner_blanket_check": "WITH " + INNER_VIEW + _violations_sql("inner_slots", "outer_fold, fold"),
+    "active_pattern_changes": f"WITH {INNER_VIEW} SELECT outer_fold, t, changed FROM jumps",
+    "spatial_parts": f"WITH {SPATIAL_VIEW} SELECT fips, part FROM spatial",
     "partition_metrics": f"""WITH {ROLES_VIEW}, s AS (SELECT own AS part, count(*) AS size FROM members GROUP BY 1), e AS (SELECT part, count(*) AS separator FROM near GROUP BY 1),
       c AS (SELECT a.own AS a, b.own AS b FROM edges JOIN members a ON a.unit = src JOIN members b ON b.unit = dst WHERE a.own <> b.own),
       x AS (SELECT part, count(*) AS cut_edges FROM (SELECT a AS part FROM c UNION ALL SELECT b FROM c) GROUP BY 1)

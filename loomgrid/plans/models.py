@@ -16,8 +16,8 @@ from loomgrid.operators.simulate import gibbs, gibbs_panels
 from loomgrid.operators.synthetic import confounded_panel
 from loomgrid.plans.graphs import fold_roles, gamma, steps_of
 from loomgrid.plans.problems import positions
-from loomgrid.plans.scores import BETA, ETA, S, XI, slots
-from loomgrid.plans.views import cells, panel
+from loomgrid.plans.scores import BETA, ETA, XI, slots
+from loomgrid.plans.views import cells, first_treated, panel
 from loomgrid.session import cut_lineage
 
 DRAWS, SWEEPS, SEED = 8, 20, 7
@@ -26,7 +26,7 @@ DRAWS, SWEEPS, SEED = 8, 20, 7
 def scalar_fit(spark, folder):
     """Beta, xi and eta without a field, over all slots and with beta masked to the times from s on."""
     rows = slots(spark, folder)
-    fits = {"free": fit_scalars(rows), "xi_zero": fit_scalars(rows, fixed={"xi": 0.0}), "beta_post_s": fit_scalars(rows, beta_mask=F.col("t") >= S)}
+    fits = {"free": fit_scalars(rows), "xi_zero": fit_scalars(rows, fixed={"xi": 0.0}), "beta_post_s": fit_scalars(rows, beta_mask=F.col("t") >= first_treated(panel(spark, folder)))}
     return spark.createDataFrame([(k, v["beta"], v["xi"], v["eta"], v["loss"]) for k, v in fits.items()], "variant string, beta double, xi double, eta double, loss double")
 
 
@@ -83,7 +83,8 @@ def held_out_draws(spark, folder):
     edges = gamma(spark, folder).where(F.col("src") < F.col("dst"))
     drawn = cut_lineage(gibbs(rows, edges, "free", DRAWS, SWEEPS, BETA, ETA, XI, SEED))
     both = drawn.withColumnRenamed("x", "drawn").join(rows.select("unit", "t", "x", "z"), ["unit", "t"])
-    masks = six_masks(F.lit(True), F.col("t") >= S, F.col("z") > 0)
+    both = both.withColumn("post", F.col("t") >= first_treated(panel(spark, folder)))
+    masks = six_masks(F.lit(True), F.col("post"), F.col("z") > 0)
     seen = masked_means(both, masks, F.col("x")).select("mask", F.col("slots"), F.col("mean").alias("observed"))
     return seen.join(masked_means(both, masks, F.col("drawn")).select("mask", F.col("mean").alias("drawn")), "mask").withColumn("distance", F.abs(F.col("observed") - F.col("drawn")))
 

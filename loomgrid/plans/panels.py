@@ -11,7 +11,7 @@ from loomgrid.operators.panel import (
     before_first_report, centred, dense_index, dense_suffix, interventions, lagged, start_and_end, time_index, with_change,
 )
 from loomgrid.plans.ingest import RATES_SQL, weeks
-from loomgrid.plans.views import CELLS_VIEW, CODE, PANEL_VIEW, cells, panel, population
+from loomgrid.plans.views import CELLS_VIEW, CODE, FIRST_TREATED, PANEL_VIEW, cells, first_treated, panel, population
 from loomgrid.sources.tables import table
 
 # Fixed values of the catalogue: outcome and coverage thresholds, lags, networks.
@@ -170,8 +170,7 @@ def panel_slice(spark, folder):
 def intervention_library(spark, folder):
     """Saved interventions over the grid with s and e of each."""
     rows = panel(spark, folder).select("unit", "t", "z")
-    s = 5
-    sets = interventions(rows, "t", "z", s)
+    sets = interventions(rows, "t", "z", first_treated(rows))
     first = sets.groupBy("intervention", "unit").agg(F.min(F.when(F.col("z_set") == 1, F.col("t"))).alias("first"), F.max("t").alias("last"), F.sum("z_set").alias("total"))
     return first.groupBy("intervention").agg(
         F.coalesce(F.min("first"), F.max("last") + 1).alias("s"), F.coalesce(F.max("first") + 1, F.lit(0)).alias("e"), F.sum("total").alias("z_total")
@@ -240,7 +239,7 @@ ORACLES = {
     "panel_slice": f"WITH {PANEL_VIEW} SELECT unit, week, CAST(dense_rank() OVER (ORDER BY week) - 2 AS INTEGER) AS t, x, z FROM panel WHERE week >= DATE '2020-03-01'",
     "intervention_library": f"""WITH {PANEL_VIEW}, sets AS (
         SELECT 'observed' AS intervention, unit, t, z AS z_set FROM panel UNION ALL SELECT 'full_on_all_time', unit, t, 1 FROM panel UNION ALL SELECT 'full_on_no_time', unit, t, -1 FROM panel
-        UNION ALL SELECT 'full_on_from_s', unit, t, CASE WHEN t >= 5 THEN 1 ELSE -1 END FROM panel),
+        UNION ALL SELECT 'full_on_from_s', unit, t, CASE WHEN t >= {FIRST_TREATED} THEN 1 ELSE -1 END FROM panel),
       firsts AS (SELECT intervention, unit, min(CASE WHEN z_set = 1 THEN t END) AS f, max(t) AS l, sum(z_set) AS total FROM sets GROUP BY 1, 2)
       SELECT intervention, coalesce(min(f), max(l) + 1) AS s, coalesce(max(f) + 1, 0) AS e, CAST(sum(total) AS BIGINT) AS z_total FROM firsts GROUP BY 1""",
     "single_unit_on": f"WITH {PANEL_VIEW} SELECT unit, t, CASE WHEN unit = (SELECT min(unit) FROM panel) AND t >= 3 THEN 1 ELSE -1 END AS z_set FROM panel",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.functions.scalars import chance, field_of_mean, slot_loss
@@ -11,7 +11,8 @@ from loomgrid.operators.metrics import (
     baselines, draw_summary, masked_means, masked_scores, natural_parameter, panel_statistics, scalar_gradient, six_masks, twelve_buckets,
 )
 from loomgrid.plans.graphs import DIRECTED_VIEW, gamma
-from loomgrid.plans.views import CELLS_VIEW, PANEL_VIEW, cells, panel
+from loomgrid.operators.skew import numbered
+from loomgrid.plans.views import CELLS_VIEW, FIRST_TREATED, PANEL_VIEW, cells, first_treated, panel
 
 BETA, ETA, XI = -0.3, 0.3, 0.8
 
@@ -23,14 +24,12 @@ def slots(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumns({"h": h, "test": ~F.col("training") & (F.col("t") % 2 == 0)})
 
 
-S = 5  # the time that splits before and after in these queries
-
 SLOTS_VIEW = f"""WITH {DIRECTED_VIEW}, {PANEL_VIEW},
  sums AS (SELECT g.src, p.t, sum(g.w * p.x) AS v FROM gamma g JOIN panel p ON p.unit = g.dst GROUP BY 1, 2),
  slots AS (
    SELECT p.*, coalesce(v, 0) AS neighbours, theta + {BETA}::DOUBLE * z + {ETA}::DOUBLE * prev_x + {XI}::DOUBLE * coalesce(v, 0) AS h, NOT training AND p.t % 2 = 0 AS test
    FROM panel p LEFT JOIN sums s ON s.src = p.unit AND s.t = p.t),
- scored AS (SELECT *, abs(h) + ln(1 + exp(-2 * abs(h))) - x * h AS loss, (1 + tanh(h)) / 2 AS p, (x + 1) / 2 AS y, t >= {S} AS post, z > 0 AS treated FROM slots)
+ scored AS (SELECT *, abs(h) + ln(1 + exp(-2 * abs(h))) - x * h AS loss, (1 + tanh(h)) / 2 AS p, (x + 1) / 2 AS y, t >= {FIRST_TREATED} AS post, z > 0 AS treated FROM slots)
 """
 SIX = [f"{a}_{b}" for a in ("test", "post_s") for b in ("all", "treated", "untreated")]
 SIX_SQL = " UNION ALL ".join(
@@ -43,15 +42,14 @@ TWELVE_SQL = " UNION ALL ".join(f"SELECT '{a}{b}' AS mask, * FROM scored WHERE {
 
 
 def masks(spark, folder):
-    rows = slots(spark, folder)
-    return rows, F.col("t") >= S, F.col("z") > 0
+    """Slots, and which lie from s on and which are treated."""
+    rows = slots(spark, folder).withColumn("post", F.col("t") >= first_treated(panel(spark, folder)))
+    return rows, F.col("post"), F.col("z") > 0
 
 
 def slot_losses(spark, folder):
     """natural parameter, loss and chance of every slot."""
     rows, _, _ = masks(spark, folder)
-
-
     return rows.select("unit", "t", F.round("h", 9).alias("h"), F.round(slot_loss(F.col("h"), F.col("x")), 9).alias("loss"), F.round(chance(F.col("h")), 9).alias("p"))
 
 
@@ -79,14 +77,14 @@ def gradient(spark, folder):
 def statistics_of_panel(spark, folder):
     """The ten statistics."""
     rows, _, _ = masks(spark, folder)
-    out = panel_statistics(rows, F.lit(S))
+    out = panel_statistics(rows, first_treated(panel(spark, folder)))
     return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
 
 
 def draw_means(spark, folder):
     """Overall, unit and time means of each draw (states stand in for draws)."""
     rows = panel(spark, folder).withColumn("draw", F.substring("unit", 1, 2))
-    out = draw_summary(rows, "draw", "unit", "t", "x", F.lit(S))
+    out = draw_summary(rows, "draw", "unit", "t", "x", first_treated(panel(spark, folder)))
     return out.select("draw", "kind", "unit", "t", F.round("mean", 9).alias("mean"), F.round("post_mean", 9).alias("post_mean"))
 
 
@@ -115,17 +113,16 @@ def treated_share(spark, folder):
 
 
 def unit_order(spark, folder):
-    """Units by mean outcome and code inside their state, the order in which their series are shown."""
+    """All units by mean outcome and code, the order in which their series are shown."""
     means = panel(spark, folder).groupBy("unit").agg(F.round(F.avg("x"), 9).alias("unit_mean"))
-    w = Window.partitionBy(F.substring("unit", 1, 2)).orderBy("unit_mean", "unit")
-    return means.withColumn("place", F.row_number().over(w))
+    return numbered(means, [], [F.asc("unit_mean"), F.asc("unit")], "place")
 
 
 def split_matrices(spark, folder):
     """Outcomes as treated and untreated surfaces with gaps, and the surface chosen by another intervention."""
     rows = panel(spark, folder)
     treated, untreated = F.when(F.col("z") > 0, F.col("x")), F.when(F.col("z") <= 0, F.col("x"))
-    flipped = F.col("t") >= S
+    flipped = F.col("t") >= first_treated(rows)
     return rows.select("unit", "t", treated.alias("treated"), untreated.alias("untreated"), F.when(flipped, treated).otherwise(untreated).alias("chosen"))
 
 
@@ -158,7 +155,7 @@ SCORE = """, bins AS (SELECT {key}, least(floor(p * 10), 9) AS bin, count(*) AS
 , totals AS (
    SELECT {key}, CAST(sum(n) AS BIGINT) AS slots, round(sum(loss) / sum(n), {d}) AS loss, round(sum(square) / sum(n), {d}) AS brier, round(sum(gap) / sum(n), {d}) AS ece FROM bins GROUP BY ALL)
  SELECT {key}, coalesce(slots, 0) AS slots, loss, brier, ece FROM (SELECT unnest({names}) AS {key}) LEFT JOIN totals USING ({key})"""
-_post = "CASE WHEN t >= 5 THEN x END"
+_post = f"CASE WHEN t >= {FIRST_TREATED} THEN x END"
 
 ORACLES = {
     "slot_losses": SLOTS_VIEW + "SELECT unit, t, round(h, 9) AS h, round(loss, 9) AS loss, round(p, 9) AS p FROM scored",
@@ -166,10 +163,10 @@ ORACLES = {
     "bucket_means": SLOTS_VIEW + f", each AS ({TWELVE_SQL}), names AS (SELECT unnest({[a + b for a in KINDS for b in ('', '_post_s')]}) AS mask) SELECT mask, count(x) AS slots, round(avg(x), 9) AS mean FROM names LEFT JOIN each USING (mask) GROUP BY 1",
     "gradient": SLOTS_VIEW + """SELECT round(avg((tanh(h) - x) * z) FILTER (training AND post), 9) AS beta, round(avg((tanh(h) - x) * neighbours) FILTER (training), 9) AS xi,
       round(avg((tanh(h) - x) * prev_x) FILTER (training), 9) AS eta FROM scored""",
-    "statistics_of_panel": SLOTS_VIEW + """, e AS (SELECT t, avg(x * neighbours) AS e FROM scored GROUP BY 1)
+    "statistics_of_panel": SLOTS_VIEW + f""", e AS (SELECT t, avg(x * neighbours) AS e FROM scored GROUP BY 1)
       SELECT round(avg(x), 9) AS overall_mean, round(avg(x) FILTER (post), 9) AS post_mean, round(avg(x * z), 9) AS alignment, round(avg(x * prev_x), 9) AS persistence, round(avg(x * theta), 9) AS field_alignment,
         round(avg(x * z) FILTER (NOT post), 9) AS pre_alignment, round(avg(x * z) FILTER (post), 9) AS post_alignment, (SELECT round(avg(e), 9) FROM e) AS energy,
-        (SELECT round(avg(e), 9) FROM e WHERE t < 5) AS pre_energy, (SELECT round(avg(e), 9) FROM e WHERE t >= 5) AS post_energy FROM scored""",
+        (SELECT round(avg(e), 9) FROM e WHERE t < {FIRST_TREATED}) AS pre_energy, (SELECT round(avg(e), 9) FROM e WHERE t >= {FIRST_TREATED}) AS post_energy FROM scored""",
     "draw_means": f"""WITH {PANEL_VIEW}, d AS (SELECT left(unit, 2) AS draw, * FROM panel)
       SELECT draw, 'overall' AS kind, NULL AS unit, NULL AS t, round(avg(x), 9) AS mean, round(avg({_post}), 9) AS post_mean FROM d GROUP BY 1
       UNION ALL SELECT draw, 'unit', unit, NULL, round(avg(x), 9), round(avg({_post}), 9) FROM d GROUP BY 1, 3 UNION ALL SELECT draw, 'time', NULL, t, round(avg(x), 9), round(avg({_post}), 9) FROM d GROUP BY 1, 4""",
@@ -177,9 +174,9 @@ ORACLES = {
     "predictor_scores": SLOTS_VIEW + f", {BASE_SQL}, fields AS (" + " UNION ALL ".join(f"SELECT '{n}' AS predictor, unit, t, atanh(least(greatest({n}, 1e-6::DOUBLE - 1), 1 - 1e-6::DOUBLE)) AS h FROM base" for n in ("time_mean", "unit_mean", "persistence"))
     + "), each AS (SELECT predictor, abs(f.h) + ln(1 + exp(-2 * abs(f.h))) - x * f.h AS loss, (1 + tanh(f.h)) / 2 AS p, y FROM scored s JOIN fields f ON f.unit = s.unit AND f.t = s.t WHERE test)" + SCORE.format(key="predictor", d=6, names=["time_mean", "unit_mean", "persistence"]),
     "treated_share": f"WITH {PANEL_VIEW} SELECT t, round(avg(CAST(z = 1 AS INTEGER)), 9) AS treated_share, round(avg(x), 9) AS time_mean, count(*) AS units FROM panel GROUP BY 1",
-    "unit_order": f"WITH {PANEL_VIEW}, m AS (SELECT unit, round(avg(x), 9) AS unit_mean FROM panel GROUP BY 1) SELECT *, row_number() OVER (PARTITION BY left(unit, 2) ORDER BY unit_mean, unit) AS place FROM m",
+    "unit_order": f"WITH {PANEL_VIEW}, m AS (SELECT unit, round(avg(x), 9) AS unit_mean FROM panel GROUP BY 1) SELECT *, CAST(row_number() OVER (ORDER BY unit_mean, unit) AS INTEGER) AS place FROM m",
     "split_matrices": f"""WITH {PANEL_VIEW} SELECT unit, t, CASE WHEN z > 0 THEN x END AS treated, CASE WHEN z <= 0 THEN x END AS untreated,
-      CASE WHEN t >= {S} THEN CASE WHEN z > 0 THEN x END ELSE CASE WHEN z <= 0 THEN x END END AS chosen FROM panel""",
+      CASE WHEN t >= {FIRST_TREATED} THEN CASE WHEN z > 0 THEN x END ELSE CASE WHEN z <= 0 THEN x END END AS chosen FROM panel""",
     "completion_stats": f"""WITH {CELLS_VIEW}, r AS (SELECT *, avg(value) OVER (PARTITION BY unit) AS m FROM cells WHERE panel_key = 'x'), c AS (
         SELECT count(value) AS observed, count(CASE WHEN value IS NULL THEN 1 END) AS missing, count(CASE WHEN value IS NULL AND m IS NOT NULL THEN 1 END) AS completed, count(CASE WHEN value IS NULL AND m IS NULL THEN 1 END) AS failed FROM r)
       SELECT *, CASE WHEN missing > 0 THEN round(completed / missing, 9) END AS rate FROM c""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.functions.codes import area_code, area_code_sql
@@ -67,6 +67,12 @@ def panel(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def first_treated(rows: DataFrame) -> Column:
+    """s, the first time with any unit treated (the number of times if none), as a scalar of another plan."""
+    return rows.agg(F.coalesce(F.min(F.when(F.col("z") == 1, F.col("t"))), F.max("t") + 1)).scalar()
+
+
+FIRST_TREATED = "(SELECT coalesce(min(t) FILTER (z = 1), max(t) + 1) FROM panel)"
 CELLS_VIEW = f"""
  cells AS (
    SELECT panel_key, code, {CODE} AS unit, week_end_date AS week, max(CASE WHEN (observed_mask IS NULL OR observed_mask) AND value IN (-1, 1) THEN value END) AS value

@@ -13,7 +13,7 @@ from loomgrid.operators.graph import asymmetry, both_ways, components, kernel_we
 from loomgrid.operators.metrics import baselines, masked_scores, twelve_buckets
 from loomgrid.operators.panel import before_first_report, deltas, dense_index, dense_suffix, fill_from, increments, lagged, skeleton, start_and_end, with_change
 from loomgrid.operators.reports import QUANTILES, calibration, exact_quantiles, finite_summary, fold_means, one_se_choice, ranks, vector_errors
-from loomgrid.operators.splits import blanket_violations, inner_roles, roles, schedule, time_blocks
+from loomgrid.operators.splits import blanket_violations, inner_roles, pattern_members, roles, schedule, time_blocks
 from loomgrid.sources.tables import read_text_table
 
 D = dt.date
@@ -156,6 +156,20 @@ def test_roles_keep_the_blanket(spark):
     outer = slots.where("fold = 1").drop("fold")
     inside = inner_roles(outer, spark.createDataFrame([(n, i % 2 + 1) for i, n in enumerate(names)], "unit string, part int"), both_ways(edges), 12, 2)
     assert all((r.spatial, r.temporal) == (0, 0) for r in blanket_violations(inside, edges).collect())
+    every = slots.withColumnRenamed("fold", "outer_fold")
+    parts = pattern_members(every, 2)
+    assert parts.where("part > 0").count() == every.where("role <> 'validation'").count()
+    layers = inner_roles(every, parts, both_ways(edges), 12, 2)
+    bad = blanket_violations(layers, edges).collect()
+    assert len(bad) == 8 and all((r.spatial, r.temporal) == (0, 0) for r in bad)
+    assert layers.where("role = 'validation'").select("outer_fold").distinct().count() == 4
+
+
+def test_planted_violations_are_counted(spark):
+    rows = [(1, 0, "a", "validation"), (1, 0, "b", "training"), (1, 0, "c", "outer_test"), (1, 1, "a", "training"), (1, 1, "b", "separator"), (1, 1, "c", "training"), (2, 0, "a", "training")]
+    slots = spark.createDataFrame(rows, "fold int, t int, unit string, role string")
+    edges = edges_of(spark, [("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0)])
+    assert {(r.fold, r.spatial, r.temporal) for r in blanket_violations(slots, edges).collect()} == {(1, 2, 1), (2, 0, 0)}
 
 
 def test_scores(spark):
