@@ -89,39 +89,53 @@ def vector_errors(pairs: DataFrame, group: list[str], a: str, b: str) -> DataFra
     return out.withColumn("correlation", corr).drop("_c", "_a", "_b")
 
 
-def fold_means(folds: DataFrame, key: list[str], values: list[str], slots: str, expected: int) -> DataFrame:
+def fold_means(folds: DataFrame, key: list[str], values: list[str], slots: str, expected: int | str, besides: tuple[str, ...] = ()) -> DataFrame:
     """Per candidate the slot-weighted and plain mean of each value over its folds and the standard error (0 for one
-    fold); all null unless ``expected`` folds are completed (have every value)."""
+    fold); all null unless ``expected`` folds are completed (have every value). ``expected`` is a number or a column of ``folds``. Values
+    named ``besides`` don't make a fold complete; they are null unless every completed fold has them."""
     good = F.lit(True)
     for v in values:
         good = good & F.col(v).isNotNull()
     aggs = [F.count(F.when(good, 1)).alias("completed")]
-    for v in values:
+    for v in (*values, *besides):
         w = F.when(good, F.col(slots))
         x = F.when(good, F.col(v))
         aggs += [
             F.try_divide(F.sum(w * x), F.sum(w)).alias(f"{v}_weighted"), F.avg(x).alias(f"{v}_mean"),
-            F.when(F.count(x) > 1, F.try_divide(F.stddev_samp(x), F.sqrt(F.count(x)))).otherwise(0.0).alias(f"{v}_se"),
+            F.when(F.count(x) > 1, F.try_divide(F.stddev_samp(x), F.sqrt(F.count(x)))).otherwise(0.0).alias(f"{v}_se"), F.count(x).alias(f"{v}_known"),
         ]
-    out = folds.groupBy(*key).agg(*aggs)
-    whole = F.col("completed") == expected
-    blank = [F.when(whole, F.col(c)).alias(c) for v in values for c in (f"{v}_weighted", f"{v}_mean", f"{v}_se")]
+    wanted = F.max(expected) if isinstance(expected, str) else F.lit(expected)
+    out = folds.groupBy(*key).agg(*aggs, wanted.alias("_expected"))
+    whole = F.col("completed") == F.col("_expected")
+    blank = [F.when(whole & (F.col(f"{v}_known") == F.col("completed")), F.col(c)).alias(c) for v in (*values, *besides) for c in (f"{v}_weighted", f"{v}_mean", f"{v}_se")]
     return out.select(*key, "completed", F.when(whole, "completed").otherwise("failed").alias("status"), *blank)
 
 
-def one_se_choice(candidates: DataFrame, group: str, first: str, second: str, plain: list[Column]) -> DataFrame:
+def one_se_choice(candidates: DataFrame, group: str, first: str, second: str, plain: list[Column], fallback: tuple[str, str] | None = None) -> DataFrame:
     """The chosen candidate of each group: within one standard error of the best ``<first>_mean``, then of the best
-    ``<second>_mean`` among these, the least by ``plain`` (the least regularised)."""
+    ``<second>_mean`` among these, the least by ``plain`` (the least regularised). With a ``fallback`` a group in which any candidate lacks one
+    of the two figures is judged by the two fallback figures instead; a candidate without those is none. A group of any number of
+    candidates is spread over tasks."""
+
+    def limited(rows: DataFrame, limits: DataFrame) -> DataFrame:
+        rows, limits, key = spread(rows, limits, [group], "_first")
+        return rows.join(limits, key).drop("_salt")
 
     def within(rows: DataFrame, name: str, order: list[Column]) -> DataFrame:
-        best = F.min_by(F.col(f"{name}_mean") + F.col(f"{name}_se"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
-        limits = rows.groupBy(group).agg(best.alias("_limit"))
-        return rows.join(limits, group).where(F.col(f"{name}_mean") <= F.col("_limit")).drop("_limit")
-
-    rows = candidates.where(F.col(f"{first}_mean").isNotNull() & F.col(f"{second}_mean").isNotNull())
-    rows = within(rows, first, [F.col(f"{first}_mean"), F.col(f"{second}_mean"), *plain])
-    rows = within(rows, second, [F.col(f"{second}_mean"), *plain])
-    order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*plain, F.col(f"{first}_mean"), F.col(f"{second}_mean")])])
+        best = F.min_by(F.col(f"{name}") + F.col(f"{name}_se"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+        return limited(rows, rows.groupBy(group).agg(best.alias("_limit"))).where(F.col(name) <= F.col("_limit")).drop("_limit")
+
+    last = fallback or (first, second)
+    rows = candidates.where(F.col(f"{last[0]}_mean").isNotNull() & F.col(f"{last[1]}_mean").isNotNull()).withColumn("_first", F.col(f"{last[0]}_mean"))
+    lacks = F.lit(False)
+    for n in (first, second):
+        lacks = lacks | F.col(f"{n}_mean").isNull() | F.col(f"{n}_se").isNull()
+    rows = limited(rows, rows.groupBy(group).agg(F.max(lacks).alias("_lacks")))
+    for new, own, other in (("_first", first, last[0]), ("_second", second, last[1])):
+        rows = rows.withColumns({f"{new}{tail}": F.when(F.col("_lacks"), F.col(f"{other}{end}")).otherwise(F.col(f"{own}{end}")) for tail, end in (("", "_mean"), ("_se", "_se"))})
+    rows = within(rows, "_first", [F.col("_first"), F.col("_second"), *plain])
+    rows = within(rows, "_second", [F.col("_second"), *plain])
+    order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*plain, F.col("_first"), F.col("_second")])])
     kept = F.min_by(F.struct(*[c for c in candidates.columns if c != group]), order).alias("_best")
     return rows.groupBy(group).agg(kept).select(group, "_best.*")
 

@@ -10,6 +10,8 @@ from loomgrid.functions.scalars import finite
 from loomgrid.operators.reports import QUANTILES, calibration, exact_quantiles, finite_summary, fold_means, one_se_choice, ranks, vector_errors
 from loomgrid.plans.graphs import DIRECTED_VIEW, directed
 from loomgrid.operators.graph import symmetric_by_max, symmetric_by_mean
+from loomgrid.operators.skew import spread
+from loomgrid.session import written_table
 from loomgrid.sources.tables import table
 
 SOURCES = ["default", "default_test_train", "xi_zero"]
@@ -106,45 +108,56 @@ def truth_self(spark, folder):
 
 
 def candidate_scores(spark, folder):
-    """Sources as folds of each run: weighted and plain means, standard errors, blank unless both expected folds completed."""
+    """Sources as folds of each run: weighted and plain means, standard errors, blank unless as many completed as the experiment's fullest run has."""
     return _folds(spark, folder).select(*ITEM[:2], "completed", "status", *nine([f"{v}_{k}" for v in ("score", "coverage") for k in ("weighted", "mean", "se")]))
 
 
 def _folds(spark, folder):
-    rows = items(spark, folder).where(F.col("source_name").isin("default", "xi_zero"))
-    return fold_means(rows, ITEM[:2], ["score", "coverage"], "num_statistics", 2)
+    """All sources but the truth are folds."""
+    rows = items(spark, folder).where(F.col("source_type") != "truth")
+    runs = rows.groupBy(*ITEM[:2]).agg(F.count(F.lit(1)).alias("n"))
+    rows, most, key = spread(rows, runs.groupBy("experiment_name").agg(F.max("n").alias("expected")), ["experiment_name"], "run_name")
+    return fold_means(rows.join(most, key), ITEM[:2], ["score", "coverage"], "num_statistics", "expected", ("worst",))
 
 
-FOLDS_SQL = f"""WITH {ITEMS_VIEW}, f AS (SELECT *, score IS NOT NULL AND coverage IS NOT NULL AS good FROM items WHERE source_name IN ('default', 'xi_zero')),
- g AS (SELECT experiment_name, run_name, count(CASE WHEN good THEN 1 END) AS completed, """ + ", ".join(
-    f"""sum(num_statistics * {v}) FILTER (good) / sum(num_statistics) FILTER (good) AS {v}_weighted, avg({v}) FILTER (good) AS {v}_mean,
+FOLDS_SQL = f"""WITH {ITEMS_VIEW}, f AS (SELECT *, score IS NOT NULL AND coverage IS NOT NULL AS good FROM items WHERE source_type <> 'truth'),
+ runs AS (SELECT experiment_name, run_name, count(*) AS n FROM f GROUP BY 1, 2), most AS (SELECT experiment_name, max(n) AS expected FROM runs GROUP BY 1),
+ g AS (SELECT f.experiment_name, run_name, any_value(expected) AS expected, count(CASE WHEN good THEN 1 END) AS completed, """ + ", ".join(
+    f"""sum(num_statistics * {v}) FILTER (good) / sum(num_statistics) FILTER (good AND {v} IS NOT NULL) AS {v}_weighted, avg({v}) FILTER (good) AS {v}_mean, count({v}) FILTER (good) AS {v}_known,
      CASE WHEN count({v}) FILTER (good) > 1 THEN stddev_samp({v}) FILTER (good) / sqrt(count({v}) FILTER (good)) ELSE 0 END AS {v}_se"""
-    for v in ("score", "coverage")
-) + """ FROM f GROUP BY 1, 2),
- candidates AS (SELECT experiment_name, run_name, completed, CASE WHEN completed = 2 THEN 'completed' ELSE 'failed' END AS status, """ + ", ".join(
-    f"CASE WHEN completed = 2 THEN {v}_{k} END AS {v}_{k}" for v in ("score", "coverage") for k in ("weighted", "mean", "se")
+    for v in ("score", "coverage", "worst")
+) + """ FROM f JOIN most USING (experiment_name) GROUP BY 1, 2),
+ candidates AS (SELECT experiment_name, run_name, completed, CASE WHEN completed = expected THEN 'completed' ELSE 'failed' END AS status, """ + ", ".join(
+    f"CASE WHEN completed = expected AND {v}_known = completed THEN {v}_{k} END AS {v}_{k}" for v in ("score", "coverage", "worst") for k in ("weighted", "mean", "se")
 ) + " FROM g)"
 
 
 def chosen_candidates(spark, folder):
-    """Of each experiment the run within one standard error of the best score and coverage with the smallest rank."""
+    """Of each experiment the run within one standard error of the best worst score and coverage (of the best score and coverage where a run
+    has no worst score), the least by rank, samples, sweeps, statistics (the most first) and name."""
     rows = _folds(spark, folder)
-    rank = items(spark, folder).groupBy(*ITEM[:2]).agg(F.max(F.coalesce("latent_rank", F.lit(0))).alias("latent_rank"))
-    rows = rows.join(rank, ITEM[:2])
-    for c in ("score_mean", "score_se", "coverage_mean", "coverage_se"):
+    most = lambda c: F.max(F.coalesce(c, F.lit(0))).alias(c)
+    plain = items(spark, folder).groupBy(*ITEM[:2]).agg(most("latent_rank"), most("num_samples"), most("gibbs_sweeps"), (-F.max("num_statistics")).alias("statistics_less"))
+    rows = rows.join(plain, ITEM[:2])
+    for c in [f"{v}_{k}" for v in ("score", "coverage", "worst") for k in ("mean", "se")]:
         rows = rows.withColumn(c, F.round(c, 9))
-    best = one_se_choice(rows, "experiment_name", "score", "coverage", [F.col("latent_rank"), F.col("run_name")])
-    return best.select("experiment_name", "run_name", "latent_rank", "score_mean", "coverage_mean")
+    rows = written_table(rows)  # the choice goes over it several times
+    order = ["latent_rank", "num_samples", "gibbs_sweeps", "statistics_less", "run_name"]
+    best = one_se_choice(rows, "experiment_name", "worst", "coverage", list(map(F.col, order)), ("score", "coverage"))
+    return best.select("experiment_name", "run_name", "latent_rank", "score_mean", "coverage_mean", "worst_mean")
 
 
+_PLAIN = "latent_rank, num_samples, gibbs_sweeps, statistics_less NULLS FIRST, run_name"
 CHOICE_SQL = FOLDS_SQL + f""", ranked AS (
-   SELECT c.experiment_name, c.run_name, r.latent_rank, round(score_mean, 9) AS score_mean, round(score_se, 9) AS score_se, round(coverage_mean, 9) AS coverage_mean, round(coverage_se, 9) AS coverage_se
-   FROM candidates c JOIN (SELECT experiment_name, run_name, max(coalesce(latent_rank, 0)) AS latent_rank FROM items GROUP BY 1, 2) r USING (experiment_name, run_name)
-   WHERE score_mean IS NOT NULL AND coverage_mean IS NOT NULL),
- one AS (SELECT *, first_value(score_mean + score_se) OVER (PARTITION BY experiment_name ORDER BY score_mean, coverage_mean, latent_rank, run_name) AS lim FROM ranked),
- two AS (SELECT *, first_value(coverage_mean + coverage_se) OVER (PARTITION BY experiment_name ORDER BY coverage_mean, latent_rank, run_name) AS lim2 FROM one WHERE score_mean <= lim)
- SELECT experiment_name, run_name, latent_rank, score_mean, coverage_mean FROM two WHERE coverage_mean <= lim2
- QUALIFY row_number() OVER (PARTITION BY experiment_name ORDER BY latent_rank, run_name, score_mean, coverage_mean) = 1"""
+   SELECT c.experiment_name, c.run_name, r.* EXCLUDE (experiment_name, run_name), {", ".join(f"round({v}_{k}, 9) AS {v}_{k}" for v in ("score", "coverage", "worst") for k in ("mean", "se"))}
+   FROM candidates c JOIN (SELECT experiment_name, run_name, max(coalesce(latent_rank, 0)) AS latent_rank, max(coalesce(num_samples, 0)) AS num_samples, max(coalesce(gibbs_sweeps, 0)) AS gibbs_sweeps,
+     -max(num_statistics) AS statistics_less FROM items GROUP BY 1, 2) r USING (experiment_name, run_name) WHERE score_mean IS NOT NULL AND coverage_mean IS NOT NULL),
+ judged AS (SELECT *, CASE WHEN lacks THEN score_mean ELSE worst_mean END AS a, CASE WHEN lacks THEN score_se ELSE worst_se END AS a_se FROM (
+   SELECT *, bool_or(worst_mean IS NULL OR worst_se IS NULL) OVER (PARTITION BY experiment_name) AS lacks FROM ranked)),
+ one AS (SELECT *, first_value(a + a_se) OVER (PARTITION BY experiment_name ORDER BY a, coverage_mean, {_PLAIN}) AS lim FROM judged),
+ two AS (SELECT *, first_value(coverage_mean + coverage_se) OVER (PARTITION BY experiment_name ORDER BY coverage_mean, {_PLAIN}) AS lim2 FROM one WHERE a <= lim)
+ SELECT experiment_name, run_name, latent_rank, score_mean, coverage_mean, worst_mean FROM two WHERE coverage_mean <= lim2
+ QUALIFY row_number() OVER (PARTITION BY experiment_name ORDER BY {_PLAIN}, a, coverage_mean) = 1"""
 
 
 def cohort(name):
@@ -166,15 +179,16 @@ TRIALS_VIEW = f"""{ITEMS_VIEW},
  summary AS (
    SELECT cohort, source_name, statistic, count(value) AS num_trials, round(avg(value), 9) AS mean, round(stddev_samp(value), 9) AS std, round(stddev_samp(value) / sqrt(count(value)), 9) AS se,
      round(quantile_cont(value, 0.025), 9) AS q025, round(quantile_cont(value, 0.5), 9) AS q500, round(quantile_cont(value, 0.975), 9) AS q975
-   FROM trials GROUP BY 1, 2, 3 HAVING count(value) >= 2)
+   FROM trials GROUP BY 1, 2, 3 HAVING count(value) >= 2 AND count(value) = count(*))
 """
 
 
 def trial_summary(spark, folder):
-    """Mean, deviation, standard error and quantiles over the trials of a cohort; groups of fewer than two are left out."""
+    """Mean, deviation, standard error and quantiles over the trials of a cohort; groups that lack the value of a trial, or
+    have fewer than two, are left out."""
     rows, key = trials(spark, folder), ["cohort", "source_name", "statistic"]
-    flat = rows.groupBy(*key).agg(F.count("value").alias("num_trials"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-    flat = flat.where("num_trials >= 2").withColumn("se", F.col("std") / F.sqrt("num_trials"))
+    flat = rows.groupBy(*key).agg(F.count("value").alias("num_trials"), F.count(F.lit(1)).alias("expected"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    flat = flat.where("num_trials >= 2 and num_trials = expected").withColumn("se", F.col("std") / F.sqrt("num_trials"))
     return flat.join(exact_quantiles(rows, key, "value", QUANTILES), key).select(*key, "num_trials", *nine(["mean", "std", "se", "q025", "q500", "q975"]))
 
 
@@ -186,15 +200,20 @@ def trial_wide(spark, folder):
 
 
 def trial_warnings(spark, folder):
-    """Q7: experiments of a cohort that lack a source, and groups with too few trials."""
+    """Q7: experiments of a cohort that lack a source; trials without output or without a value; groups with too few or missing trials."""
     rows = items(spark, folder).withColumn("cohort", cohort(F.col("experiment_name")))
     held = rows.select("cohort", "experiment_name", "source_name").distinct()
     sources = held.groupBy("cohort").agg(F.collect_set("source_name").alias("wanted"))
     have = held.groupBy("cohort", "experiment_name").agg(F.collect_set("source_name").alias("have"))
     missing = have.join(sources, "cohort").withColumn("source_name", F.explode(F.array_except("wanted", "have")))
-    a = missing.select("cohort", "source_name", F.col("experiment_name").alias("detail"), F.lit("missing_source").alias("warning"))
-    few = trials(spark, folder).groupBy("cohort", "source_name", "statistic").agg(F.count("value").alias("n")).where("n < 2")
-    return a.unionByName(few.select("cohort", "source_name", F.col("statistic").alias("detail"), F.lit("too_few_trials").alias("warning")))
+    warning = lambda df, kind, detail: df.select("cohort", "source_name", F.col(detail).alias("detail"), F.lit(kind).alias("warning"))
+    unwritten = rows.groupBy("cohort", "source_name", "experiment_name").agg(F.count("output_path").alias("n")).where("n = 0")
+    values = trials(spark, folder)
+    blank = values.where("value is null").withColumn("detail", F.concat_ws("/", "experiment_name", "statistic"))
+    groups = values.groupBy("cohort", "source_name", "statistic").agg(F.count("value").alias("n"), F.count(F.lit(1)).alias("expected"))
+    out = warning(missing, "missing_source", "experiment_name").unionByName(warning(unwritten, "missing_output", "experiment_name"))
+    out = out.unionByName(warning(blank, "missing_statistic", "detail")).unionByName(warning(groups.where("n < 2"), "too_few_trials", "statistic"))
+    return out.unionByName(warning(groups.where("n <> expected"), "incomplete_statistic", "statistic"))
 
 
 def ranked_runs(spark, folder):
@@ -234,13 +253,24 @@ def effects(spark, folder):
 
 
 def target_errors(spark, folder):
-    """Targets whose experiment has no truth, that are named twice, or whose output is missing."""
+    """Experiments with targets that name no experiment or no known type, truth targets without truth or with a name of their own, fit targets
+    without a name, targets named twice, experiments without any output; a table without targets is an error of its own."""
     rows = table(spark, folder, "posterior_predictive_summary")
-    truth = rows.where("source_type = 'truth'").select("experiment_name").distinct()
-    no_truth = rows.select("experiment_name").distinct().join(truth, "experiment_name", "left_anti").select("experiment_name", F.lit("no_truth").alias("error"))
-    twice = rows.groupBy(*ITEM).count().where("count > 1").groupBy("experiment_name").count().select("experiment_name", F.lit("duplicate_target").alias("error"))
-    unwritten = rows.groupBy("experiment_name").agg(F.count("output_path").alias("n")).where("n = 0").select("experiment_name", F.lit("no_output").alias("error"))
-    return no_truth.unionByName(twice).unionByName(unwritten)
+    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    kind = F.lower(F.trim(F.col("source_type")))
+    known = F.coalesce(kind.isin("truth", "fit", "train_fit"), F.lit(False))
+    each = {
+        "no_experiment": blank("experiment_name"), "unknown_type": ~known, "fit_without_name": kind.isin("fit", "train_fit") & blank("source_name"),
+        "truth_with_other_name": (kind == "truth") & (F.lower(F.trim("source_name")) != "truth"),
+    }
+    found = F.array_compact(F.array(*[F.when(c, n) for n, c in each.items()]))
+    by_row = rows.select("experiment_name", F.explode(found).alias("error")).distinct()
+    flat = rows.groupBy("experiment_name").agg(F.count(F.when(kind == "truth", 1)).alias("truths"), F.count("output_path").alias("outputs"))
+    lacking = F.array_compact(F.array(F.when(F.col("truths") == 0, "no_truth"), F.when(F.col("outputs") == 0, "no_output")))
+    by_experiment = flat.select("experiment_name", F.explode(lacking).alias("error"))
+    twice = rows.groupBy(*ITEM).count().where("count > 1").select("experiment_name", F.lit("duplicate_target").alias("error")).distinct()
+    empty = rows.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(None).cast("string").alias("experiment_name"), F.lit("no_targets").alias("error"))
+    return by_row.unionByName(by_experiment).unionByName(twice).unionByName(empty)
 
 
 SETTINGS = ["latent_rank", "num_samples", "gibbs_sweeps"]
@@ -288,7 +318,10 @@ ORACLES = {
     "trial_warnings": f"""WITH {TRIALS_VIEW}, held AS (SELECT DISTINCT cohort, experiment_name, source_name FROM means), w AS (SELECT DISTINCT cohort, source_name FROM held)
       SELECT w.cohort, w.source_name, e.experiment_name AS detail, 'missing_source' AS warning FROM (SELECT DISTINCT cohort, experiment_name FROM held) e JOIN w USING (cohort)
         WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.cohort = w.cohort AND h.experiment_name = e.experiment_name AND h.source_name = w.source_name)
-      UNION ALL SELECT cohort, source_name, statistic, 'too_few_trials' FROM trials GROUP BY 1, 2, 3 HAVING count(value) < 2""",
+      UNION ALL SELECT cohort, source_name, statistic, 'too_few_trials' FROM trials GROUP BY 1, 2, 3 HAVING count(value) < 2
+      UNION ALL SELECT cohort, source_name, statistic, 'incomplete_statistic' FROM trials GROUP BY 1, 2, 3 HAVING count(value) <> count(*)
+      UNION ALL SELECT cohort, source_name, experiment_name || '/' || statistic, 'missing_statistic' FROM trials WHERE value IS NULL
+      UNION ALL SELECT regexp_replace(experiment_name, '_[0-9]+$', ''), source_name, experiment_name, 'missing_output' FROM items GROUP BY 1, 2, 3 HAVING count(output_path) = 0""",
     "ranked_runs": f"""WITH {ITEMS_VIEW}, r AS (SELECT experiment_name, run_name, source_name, CAST(row_number() OVER (PARTITION BY experiment_name ORDER BY score NULLS LAST, worst NULLS LAST, run_name, source_name) AS INTEGER) AS place FROM items)
       SELECT *, place = 1 AS is_best FROM r""",
     "winners": f"""WITH {ITEMS_VIEW} SELECT experiment_name, run_name, source_name, row_id FROM items WHERE source_type = 'fit'
@@ -299,9 +332,15 @@ ORACLES = {
       g AS (SELECT {", ".join(MATCH)}, gibbs_sweeps, avg(m) AS overall, avg(m) FILTER (month >= 3) AS post FROM s GROUP BY ALL)
       SELECT {", ".join(MATCH)}, round(a.overall - b.overall, 9) AS gte, round(a.post - b.post, 9) AS gte_post_s FROM (SELECT * FROM g WHERE gibbs_sweeps = 100) a JOIN (SELECT * FROM g WHERE gibbs_sweeps = 50) b USING ({", ".join(MATCH)})
       WHERE a.post IS NOT NULL AND b.post IS NOT NULL""",
-    "target_errors": """SELECT DISTINCT experiment_name, 'no_truth' AS error FROM posterior_predictive_summary WHERE experiment_name NOT IN (SELECT experiment_name FROM posterior_predictive_summary WHERE source_type = 'truth')
-      UNION ALL SELECT DISTINCT experiment_name, 'duplicate_target' FROM (SELECT experiment_name FROM posterior_predictive_summary GROUP BY experiment_name, run_name, source_name HAVING count(*) > 1)
-      UNION ALL SELECT experiment_name, 'no_output' FROM posterior_predictive_summary GROUP BY 1 HAVING count(output_path) = 0""",
+    "target_errors": """WITH t AS (SELECT *, lower(trim(source_type)) AS kind FROM posterior_predictive_summary)
+      SELECT DISTINCT experiment_name, 'no_experiment' AS error FROM t WHERE coalesce(trim(experiment_name), '') = ''
+      UNION ALL SELECT DISTINCT experiment_name, 'unknown_type' FROM t WHERE kind IS NULL OR kind NOT IN ('truth', 'fit', 'train_fit')
+      UNION ALL SELECT DISTINCT experiment_name, 'fit_without_name' FROM t WHERE kind IN ('fit', 'train_fit') AND coalesce(trim(source_name), '') = ''
+      UNION ALL SELECT DISTINCT experiment_name, 'truth_with_other_name' FROM t WHERE kind = 'truth' AND lower(trim(source_name)) <> 'truth'
+      UNION ALL SELECT experiment_name, 'no_truth' FROM t GROUP BY 1 HAVING count(*) FILTER (kind = 'truth') = 0
+      UNION ALL SELECT DISTINCT experiment_name, 'duplicate_target' FROM (SELECT experiment_name FROM t GROUP BY experiment_name, run_name, source_name HAVING count(*) > 1)
+      UNION ALL SELECT experiment_name, 'no_output' FROM t GROUP BY 1 HAVING count(output_path) = 0
+      UNION ALL SELECT NULL, 'no_targets' FROM (SELECT count(*) AS n FROM t) WHERE n = 0""",
     "resumed_runs": """WITH o AS (SELECT *, row_number() OVER (PARTITION BY experiment_name, run_name, source_name ORDER BY written_at, row_id) AS a, row_number() OVER (PARTITION BY experiment_name, run_name, source_name ORDER BY written_at DESC, row_id DESC) AS b,
         count(*) OVER (PARTITION BY experiment_name, run_name, source_name) AS n FROM posterior_predictive_summary)
       SELECT x.experiment_name, x.run_name, x.source_name, x.n, CASE WHEN x.output_path IS NULL THEN 'rerun' WHEN x.latent_rank IS NOT DISTINCT FROM y.latent_rank AND x.num_samples IS NOT DISTINCT FROM y.num_samples

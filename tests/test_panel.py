@@ -232,6 +232,16 @@ def test_one_se_choice(spark):
     assert one_se_choice(df, "g", "m", "b", [F.col("lam")]).first().lam == 0.1
 
 
+def test_choice_falls_back(spark):
+    rows = [("g", 1.0, 0.10, 0.0, 0.2, 0.0, 9.0, 0.0), ("g", 2.0, 0.05, 0.0, 0.2, 0.0, None, None), ("h", 1.0, 0.10, 0.0, 0.2, 0.0, 9.0, 0.0), ("h", 2.0, 0.05, 0.0, 0.2, 0.0, 9.5, 0.0), ("h", 3.0, None, None, 0.1, 0.0, 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "g string, lam double, m_mean double, m_se double, b_mean double, b_se double, p_mean double, p_se double")
+    got = {r.g: r.lam for r in one_se_choice(df, "g", "p", "b", [F.col("lam")], ("m", "b")).collect()}
+    assert got == {"g": 2.0, "h": 1.0}
+    folds = spark.createDataFrame([("a", 1.0, None, 2), ("a", 2.0, 5.0, 2), ("b", 1.0, 4.0, 2)], "k string, v double, w double, want int").withColumn("n", F.lit(1))
+    means = {r.k: (r.status, r.v_mean, r.w_mean) for r in fold_means(folds, ["k"], ["v"], "n", "want", ("w",)).collect()}
+    assert means == {"a": ("completed", 1.5, None), "b": ("failed", None, None)}
+
+
 def test_ranks(spark):
     rng = np.random.default_rng(2)
     rows = [(int(g), None if rng.random() < 0.1 else float(rng.integers(0, 40)), int(i)) for i, g in enumerate(rng.integers(0, 3, 900))]
