@@ -1,8 +1,9 @@
 """Pseudo-likelihood fits of a panel, by sums over units.
 
 Scalars are fitted by Newton steps on aggregates of the slots. Low-rank fields keep the factors of the times on the driver (times
-x rank, bounded by the calendar) while those of the units are never gathered: a unit's factor depends on its own slots and on
-what the driver sent so far, so each pass over the units replays it and adds up what the next step needs.
+x rank, bounded by the calendar) while those of the units are never gathered: each pass over the units takes their factors one step
+further and adds up what the next step of the times needs. Every few steps the units' state is written to the shared folder, so a pass
+repeats only the steps since then.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.functions.scalars import slot_loss
-from loomgrid.session import cut_lineage
+from loomgrid.session import cut_lineage, written_table
 
 FEATURES = {"beta": "z", "xi": "neighbours", "eta": "prev_x"}
+#: Bound on the times, whose factors and Gram matrix the driver holds: a calendar of weeks or days, not a cap on data.
 MOST_TIMES = 5_000
+#: Steps after which the units' state is written.
+KEPT_STEPS = 8
 
 
 def seed_of(*parts: object) -> int:
@@ -82,6 +86,11 @@ class Slots:
         self.t = get("t").astype(np.int64)
         self.x, self.m = get("x"), get("m")
         self.features = np.stack([get(f) for f in FEATURES.values()])
+        self.state = {c: batch[c] for c in ("v", "theta", "y") if c in batch.schema.names}
+
+    def kept(self, name: str, width: int) -> np.ndarray | None:
+        """The state of the units as last written, units x ``width``."""
+        return self.state[name].flatten().to_numpy().reshape(self.n, width) if name in self.state else None
 
     def first(self, rank: int, seed: int, scale: float = 0.1) -> np.ndarray:
         """Starting factors, from the unit's name."""
@@ -113,85 +122,107 @@ def summed(rows: DataFrame, work: Callable[[Slots], list[np.ndarray]]) -> list[n
     return out
 
 
-def replay(s: Slots, history: list[tuple], rank: int, seed: int) -> np.ndarray:
-    """The factors of a batch's units after all steps so far."""
-    v = s.first(rank, seed)
-    for kind, *what in history:
-        if kind == "scale":
-            v = v * what[0]
-            continue
-        u, scalars, step, ridge, n = what
-        r = residual(s, u, v, scalars)
-        gradient = np.stack([np.bincount(s.unit, r * u[s.t, k], s.n) for k in range(rank)], axis=1) / n
-        v = v - step * (gradient + 2 * ridge / n * v)
-    return v
+def with_state(rows: DataFrame, state: Callable[[Slots], dict[str, np.ndarray]], names: list[str]) -> DataFrame:
+    """The rows with the units' state, written to the shared folder; what they held of it before is replaced."""
+    plain = [c for c in rows.columns if c not in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            now = state(Slots(batch))
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in plain], *[pa.array(list(now[n]), pa.list_(pa.float64())) for n in names]], names=[*plain, *names])
+
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in plain] + [f"{n} array<double>" for n in names]
+    return written_table(rows.mapInArrow(run, ", ".join(kinds)))
 
 
-def residual(s: Slots, u: np.ndarray, v: np.ndarray, scalars: np.ndarray) -> np.ndarray:
+def residual(s: Slots, u: np.ndarray, v: np.ndarray, scalars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = (u[s.t] * v[s.unit]).sum(1) + scalars @ s.features
-    return (np.tanh(h) - s.x) * s.m
+    return h, (np.tanh(h) - s.x) * s.m
+
+
+def units_stepped(s: Slots, v: np.ndarray, u: np.ndarray, scalars: np.ndarray, ridge: float) -> np.ndarray:
+    """One step of every unit's factor to the minimum of a bound of its loss (whose curvature is at most 1), so that it descends."""
+    _, r = residual(s, u, v, scalars)
+    rank = u.shape[1]
+    gradient = np.stack([np.bincount(s.unit, r * u[s.t, k], s.n) for k in range(rank)], axis=1) + 2 * ridge * v
+    curvature = np.stack([[np.bincount(s.unit, s.m * u[s.t, j] * u[s.t, k], s.n) for k in range(rank)] for j in range(rank)]).transpose(2, 0, 1)
+    return v - np.linalg.solve(curvature + (2 * ridge + 1e-9) * np.eye(rank), gradient[:, :, None])[:, :, 0]
+
+
+def replay(s: Slots, history: list[tuple], rank: int, seed: int, ridge: float) -> np.ndarray:
+    """The factors of a batch's units after the steps since their state was last written."""
+    v = s.kept("v", rank)
+    v = s.first(rank, seed) if v is None else v
+    for kind, *what in history:
+        v = v * what[0] if kind == "scale" else units_stepped(s, v, *what, ridge)
+    return v
 
 
-def fit_low_rank(slots: DataFrame, times: int, rank: int, ridge: float, column_max: float | None = None, outer: int = 5, inner: int = 3, seed: int = 0, mask: Column | None = None) -> tuple[dict, np.ndarray, DataFrame]:
-    """Alternating low-rank fit: per outer step one step of the scalars, then ``inner`` times a step of the times' factors and one
-    of the units', each as long as its curvature allows; unit columns beyond ``column_max`` are scaled back. Gives
-    the scalars with the history of the penalised objective, the factors of the times, and those of the units (unit, v)."""
+def fit_low_rank(
+    slots: DataFrame, times: int, rank: int, ridge: float, column_max: float | None = None, steps: int = 200, tol: float = 1e-6, starts: int = 1, seed: int = 0, mask: Column | None = None
+) -> tuple[dict, np.ndarray, DataFrame]:
+    """Alternating low-rank fit of the penalised mean loss: in each step the units' factors, then the times' factors and the scalars, go to
+    the minimum of a quadratic bound; unit columns beyond ``column_max`` are scaled back. A start ends when the objective falls by less than
+    ``tol`` of itself, or after ``steps``; of several ``starts`` the one with the lowest objective counts. Gives the scalars with
+    the course of the objective and whether it ``converged``, the factors of the times, and those of the units (unit, v)."""
     if times > MOST_TIMES:
         raise ValueError(f"more than {MOST_TIMES} times")
     rows = cut_lineage(unit_rows(slots, F.lit(True) if mask is None else mask))
-    rng = np.random.default_rng(seed)
-    u, scalars = rng.normal(0.0, 0.1, (times, rank)), np.zeros(len(FEATURES))
+    fits = [_low_rank_from(rows, times, rank, ridge, column_max, steps, tol, seed + i) for i in range(starts)]
+    return min(fits, key=lambda f: f[0]["objective"][-1])
+
+
+def _low_rank_from(rows: DataFrame, times: int, rank: int, ridge: float, column_max: float | None, steps: int, tol: float, seed: int) -> tuple[dict, np.ndarray, DataFrame]:
+    u, scalars = np.random.default_rng(seed).normal(0.0, 0.1, (times, rank)), np.zeros(len(FEATURES))
     history: list[tuple] = []
     objective: list[float] = []
+    loss, converged, kind = 0.0, False, rows.schema["unit"].dataType.simpleString()
+    for _ in range(steps):
+        history.append(("step", u, scalars))
 
-    def sums(u: np.ndarray, scalars: np.ndarray, steps: list[tuple]) -> list[np.ndarray]:
-        def work(s: Slots) -> list[np.ndarray]:
-            v = replay(s, steps, rank, seed)
-            h = (u[s.t] * v[s.unit]).sum(1) + scalars @ s.features
-            r = (np.tanh(h) - s.x) * s.m
-            loss = ((np.logaddexp(h, -h) - s.x * h) * s.m).sum()
+        def work(s: Slots, done: tuple = tuple(history), u: np.ndarray = u, scalars: np.ndarray = scalars) -> list[np.ndarray]:
+            v = replay(s, done, rank, seed, ridge)
+            h, r = residual(s, u, v, scalars)
+            lost = ((np.logaddexp(h, -h) - s.x * h) * s.m).sum()
             by_time = np.stack([np.bincount(s.t, r * v[s.unit, k], times) for k in range(rank)], axis=1)
-            return [np.array([loss, s.m.sum()]), by_time, s.features @ r, (s.features**2) @ s.m, v.T @ v]
-
-        return summed(rows, work)
-
-    def scaled_back(square: np.ndarray) -> None:
-        norms = np.sqrt(np.diag(square))
-        if column_max is not None and (norms > column_max).any():
-            history.append(("scale", np.minimum(1.0, column_max / np.maximum(norms, 1e-300))))
-
-    for _ in range(outer):
-        loss, _, gradient, curvature, square = sums(u, scalars, list(history))
-        n = max(loss[1], 1.0)
-        objective.append(float(loss[0] / n + ridge * ((u**2).sum() + np.trace(square)) / n))
-        scalars = scalars - gradient / np.maximum(curvature, 1e-12)
-        for _ in range(inner):
-            loss, by_time, _, _, square = sums(u, scalars, list(history))
-            u = u - (by_time / n + 2 * ridge / n * u) * n / max(np.linalg.norm(square, 2) + 2 * ridge, 1e-12)
-            step = n / max(np.linalg.norm(u, 2) ** 2 + 2 * ridge, 1e-12)
-            history.append(("step", u, scalars, step, ridge, n))
-            if column_max is not None:
-                scaled_back(sums(u, scalars, list(history))[4])
-    loss, _, _, _, square = sums(u, scalars, list(history))
-    objective.append(float(loss[0] / n + ridge * ((u**2).sum() + np.trace(square)) / n))
-    steps = list(history)
+            square = np.stack([np.bincount(s.t, s.m * v[s.unit, j] * v[s.unit, k], times) for j in range(rank) for k in range(rank)], axis=1)
+            return [np.array([lost, s.m.sum()]), by_time, square, s.features @ r, (s.features * s.m) @ s.features.T, (v**2).sum(0)]
+
+        lost, by_time, square, gradient, curvature, norms = summed(rows, work)
+        n = max(lost[1], 1.0)
+        loss = lost[0] / n
+        objective.append(float(loss + ridge * ((u**2).sum() + norms.sum()) / n))
+        converged = len(objective) > 1 and objective[-2] - objective[-1] <= tol * abs(objective[-2])
+        over = column_max is not None and bool((np.sqrt(norms) > column_max * (1 + 1e-12)).any())
+        if over:
+            history.append(("scale", np.minimum(1.0, column_max / np.maximum(np.sqrt(norms), 1e-300))))
+        if converged:
+            break
+        # both together: each goes half as far as it would alone
+        pull = 2 * (square.reshape(times, rank, rank) + (ridge + 1e-9) * np.eye(rank))
+        u = u - np.linalg.solve(pull, (by_time + 2 * ridge * u)[:, :, None])[:, :, 0]
+        scalars = scalars - np.linalg.solve(2 * curvature + 1e-9 * np.eye(len(FEATURES)), gradient)
+        if len(history) >= KEPT_STEPS:
+            rows = with_state(rows, lambda s, done=tuple(history): {"v": replay(s, list(done), rank, seed, ridge)}, ["v"])
+            history = []
+    last = tuple(history)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = replay(Slots(batch), steps, rank, seed)
-            yield pa.RecordBatch.from_arrays([batch["unit"], pa.array(list(v))], names=["unit", "v"])
+            v = replay(Slots(batch), list(last), rank, seed, ridge)
+            yield pa.RecordBatch.from_arrays([batch["unit"], pa.array(list(v), pa.list_(pa.float64()))], names=["unit", "v"])
 
-    kind = slots.schema["unit"].dataType.simpleString()
     factors = rows.mapInArrow(emit, f"unit {kind}, v array<double>")
-    return dict(zip(FEATURES, map(float, scalars))) | {"loss": float(loss[0] / n), "objective": objective}, u, factors
+    return dict(zip(FEATURES, map(float, scalars))) | {"loss": float(loss), "objective": objective, "converged": converged, "seed": seed}, u, factors
 
 
-def fit_nuclear(slots: DataFrame, times: int, weight: float, steps: int = 10, mask: Column | None = None, rank: int | None = None) -> dict:
+def fit_nuclear(slots: DataFrame, times: int, weight: float, steps: int = 200, mask: Column | None = None, rank: int | None = None, tol: float = 1e-6) -> dict:
     """Accelerated proximal steps on a full field: gradients are local to a unit, and the singular values of the times x units field
     are shrunk by way of its times x times Gram matrix, which is summed over the units. With a ``rank`` plain steps on the
     fields of that rank instead: after each step the largest singular values stay as they are and the others vanish.
 
-    The field's step is half of what its curvature allows and the scalars' a sixth, so that a joint step descends.
+    The field's step is half of what its curvature allows and the scalars' a sixth, so that a joint step descends. The fit ends when the
+    objective changes by less than ``tol`` of itself (``converged``), or after ``steps``.
     """
     if times > MOST_TIMES:
         raise ValueError(f"more than {MOST_TIMES} times")
@@ -203,7 +234,7 @@ def fit_nuclear(slots: DataFrame, times: int, weight: float, steps: int = 10, ma
     plan: list[tuple] = []  # (shrink matrix, scalars, momentum) of each step so far
     scalars, y_scalars, momentum = np.zeros(len(FEATURES)), np.zeros(len(FEATURES)), 1.0
     objective: list[float] = []
-    shrunk = np.zeros(times)
+    shrunk, converged = np.zeros(times), False
     for _ in range(steps):
 
         def work(s: Slots, done: tuple = tuple(plan), at: np.ndarray = y_scalars) -> list[np.ndarray]:
@@ -227,12 +258,20 @@ def fit_nuclear(slots: DataFrame, times: int, weight: float, steps: int = 10, ma
         y_scalars = stepped_scalars + pull * (stepped_scalars - scalars)
         scalars, momentum = stepped_scalars, following
         objective.append(float(loss[0] / n + (weight * before.sum() / np.sqrt(n) if rank is None else 0.0)))
-    return dict(zip(FEATURES, map(float, scalars))) | {"objective": objective, "singular_values": shrunk[::-1]}
+        converged = len(objective) > 2 and abs(objective[-2] - objective[-1]) <= tol * abs(objective[-2])
+        if converged:
+            break
+        if len(plan) >= KEPT_STEPS:
+            rows = with_state(rows, lambda s, done=tuple(plan): dict(zip(("theta", "y"), field_after(s, done, rate, times, n))), ["theta", "y"])
+            plan = []
+    return dict(zip(FEATURES, map(float, scalars))) | {"objective": objective, "singular_values": shrunk[::-1], "converged": converged}
 
 
 def field_after(s: Slots, done: tuple, rate: float, times: int, n: float) -> tuple[np.ndarray, np.ndarray]:
-    """The field of a batch's units after the steps so far, and where the next step starts from."""
-    theta = y = np.zeros((s.n, times))
+    """The field of a batch's units after the steps since their state was last written, and where the next step starts from."""
+    theta, y = s.kept("theta", times), s.kept("y", times)
+    if theta is None:
+        theta = y = np.zeros((s.n, times))
     for shrink, at, pull in done:
         new = (y - rate * _field_gradient(s, y, at, n)) @ shrink
         y, theta = new + pull * (new - theta), new

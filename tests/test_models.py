@@ -40,16 +40,36 @@ def test_scalars_recovered(spark):
 
 def test_low_rank_descends(spark):
     slots = panel(spark, units=40, times=15, field=1.0)
-    scalars, u, factors = fit_low_rank(slots, 15, rank=1, ridge=0.1, outer=4, inner=2, seed=3)
+    scalars, u, factors = fit_low_rank(slots, 15, rank=1, ridge=0.1, steps=11, tol=0.0, seed=3)
     steps = scalars["objective"]
-    assert all(b <= a + 1e-9 for a, b in zip(steps, steps[1:])) and steps[-1] < steps[0]
+    assert all(b <= a + 1e-9 for a, b in zip(steps, steps[1:])) and steps[-1] < steps[0] and not scalars["converged"]
     assert u.shape == (15, 1) and factors.count() == 40
-    again, u2, _ = fit_low_rank(slots, 15, rank=1, ridge=0.1, outer=4, inner=2, seed=3)
+    again, u2, _ = fit_low_rank(slots, 15, rank=1, ridge=0.1, steps=11, tol=0.0, seed=3)
     assert again["objective"] == pytest.approx(steps) and np.allclose(u, u2)
-    bounded, _, small = fit_low_rank(slots, 15, rank=1, ridge=0.1, column_max=0.3, outer=2, inner=1)
+    bounded, _, small = fit_low_rank(slots, 15, rank=1, ridge=0.1, column_max=0.3, steps=3)
     assert sum(r.v[0] ** 2 for r in small.collect()) <= 0.09 + 1e-9
 
 
+def test_low_rank_reaches_a_dense_optimum(spark):
+    """Against plain gradient descent on all parameters at once, run for long, from several starts."""
+    slots = panel(spark, units=12, times=8, field=1.0)
+    fit, _, _ = fit_low_rank(slots, 8, rank=1, ridge=0.5, tol=1e-9, steps=150, starts=2)
+    d = slots.toPandas()
+    unit, t = d["unit"].rank(method="dense").to_numpy().astype(int) - 1, d["t"].to_numpy()
+    x, f = d["x"].to_numpy(float), d[["z", "neighbours", "prev_x"]].to_numpy(float)
+    best = np.inf
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        u, v, w = rng.normal(0, 0.3, 8), rng.normal(0, 0.3, 12), np.zeros(3)
+        for _ in range(20_000):
+            h = u[t] * v[unit] + f @ w
+            r = np.tanh(h) - x
+            u, v, w = u - 0.01 * (np.bincount(t, r * v[unit], 8) + u), v - 0.01 * (np.bincount(unit, r * u[t], 12) + v), w - 0.002 * f.T @ r
+        h = u[t] * v[unit] + f @ w
+        best = min(best, ((np.logaddexp(h, -h) - x * h).sum() + 0.5 * ((u**2).sum() + (v**2).sum())) / len(x))
+    assert fit["converged"] and fit["objective"][-1] == pytest.approx(best, rel=1e-4)
+
+
 def test_nuclear_descends(spark):
     slots = panel(spark, units=30, times=10, field=1.0)
     fit = fit_nuclear(slots, 10, weight=0.05, steps=6)
