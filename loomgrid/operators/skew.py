@@ -18,9 +18,10 @@ MOST_HOT = 4096
 
 
 def hot_keys(rows: DataFrame, key: list[str], parts: str, crowded: int = CROWDED) -> DataFrame:
-    """(key, ``parts``) of the keys to be split: at most MOST_HOT rows, whatever the size of the table. Null keys are none."""
+    """(key, ``parts``) of the keys to be split: at most MOST_HOT rows, whatever the size of the table. Null keys match nothing. Of keys with
+    equally many rows the smaller ones count, so that both sides of a join get the same list however often it is made."""
     counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowded)
-    return counts.orderBy(F.desc("_n")).limit(MOST_HOT).select(*key, F.ceil(F.col("_n") / crowded).cast("int").alias(parts))
+    return counts.orderBy(F.desc("_n"), *key).limit(MOST_HOT).select(*key, F.ceil(F.col("_n") / crowded).cast("int").alias(parts))
 
 
 def _salted(by: str, parts: Column) -> Column:

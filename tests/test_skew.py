@@ -47,6 +47,14 @@ def test_hot_keys_are_few_and_spread(spark):
     assert both.where("k = 0").select("id", "probe_id").distinct().count() == 10_000
 
 
+def test_more_hot_keys_than_are_split(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MOST_HOT", 3)
+    df = spark.range(200).select((F.col("id") % 10).alias("k"), "id").repartition(7)
+    left, right, key = skew.spread(df, spark.range(10).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")), ["k"], "id")
+    assert {r.k for r in skew.hot_keys(df, ["k"], "_parts").collect()} == {0, 1, 2}
+    assert sorted((r.k, r.id, r.v) for r in left.join(right, key).collect()) == [(k, i, 2 * k) for k in range(10) for i in range(k, 200, 10)]
+
+
 def test_near_points_of_one_cell(spark):
     rng = random.Random(1)
     points = [(f"c{i:03d}", rng.uniform(0, 90), rng.uniform(0, 90)) for i in range(60)] + [(f"f{i:03d}", rng.uniform(-9000, 9000), rng.uniform(-9000, 9000)) for i in range(120)]
