@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrid.functions.scalars import chance, slot_loss
+from loomgrid.functions.scalars import chance, field_of_mean, slot_loss
 
 BINS = 10
+#: The simple predictors, by the column that holds the predicted mean.
+PREDICTORS = ("time_mean", "unit_mean", "persistence")
 
 
 def natural_parameter(theta: Column, z: Column, prev_x: Column, neighbours: Column, beta: float, eta: float, xi: float) -> Column:
@@ -35,25 +37,44 @@ def twelve_buckets(training: Column, test: Column, post: Column, treated: Column
     return {f"{a}{b}": c & t for a, c in kinds.items() for b, t in (("", F.lit(True)), ("_post_s", post))}
 
 
-def masked_scores(slots: DataFrame, masks: dict[str, Column]) -> DataFrame:
-    """mask, slots, loss, brier and ece (10 bins of the predicted chance; empty bins don't count) of each mask; a mask without slots
-    comes out with a count of 0 and null scores."""
+def masked_scores(slots: DataFrame, masks: dict[str, Column], keys: tuple[str, ...] = ()) -> DataFrame:
+    """mask, slots, loss, brier and ece (10 bins of the predicted chance; empty bins don't count) of each mask, for each value of ``keys``;
+    a mask without slots comes out with a count of 0 and null scores. Null keys are a group of their own."""
     p = chance(F.col("h"))
     y = (F.col("x") + 1) / 2
-    rows = slots.select(mask_names(masks), slot_loss(F.col("h"), F.col("x")).alias("loss"), F.pow(y - p, 2).alias("square"), y.alias("y"), p.alias("p"))
-    bins = rows.groupBy("mask", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).alias("bin")).agg(
+    rows = slots.select(*keys, mask_names(masks), slot_loss(F.col("h"), F.col("x")).alias("loss"), F.pow(y - p, 2).alias("square"), y.alias("y"), p.alias("p"))
+    bins = rows.groupBy(*keys, "mask", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("loss").alias("loss"), F.sum("square").alias("square"), F.abs(F.sum("y") - F.sum("p")).alias("gap")
     )
-    scores = bins.groupBy("mask").agg(
+    scores = bins.groupBy(*keys, "mask").agg(
         F.sum("n").alias("slots"), (F.sum("loss") / F.sum("n")).alias("loss"), (F.sum("square") / F.sum("n")).alias("brier"), (F.sum("gap") / F.sum("n")).alias("ece")
     )
-    return all_masks(slots, masks).join(scores, "mask", "left").withColumn("slots", F.coalesce("slots", F.lit(0)))
+    if not keys:
+        return all_masks(slots, masks).join(scores, "mask", "left").withColumn("slots", F.coalesce("slots", F.lit(0)))
+    empty = slots.select(*keys).distinct().select(*keys, F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask"), F.lit(0).cast("long").alias("slots"))
+    both = scores.unionByName(empty, allowMissingColumns=True)  # one row per mask has scores, the other only the count of 0
+    return both.groupBy(*keys, "mask").agg(*[F.max(c).alias(c) for c in ("slots", "loss", "brier", "ece")])
 
 
 def all_masks(df: DataFrame, masks: dict[str, Column]) -> DataFrame:
     return df.sparkSession.createDataFrame([(m,) for m in masks], "mask string")
 
 
+def predictors_in_rows(slots: DataFrame) -> DataFrame:
+    """Each slot once per simple predictor (``predictor``), with the field of the predicted mean as ``h``."""
+    kinds = F.array(*[F.struct(F.lit(n).alias("predictor"), F.col(n).alias("mean")) for n in PREDICTORS])
+    rows = baselines(slots).withColumn("each", F.explode(kinds))
+    return rows.withColumns({"predictor": F.col("each.predictor"), "h": field_of_mean(F.col("each.mean"))}).drop("each", *PREDICTORS)
+
+
+def with_new_baselines(reports: DataFrame, baselines: DataFrame, key: str) -> DataFrame:
+    """Earlier reports with only their baselines replaced: the rows of ``reports`` (``key``, ``part`` and scores) whose part is not
+    ``baselines``, and the given baseline rows of those keys that have such a report. A key without an earlier report gets none;
+    a report that the new baselines don't name keeps its fit rows and loses the old baselines. A null key is no report."""
+    kept = reports.where((F.col("part") != "baselines") & F.col(key).isNotNull())
+    return kept.unionByName(baselines.join(kept.select(key).distinct(), key, "left_semi"))
+
+
 def masked_means(slots: DataFrame, masks: dict[str, Column], value: Column) -> DataFrame:
     """mask, slots and mean; null where the mask is empty."""
     means = slots.select(mask_names(masks), value.alias("v")).groupBy("mask").agg(F.count(F.lit(1)).alias("slots"), F.avg("v").alias("mean"))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.functions.scalars import chance, field_of_mean, slot_loss
+from loomgrid.functions.scalars import chance, slot_loss
 from loomgrid.operators.graph import neighbour_sum
 from loomgrid.operators.metrics import (
-    baselines, draw_summary, masked_means, masked_scores, natural_parameter, panel_statistics, scalar_gradient, six_masks, twelve_buckets,
+    baselines, draw_summary, masked_means, masked_scores, natural_parameter, panel_statistics, predictors_in_rows, scalar_gradient, six_masks, twelve_buckets,
+    with_new_baselines,
 )
 from loomgrid.plans.graphs import DIRECTED_VIEW, gamma
 from loomgrid.operators.skew import numbered
 from loomgrid.plans.views import CELLS_VIEW, FIRST_TREATED, PANEL_VIEW, cells, first_treated, panel
+from loomgrid.session import run_folder, written_table
+from loomgrid.sources.tables import write_table
 
 BETA, ETA, XI = -0.3, 0.3, 0.8
 
@@ -96,14 +101,55 @@ def simple_predictors(spark, folder):
 
 def predictor_scores(spark, folder):
     """The baselines scored on the test slots like a model, their means turned into a field."""
+    rows, _, _ = masks(spark, folder)
+    scores = masked_scores(predictors_in_rows(rows), {"test_all": F.col("test")}, ("predictor",))
+    return scores.select("predictor", "slots", *[F.round(c, 6).alias(c) for c in ("loss", "brier", "ece")])
+
+
+def evaluation(rows: DataFrame, post: Column, treated: Column) -> tuple[DataFrame, DataFrame]:
+    """Reports by state: the six masks of the fit, and the baselines on the test slots."""
+    fit = masked_scores(rows, six_masks(F.col("test"), post, treated), ("state",)).withColumnsRenamed({"mask": "name"}).withColumn("part", F.lit("fit"))
+    simple = masked_scores(predictors_in_rows(rows), {"all": F.col("test")}, ("state", "predictor")).withColumnsRenamed({"predictor": "name"})
+    shape = ["state", "part", "name", "slots", "loss", "brier", "ece"]
+    return fit.select(shape), simple.withColumn("part", F.lit("baselines")).select(shape)
+
+
+def test_evaluation(spark, folder):
+    """The report on the test slots of each state (states stand in for fits): scores of the fit by mask, and of the baselines."""
     rows, post, treated = masks(spark, folder)
-    rows = baselines(rows)
-    test = {"test_all": F.col("test")}
-    out = None
-    for name in ("time_mean", "unit_mean", "persistence"):
-        scores = masked_scores(rows.withColumn("h", field_of_mean(F.col(name))), test).withColumn("predictor", F.lit(name))
-        out = scores if out is None else out.unionByName(scores)
-    return out.select("predictor", "slots", *[F.round(c, 6).alias(c) for c in ("loss", "brier", "ece")])
+    fit, simple = evaluation(written_table(rows.withColumn("state", F.substring("unit", 1, 2))), post, treated)
+    return fit.unionByName(simple).select("state", "part", "name", "slots", *[F.round(c, 6).alias(c) for c in ("loss", "brier", "ece")])
+
+
+def test_evaluation_baselines(spark, folder):
+    """Q6: the earlier reports (of the states with any treated unit, baselines of before s) with only their baselines computed anew."""
+    rows, post, treated = masks(spark, folder)
+    rows = written_table(rows.withColumn("state", F.substring("unit", 1, 2)))
+    fit, simple = evaluation(rows, post, treated)
+    reported = rows.where(treated).select("state").distinct()
+    _, old = evaluation(rows.where(~post), post, treated)
+    earlier = fit.unionByName(old).join(reported, "state", "left_semi")
+    return with_new_baselines(earlier, simple, "state").select("state", "part", "name", "slots", *[F.round(c, 6).alias(c) for c in ("loss", "brier", "ece")])
+
+
+def artifact_round_trip(spark, folder):
+    """The field, the interactions xi * gamma, the scalars and the completed surface, each written as a table of its own in the
+    checkpoint folder, laid out by kind, and read again."""
+    base = f"{run_folder(spark)}/{uuid.uuid4().hex}"
+    rows = panel(spark, folder)
+    observed = cells(spark, folder).where("panel_key = 'x'").groupBy("unit", "week").agg(F.max("value").cast("double").alias("value"))
+    means = observed.groupBy("unit").agg(F.avg("value").alias("m"))
+    completed = observed.join(means, "unit").select(F.col("unit").alias("a"), F.col("week").cast("string").alias("b"), F.coalesce("value", "m").alias("value"))
+    kinds = {
+        "field": rows.select(F.col("unit").alias("a"), F.col("t").cast("string").alias("b"), F.col("theta").alias("value")),
+        "interactions": gamma(spark, folder).select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("w") * XI).alias("value")),
+        "scalars": rows.agg(*[F.lit(v).alias(n) for n, v in (("beta", BETA), ("eta", ETA), ("xi", XI))]).unpivot([], ["beta", "eta", "xi"], "a", "value").withColumn("b", F.lit(None).cast("string")),
+        "completed": completed,
+    }
+    for kind, df in kinds.items():
+        write_table(df.select("a", "b", "value"), f"{base}/kind={kind}")
+    again = spark.read.schema("a string, b string, value double, kind string").option("basePath", base).parquet(base)
+    return again.select("kind", "a", "b", F.round("value", 9).alias("value"))
 
 
 def treated_share(spark, folder):
@@ -141,7 +187,7 @@ def completion_stats(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     slot_losses, test_scores, bucket_means, gradient, statistics_of_panel, draw_means, simple_predictors, predictor_scores, treated_share, unit_order,
-    split_matrices, completion_stats,
+    split_matrices, completion_stats, test_evaluation, test_evaluation_baselines, artifact_round_trip,
 )}
 
 BASE_SQL = """ means AS (SELECT avg(x) FILTER (training) AS m FROM panel),
@@ -155,6 +201,16 @@ SCORE = """, bins AS (SELECT {key}, least(floor(p * 10), 9) AS bin, count(*) AS
 , totals AS (
    SELECT {key}, CAST(sum(n) AS BIGINT) AS slots, round(sum(loss) / sum(n), {d}) AS loss, round(sum(square) / sum(n), {d}) AS brier, round(sum(gap) / sum(n), {d}) AS ece FROM bins GROUP BY ALL)
  SELECT {key}, coalesce(slots, 0) AS slots, loss, brier, ece FROM (SELECT unnest({names}) AS {key}) LEFT JOIN totals USING ({key})"""
+EVALUATION_SQL = f""", sixes AS ({SIX_SQL}), {BASE_SQL},
+ fields AS ({" UNION ALL ".join(f"SELECT '{n}' AS name, unit, t, atanh(least(greatest({n}, 1e-6::DOUBLE - 1), 1 - 1e-6::DOUBLE)) AS h FROM base" for n in ("time_mean", "unit_mean", "persistence"))}),
+ states AS (SELECT left(unit, 2) AS state, bool_or(treated) AS reported FROM scored GROUP BY 1),
+ each AS (
+   SELECT left(unit, 2) AS state, 'fit' AS part, mask AS name, loss, p, y FROM sixes
+   UNION ALL SELECT left(unit, 2), 'baselines', name, abs(f.h) + ln(1 + exp(-2 * abs(f.h))) - x * f.h, (1 + tanh(f.h)) / 2, y FROM scored s JOIN fields f USING (unit, t) WHERE test),
+ bins AS (SELECT state, part, name, least(floor(p * 10), 9) AS bin, count(*) AS n, sum(loss) AS loss, sum(pow(y - p, 2)) AS square, abs(sum(y) - sum(p)) AS gap FROM each GROUP BY ALL),
+ totals AS (SELECT state, part, name, CAST(sum(n) AS BIGINT) AS slots, round(sum(loss) / sum(n), 6) AS loss, round(sum(square) / sum(n), 6) AS brier, round(sum(gap) / sum(n), 6) AS ece FROM bins GROUP BY ALL),
+ names AS (SELECT 'fit' AS part, unnest({SIX}) AS name UNION ALL SELECT 'baselines', unnest(['time_mean', 'unit_mean', 'persistence']))
+ SELECT state, part, name, coalesce(slots, 0) AS slots, loss, brier, ece FROM (SELECT * FROM states, names) LEFT JOIN totals USING (state, part, name)"""
 _post = f"CASE WHEN t >= {FIRST_TREATED} THEN x END"
 
 ORACLES = {
@@ -173,6 +229,12 @@ ORACLES = {
     "simple_predictors": f"WITH {PANEL_VIEW}, {BASE_SQL} SELECT unit, t, round(time_mean, 9) AS time_mean, round(unit_mean, 9) AS unit_mean, round(persistence, 9) AS persistence FROM base",
     "predictor_scores": SLOTS_VIEW + f", {BASE_SQL}, fields AS (" + " UNION ALL ".join(f"SELECT '{n}' AS predictor, unit, t, atanh(least(greatest({n}, 1e-6::DOUBLE - 1), 1 - 1e-6::DOUBLE)) AS h FROM base" for n in ("time_mean", "unit_mean", "persistence"))
     + "), each AS (SELECT predictor, abs(f.h) + ln(1 + exp(-2 * abs(f.h))) - x * f.h AS loss, (1 + tanh(f.h)) / 2 AS p, y FROM scored s JOIN fields f ON f.unit = s.unit AND f.t = s.t WHERE test)" + SCORE.format(key="predictor", d=6, names=["time_mean", "unit_mean", "persistence"]),
+    "test_evaluation": SLOTS_VIEW + EVALUATION_SQL,
+    "test_evaluation_baselines": SLOTS_VIEW + EVALUATION_SQL + " WHERE reported",
+    "artifact_round_trip": f"""WITH {DIRECTED_VIEW}, {PANEL_VIEW}, o AS (SELECT unit, week, max(value)::DOUBLE AS value FROM cells WHERE panel_key = 'x' GROUP BY 1, 2)
+      SELECT 'field' AS kind, unit AS a, CAST(t AS VARCHAR) AS b, round(theta, 9) AS value FROM panel UNION ALL SELECT 'interactions', src, dst, round(w * {XI}::DOUBLE, 9) FROM gamma
+      UNION ALL SELECT 'scalars', unnest(['beta', 'eta', 'xi']), NULL, unnest([{BETA}, {ETA}, {XI}]::DOUBLE[])
+      UNION ALL SELECT 'completed', unit, CAST(week AS VARCHAR), round(coalesce(value, avg(value) OVER (PARTITION BY unit)), 9) FROM o""",
     "treated_share": f"WITH {PANEL_VIEW} SELECT t, round(avg(CAST(z = 1 AS INTEGER)), 9) AS treated_share, round(avg(x), 9) AS time_mean, count(*) AS units FROM panel GROUP BY 1",
     "unit_order": f"WITH {PANEL_VIEW}, m AS (SELECT unit, round(avg(x), 9) AS unit_mean FROM panel GROUP BY 1) SELECT *, CAST(row_number() OVER (ORDER BY unit_mean, unit) AS INTEGER) AS place FROM m",
     "split_matrices": f"""WITH {PANEL_VIEW} SELECT unit, t, CASE WHEN z > 0 THEN x END AS treated, CASE WHEN z <= 0 THEN x END AS untreated,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomgrid.functions.latest import last_non_null, latest_row
 from loomgrid.functions.scalars import chance, experiment_name, experiment_part, finite, iso_week, iso_year, plus_minus, slot_loss, slug, week_end, week_start_of
 from loomgrid.operators.graph import asymmetry, both_ways, components, kernel_weight, median_distance, nearest, neighbour_sum, normalised, random_graph, symmetric_by_max, symmetric_by_mean
-from loomgrid.operators.metrics import baselines, masked_scores, twelve_buckets
+from loomgrid.operators.metrics import baselines, masked_scores, predictors_in_rows, twelve_buckets, with_new_baselines
 from loomgrid.operators.panel import before_first_report, deltas, dense_index, dense_suffix, fill_from, increments, lagged, skeleton, start_and_end, with_change
 from loomgrid.operators.reports import QUANTILES, calibration, exact_quantiles, finite_summary, fold_means, one_se_choice, ranks, vector_errors
 from loomgrid.operators.splits import blanket_violations, inner_roles, pattern_members, roles, schedule, time_blocks
@@ -256,3 +256,32 @@ def test_read_text_table(spark, tmp_path):
     (tmp_path / "t.csv").write_text("a,b,c\n1,,x\nbad,2.5,\n")
     rows = [tuple(r) for r in read_text_table(spark, str(tmp_path / "t.csv"), "a int, b double, c string, d date").collect()]
     assert rows == [(1, None, "x", None), (None, 2.5, None, None)]
+
+
+def test_scores_by_key_keep_empty_masks_and_null_keys(spark):
+    rows = [("a", 1, 0.5), ("a", -1, 0.5), (None, 1, 2.0)]
+    slots = spark.createDataFrame(rows, "k string, x int, h double")
+    masks = {"all": F.lit(True), "down": F.col("x") < 0}
+    got = {(r.k, r.mask): r for r in masked_scores(slots, masks, ("k",)).collect()}
+    assert {k: r.slots for k, r in got.items()} == {("a", "all"): 2, ("a", "down"): 1, (None, "all"): 1, (None, "down"): 0}
+    assert got[None, "down"].loss is None and got["a", "down"].loss > got["a", "all"].loss
+    alone = masked_scores(slots.where("k = 'a'"), masks).where("mask = 'all'").first()
+    assert (got["a", "all"].loss, got["a", "all"].brier, got["a", "all"].ece) == pytest.approx((alone.loss, alone.brier, alone.ece))
+    assert masked_scores(slots.limit(0), masks, ("k",)).collect() == []
+
+
+def test_predictors_in_rows(spark):
+    slots = spark.createDataFrame([("u", t, x, t < 2) for t, x in enumerate((1, -1, 1))], "unit string, t int, x int, training boolean")
+    rows = predictors_in_rows(slots)
+    assert rows.count() == 9 and rows.select("predictor").distinct().count() == 3
+    assert rows.where("predictor = 'unit_mean'").agg(F.max(F.abs("h"))).first()[0] == 0.0
+
+
+def test_new_baselines_replace_only_baselines_of_earlier_reports(spark):
+    schema = "state string, part string, name string, loss double"
+    earlier = [("a", "fit", "all", 1.0), ("a", "baselines", "old", 9.0), ("b", "fit", "all", 2.0), ("c", "baselines", "old", 9.0), (None, "fit", "all", 3.0)]
+    new = [("a", "baselines", "new", 4.0), ("a", "baselines", "other", None), ("c", "baselines", "new", 5.0), ("d", "baselines", "new", 6.0), (None, "baselines", "new", 7.0)]
+    make = lambda rows: spark.createDataFrame(rows, schema)
+    got = sorted(tuple(r) for r in with_new_baselines(make(earlier), make(new), "state").collect())
+    assert got == [("a", "baselines", "new", 4.0), ("a", "baselines", "other", None), ("a", "fit", "all", 1.0), ("b", "fit", "all", 2.0)]
+    assert with_new_baselines(make([]), make(new), "state").collect() == []
