@@ -10,6 +10,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_scan(scanned: DataFrame) -> DataFrame:
+    """A scan of at most half as many splits as the session has cores, its rows dealt evenly to all of them: small files of one row group
+    can't be split further, so that work that is heavy per row would keep few cores busy. A larger scan stays as it is, without a shuffle."""
+    cores = scanned.sparkSession.sparkContext.defaultParallelism
+    return scanned.repartition(cores) if 2 * scanned.rdd.getNumPartitions() <= cores else scanned
+
+
 def read_text_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV (also gzipped) with a header, every column read as text, blanks as nulls, then
     cast by ``schema``; text that can't be cast becomes null."""
