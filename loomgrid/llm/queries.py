@@ -9,7 +9,7 @@ from loomgrid.llm.encode import decode_corpus, encode_corpus
 from loomgrid.llm.packing import pack_tokens
 from loomgrid.llm.quality import natural_prose, quality
 from loomgrid.llm.topn import latest_items, top_n_per_group
-from loomgrid.sources.tables import table
+from loomgrid.sources.tables import spread_scan, table
 
 ITEM = ["experiment_name", "run_name", "source_name"]
 CAPACITY = 2048
@@ -46,14 +46,19 @@ WITH items AS (
 
 
 # 6 Token ids of every document
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, dealt to all cores where the scan has few splits."""
+    return spread_scan(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
+    return encode_corpus(texts(spark, folder), "doc_id", "text")
 
 
 def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """The digest of every text after encoding and decoding."""
-    texts = decode_corpus(p6_ids(spark, folder), "doc_id", "ids")
-    return texts.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    decoded = decode_corpus(p6_ids(spark, folder), "doc_id", "ids")
+    return decoded.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 # 7 Texts in containers of 2,048 tokens
@@ -79,11 +84,11 @@ def p7_documents(spark: SparkSession, folder: str) -> DataFrame:
 # 8 Text quality
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     words = table(spark, folder, "common_words")
-    return natural_prose(table(spark, folder, "documents"), "doc_id", "text", "lang", words, "word", word_lang="lang").select("doc_id")
+    return natural_prose(texts(spark, folder), "doc_id", "text", "lang", words, "word", word_lang="lang").select("doc_id")
 
 
 def p8_quality(spark: SparkSession, folder: str) -> DataFrame:
-    return quality(table(spark, folder, "documents"), "doc_id", "text", "lang", table(spark, folder, "common_words"), "word", word_lang="lang")
+    return quality(texts(spark, folder), "doc_id", "text", "lang", table(spark, folder, "common_words"), "word", word_lang="lang")
 
 
 QUERIES = {
