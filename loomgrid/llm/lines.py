@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +19,31 @@ ENDS = ".!?…。！？"
 CLOSERS = "\"'”’»›)」』"
 BREAKS = "\n\r\x0b\x0c\x85  "
 HIRAGANA_KATAKANA = (0x3040, 0x30FF)
+#: Counts by group and language, and words by language, that are held at a time: both bound the memory of a task with many languages.
+HELD_COUNTS, HELD_PAIRS = 2_000_000, 2_000_000
+
+
+@dataclass
+class WordLists:
+    """The common words of all languages: each word once, and its languages as n + 1 offsets and their numbers."""
+
+    words: pa.Array
+    starts: np.ndarray
+    languages: np.ndarray
+    n: int
+
+    @classmethod
+    def of(cls, words: pa.Array, languages: np.ndarray, n: int) -> WordLists:
+        """From pairs of a word and the number of its language, each pair once."""
+        each = words.dictionary_encode()
+        which = each.indices.to_numpy()
+        starts = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(each.dictionary)))])
+        return cls(each.dictionary, starts, languages[np.argsort(which, kind="stable")].astype(np.int32), max(n, 1))
+
+    @classmethod
+    def of_sets(cls, sets: list[set[str]]) -> WordLists:
+        pairs = [(w, i) for i, s in enumerate(sets) for w in sorted(s)]
+        return cls.of(pa.array([w for w, _ in pairs], pa.string()), np.array([i for _, i in pairs], np.int32), len(sets))
 
 
 @lru_cache(maxsize=1)
@@ -44,9 +70,11 @@ def member(characters: str, points: np.ndarray) -> np.ndarray:
 
 
 class Lines:
-    """Of a batch of texts: per line its text, and counts of characters, words, common words of each language, and sentence ends."""
+    """Of a batch of texts: per line its text, and counts of characters, words and sentence ends; of groups of lines the counts of common
+    words (``most_common``)."""
 
-    def __init__(self, texts: pa.Array, common: list[set[str]]):
+    def __init__(self, texts: pa.Array, common: WordLists):
+        self.lists = common
         raw, plain, offsets = plain_text(texts)
         self.texts = len(texts)
         if not plain:
@@ -96,14 +124,13 @@ class Lines:
         bounds = (cuts if at_byte is None else np.append(at_byte, len(raw))[cuts]).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.string(), len(cuts) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
         lower, which = pc.utf8_lower(pieces.dictionary), pieces.indices.to_numpy()[is_word]
-        known = np.stack([pc.is_in(lower, value_set=pa.array(sorted(c), pa.string())).to_numpy(zero_copy_only=False) for c in common])
+        known = pc.index_in(lower, value_set=common.words).fill_null(-1).to_numpy(zero_copy_only=False)
         word_line = line[begin]
         per_line = lambda at, w=None: np.bincount(at, w, self.n)[: self.n]
         self.words = per_line(word_line)
         self.word_letters = per_line(word_line, size)
-        listed = np.flatnonzero(known.any(0)[which])  # most words are in no list
-        listed_line, listed = word_line[listed], which[listed]
-        self.common = np.stack([per_line(listed_line[k[listed]]) for k in known])
+        listed = np.flatnonzero(known[which] >= 0)  # most words are in no list
+        self.listed_line, self.listed = word_line[listed], known[which[listed]]
         humps = np.flatnonzero((kind[:-1] == LOWER) & (kind[1:] == UPPER))
         self.humps = per_line(line[humps])
         # sentence ends: an end sign, perhaps closers, then a blank, a break, the end, or (in scripts without blanks) a syllable
@@ -127,6 +154,31 @@ class Lines:
             return np.zeros(self.texts)
         return np.bincount(self.text, values, self.texts)
 
+    def most_common(self, group: np.ndarray, n: int, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Of each of ``n`` groups of lines (ascending; only the lines ``inside`` count): the language with most common words, the first of
+        equal ones, and how many it has. Groups, and words in them, are counted some at a time, so neither the length of the lists nor the
+        number of languages adds to what is held."""
+        language, most = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        line, word = self.listed_line, self.listed
+        if inside is not None:
+            kept = inside[line]
+            line, word = line[kept], word[kept]
+        at, lists = group[line], self.lists
+        sizes = np.diff(lists.starts)[word]
+        groups, words = max(1, HELD_COUNTS // lists.n), max(1, HELD_PAIRS // max(1, int(sizes.max(initial=1))))
+        for a in range(0, n, groups):
+            b = min(n, a + groups)
+            begin, end = np.searchsorted(at, [a, b])
+            counts = np.zeros((b - a) * lists.n, np.int64)
+            for i in range(begin, end, words):
+                size = sizes[i : min(end, i + words)]
+                place = np.arange(size.sum()) + np.repeat(lists.starts[word[i : i + len(size)]] - np.cumsum(size) + size, size)
+                counts += np.bincount(np.repeat((at[i : i + len(size)] - a) * lists.n, size) + lists.languages[place], minlength=len(counts))
+            counts = counts.reshape(b - a, lists.n)
+            language[a:b] = counts.argmax(1)
+            most[a:b] = counts[np.arange(b - a), language[a:b]]
+        return language, most
+
     def blocks(self) -> tuple[np.ndarray, np.ndarray]:
         """Lines that could be running text (mostly letters, hardly any signs), and the block of each: such lines in a row, blank
         ones between them allowed."""

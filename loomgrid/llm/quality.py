@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.llm.encode import slices
-from loomgrid.llm.lines import Lines
+from loomgrid.llm.lines import Lines, WordLists
 from loomgrid.session import cut_lineage
 
 MEASURED = ("mean_word_length", "symbol_ratio", "punctuated_lines", "common_words")
@@ -24,7 +24,7 @@ STATISTICS = (*MEASURED, "sentence_share")
 PROSE = 0.5
 #: Tails of a distribution, as shares of a language's documents on either side.
 TAIL = 0.05
-#: Bound on the word list, which every task holds.
+#: Bound on the word list of ``statistics`` unless another or none is given; ``quality`` takes lists of any length.
 MOST_COMMON_WORDS = 100_000
 #: Bins of a sketch of shares of common words, and the part of the mode's weight up to which a bin counts as empty.
 BINS, EMPTY = 20, 0.01
@@ -43,9 +43,8 @@ def running_text(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     texty, block = lines.blocks()
     n = int(block[-1]) + 1
     total = lambda v: np.bincount(block[texty], np.asarray(v)[texty], n)
-    words, common = total(lines.words), np.stack([total(c) for c in lines.common])
-    language = common.argmax(0)
-    most = common[language, np.arange(n)]
+    words = total(lines.words)
+    language, most = lines.most_common(block, n, texty)
     share = most / np.maximum(words, 1)
     cell = np.where(most > 0, language * BINS + np.minimum((share * BINS).astype(np.int64), BINS - 1), UNLISTED)
     unspaced = total(lines.syllables) >= 0.3 * total(lines.letters)
@@ -57,10 +56,11 @@ def running_text(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text[kept], np.where(unspaced, UNSPACED, cell)[kept], total(lines.ink)[kept]
 
 
-def text_figures(texts: pa.Array, common: set[str] | list[set[str]]) -> dict[str, np.ndarray]:
+def text_figures(texts: pa.Array, common: set[str] | list[set[str]] | WordLists) -> dict[str, np.ndarray]:
     """Of each text: words, lines (with ink), ink, and MEASURED; a statistic without anything to count is NaN. Besides ``cells``: n + 1
     offsets, and the cell and ink of the running text of each. ``common``: the common words of each language."""
-    lines = Lines(texts, [common] if isinstance(common, set) else common)
+    common = common if isinstance(common, WordLists) else WordLists.of_sets([common] if isinstance(common, set) else common)
+    lines = Lines(texts, common)
     if not lines.n:
         empty = np.zeros(lines.texts)
         none = (np.zeros(lines.texts + 1, np.int32), np.zeros(0, np.int32), np.zeros(0))
@@ -68,7 +68,7 @@ def text_figures(texts: pa.Array, common: set[str] | list[set[str]]) -> dict[str
     per_text = lines.per_text
     words, rows, ink = per_text(lines.words), per_text(lines.ink > 0), per_text(lines.ink)
     text, cell, weight = running_text(lines)
-    wide = (len(lines.common) + 1) * BINS
+    wide = (common.n + 1) * BINS
     place, at = np.unique(text * wide + cell + BINS, return_inverse=True)
     cells = (np.searchsorted(place // wide, np.arange(lines.texts + 1)).astype(np.int32), (place % wide - BINS).astype(np.int32), np.bincount(at, weight, len(place)))
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -80,36 +80,40 @@ def text_figures(texts: pa.Array, common: set[str] | list[set[str]]) -> dict[str
             "mean_word_length": per_text(lines.word_letters) / words,
             "symbol_ratio": per_text(lines.signs) / ink,
             "punctuated_lines": per_text(lines.ends_in_mark) / rows,
-            "common_words": np.max([per_text(c) for c in lines.common], axis=0) / words,
+            "common_words": lines.most_common(lines.text, lines.texts)[1] / words,
         }
 
 
-def word_lists(common_words: DataFrame, word: str, word_lang: str | None, most: int) -> list[set[str]]:
-    """The words of each language (of all together without ``word_lang``), at most ``most``."""
+def word_lists(common_words: DataFrame, word: str, word_lang: str | None, most: int | None) -> WordLists:
+    """The words of each language in order (of all together without ``word_lang``); more than ``most`` raise an error."""
     language = F.coalesce(F.col(word_lang).cast("string"), F.lit("")) if word_lang else F.lit("")
-    listed = common_words.where(F.col(word).isNotNull()).select(language.alias("lang"), F.lower(F.trim(F.col(word))).alias("word"))
-    rows = listed.distinct().limit(most + 1).collect()
-    if len(rows) > most:
+    listed = common_words.where(F.col(word).isNotNull()).select(language.alias("lang"), F.lower(F.trim(F.col(word))).alias("word")).distinct()
+    rows = (listed if most is None else listed.limit(most + 1)).toArrow().combine_chunks()
+    if most is not None and rows.num_rows > most:
         raise ValueError(f"more than {most} common words")
-    return [{r.word for r in rows if r.lang == name} for name in sorted({r.lang for r in rows})] or [set()]
+    named = pa.array(rows["lang"].to_pylist(), pa.string()).dictionary_encode()
+    order = np.argsort(np.array(named.dictionary.to_pylist(), object))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    return WordLists.of(pa.array(rows["word"].combine_chunks(), pa.string()), rank[named.indices.to_numpy()], len(order))
 
 
 def statistics(
-    documents: DataFrame, id: str, text: str, lang: str, common_words: DataFrame, word: str, word_lang: str | None = None, most_words: int = MOST_COMMON_WORDS
+    documents: DataFrame, id: str, text: str, lang: str, common_words: DataFrame, word: str, word_lang: str | None = None, most_words: int | None = MOST_COMMON_WORDS
 ) -> DataFrame:
     """``id``, ``lang`` (lower case without blanks around, ``und`` where null or blank), ``words``, ``lines``, ``ink`` (characters other
     than white space), MEASURED and ``running`` (the ink of running text by cell) of every row; a statistic of a text without
     words, or without anything but white space, is null. Whole texts of any length are counted. No shuffle.
 
-    ``common_words`` must be a bounded word list; more than ``most_words`` raise an error. The share of common words is that
-    of the language whose list has most of a text's words, so a wrong ``lang`` doesn't matter.
+    ``common_words`` is gathered once and sent to the executors, each word once; more than ``most_words`` raise an error (None: any number).
+    The share of common words is that of the language whose list has most of a text's words, so a wrong ``lang`` doesn't matter.
     """
-    common = word_lists(common_words, word, word_lang, most_words)
+    sent = documents.sparkSession.sparkContext.broadcast(word_lists(common_words, word, word_lang, most_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                figures = text_figures(part["text"], common)
+                figures = text_figures(part["text"], sent.value)
                 columns = [pa.array(figures[c].astype(np.int64)) for c in ("words", "lines", "ink")]
                 columns += [pa.array(figures[s], from_pandas=True) for s in MEASURED]
                 offsets, cell, weight = map(pa.array, figures["cells"])
@@ -161,7 +165,7 @@ def sentence_cells(rows: DataFrame) -> list[int]:
     out = [UNLISTED] if share_cuts(everything)[0] == 0 else []
     for language, weights in enumerate(sketches):
         low, high = share_cuts(weights + everything * PRIOR_TEXTS / texts)
-        out += [language * BINS + b for b in range(low, high + 1)]
+        out += [language * BINS + b for b in range(low, high + 1) if weights[b] > 0]
     return out
 
 
@@ -175,9 +179,9 @@ def quality(
     ``sentence_share`` is the ink of running text whose share of common words lies in the main body of its language's sketch
     (``sentence_cells``; ``cells`` sets them otherwise), over all ink. Distributions are mergeable quantile sketches per
     language, built where the documents are and merged; a language of any share of the corpus costs one sketch per task. A language of
-    few documents has no tails beyond its extremes.
+    few documents has no tails beyond its extremes. The word list may have any number of words and languages.
     """
-    rows = cut_lineage(statistics(documents, id, text, lang, common_words, word, word_lang))  # texts are read once
+    rows = cut_lineage(statistics(documents, id, text, lang, common_words, word, word_lang, None))  # texts are read once
     cells = [UNSPACED, *(sentence_cells(rows) if cells is None else cells)]
     inside = F.aggregate(F.filter("running", lambda r: r["cell"].isin(*cells)), F.lit(0.0), lambda a, r: a + r["ink"])
     rows = rows.withColumn("sentence_share", F.try_divide(inside, F.col("ink")))

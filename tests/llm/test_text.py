@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.llm.bpe import Words, cut_words, gather, plain_text, vocabulary
 from loomgrid.llm.encode import TOKENIZERS, decode_corpus, encode_corpus, text_offsets
+from loomgrid.llm.lines import Lines, WordLists
 from loomgrid.llm.packing import OpenWindows, pack_sizes, pack_tokens
 from loomgrid.llm.quality import BINS, STATISTICS, UNLISTED, natural_prose, quality, share_cuts, statistics, text_figures
 from loomgrid.llm.topn import latest_items, top_n_per_group
@@ -210,6 +211,28 @@ def test_quality_places(spark):
         statistics(df, "doc_id", "text", "lang", many, "word")
 
 
+def test_word_lists_of_any_length(spark):
+    """100,600 more words in 301 languages: the same documents are prose, with the same share of common words."""
+    df, few = documents(spark), [(w, "en") for w in sorted(COMMON)]
+    more = few + [(f"{w}q{i}", f"x{i % 300}") for i in range(100_600 // len(COMMON) + 1) for w in sorted(COMMON)]
+    tell = lambda words: sorted((r.doc_id, r.common_words, r.sentence_share) for r in quality(df, "doc_id", "text", "lang", spark.createDataFrame(words, "word string, lang string"), "word", word_lang="lang").collect() if r.words)
+    assert len(more) > 100_001 and tell(more) == tell(few)
+
+
+def test_most_common_counts_in_parts(monkeypatch):
+    rng = random.Random(5)
+    texts = pa.array(["\n".join(" ".join(rng.choices("abcdefg", k=rng.randint(0, 9))) for _ in range(rng.randint(1, 5))) for _ in range(60)])
+    sets = [set(rng.sample("abcdefg", k)) for k in (3, 4, 4, 2)]
+    lines_of = [t.as_py().split() for t in texts]
+    counts = np.array([[sum(w in s for w in words) for s in sets] for words in lines_of])
+    for held in (2_000_000, 5, 1):
+        monkeypatch.setattr("loomgrid.llm.lines.HELD_COUNTS", held)
+        monkeypatch.setattr("loomgrid.llm.lines.HELD_PAIRS", held)
+        lines = Lines(texts, WordLists.of_sets(sets))
+        language, most = lines.most_common(lines.text, lines.texts)
+        assert language.tolist() == counts.argmax(1).tolist() and most.tolist() == counts.max(1).tolist()
+
+
 @needs_file
 def test_queries_agree_with_sql(spark, data):
     import duckdb
