@@ -102,17 +102,19 @@ def gibbs(panel: DataFrame, edges: DataFrame, free: str, draws: int, sweeps: int
     """
     both = both_ways(edges)
     node = lambda unit, t: F.concat_ws("@", unit, t)
-    marked = panel.withColumn("prev_t", F.lag("t").over(Window.partitionBy("unit").orderBy("t")))
-    slots = cut_lineage(marked.where(free).select("unit", "t", "x", "z", "theta", "prev_x", "prev_t"))
-    ends = lambda side: slots.select(F.col("unit").alias(side), "t")
-    beside = both.join(ends("src"), "src").join(ends("dst"), ["dst", "t"]).select(node("src", "t").alias("a"), node("dst", "t").alias("b"), "src", "dst", "w")
+    along = Window.partitionBy("unit").orderBy("t")
+    marked = panel.withColumns({"prev_t": F.lag("t").over(along), "begins": ~F.coalesce(F.lag(free).over(along), F.lit(False))})
+    # free rows of a unit that follow each other are one node, named by the smallest of its slots: the rounds of the components see no times
+    slots = marked.where(free).withColumn("run", F.sum(F.col("begins").cast("int")).over(along))
+    slots = slots.withColumn("node", F.min(node("unit", "t")).over(Window.partitionBy("unit", "run")))
+    slots = cut_lineage(slots.select("unit", "t", "x", "z", "theta", "prev_x", "prev_t", "node"))
+    ends = lambda side, name: slots.select(F.col("unit").alias(side), "t", F.col("node").alias(name))
+    beside = both.join(ends("src", "a"), "src").join(ends("dst", "b"), ["dst", "t"]).groupBy("a", "b", "src", "dst").agg(F.max("w").alias("w"))
     beside = cut_lineage(beside)
-    follow = slots.select("unit", F.col("prev_t").alias("t"), F.col("t").alias("next")).join(slots.select("unit", "t"), ["unit", "t"])
-    links = beside.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(follow.select(node("unit", "t").alias("src"), node("unit", "next").alias("dst")))
-    labels = components(links.withColumn("w", F.lit(1.0)))
+    labels = components(beside.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w"))
     fixed = panel.where(~F.col(free)).select(F.col("unit").alias("dst"), "t", F.col("x").alias("v"))
     outside = both.join(fixed, "dst").groupBy(F.col("src").alias("unit"), "t").agg(F.sum(F.col("w") * F.col("v")).alias("outside"))
-    placed = slots.withColumn("node", node("unit", "t")).join(labels, "node", "left").join(outside, ["unit", "t"], "left")
+    placed = slots.join(labels, "node", "left").join(outside, ["unit", "t"], "left")
     placed = placed.select(F.coalesce("component", "node").alias("block"), "unit", "t", "x", "z", "theta", "prev_x", "prev_t", F.coalesce("outside", F.lit(0.0)).alias("outside"), F.lit(True).alias("free"))
     pairs = beside.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("component").alias("link_block"), "src", "dst").agg(F.max("w").alias("w"))
 

@@ -121,12 +121,13 @@ def draw_seeds(spark, folder):
 
 def held_out_draws(spark, folder):
     """Held-out slots of fold 1 drawn given all others; observed and drawn means per mask and their distance."""
-    roles = fold_roles(spark, folder).where("fold = 1").select("t", "unit", (F.col("role") == "validation").alias("free"))
-    rows = panel(spark, folder).join(roles, ["t", "unit"], "left").withColumn("free", F.coalesce("free", F.lit(False)))
-    edges = gamma(spark, folder).where(F.col("src") < F.col("dst"))
+    held = fold_roles(spark, folder).where("fold = 1 and role = 'validation'").select("t", "unit", F.lit(True).alias("free"))
+    # written once: all later plans, those of the rounds of the components too, begin with these rows
+    rows = cut_lineage(panel(spark, folder).join(held, ["t", "unit"], "left").withColumn("free", F.coalesce("free", F.lit(False))))
+    edges = cut_lineage(gamma(spark, folder).where(F.col("src") < F.col("dst")))
     drawn = cut_lineage(gibbs(rows, edges, "free", DRAWS, SWEEPS, BETA, ETA, XI, SEED))
     both = drawn.withColumnRenamed("x", "drawn").join(rows.select("unit", "t", "x", "z"), ["unit", "t"])
-    both = both.withColumn("post", F.col("t") >= first_treated(panel(spark, folder)))
+    both = both.withColumn("post", F.col("t") >= first_treated(rows))
     masks = six_masks(F.lit(True), F.col("post"), F.col("z") > 0)
     seen = masked_means(both, masks, F.col("x")).select("mask", F.col("slots"), F.col("mean").alias("observed"))
     return seen.join(masked_means(both, masks, F.col("drawn")).select("mask", F.col("mean").alias("drawn")), "mask").withColumn("distance", F.abs(F.col("observed") - F.col("drawn")))

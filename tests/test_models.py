@@ -164,3 +164,11 @@ def test_confounded_panel(spark):
     assert (again.set_index(["unit", "t"])["z"].sort_index() == out.set_index(["unit", "t"])["z"].sort_index()).all()
     with pytest.raises(ValueError):
         confounded_panel(units.limit(2), "unit", 30, [0.8, 0.5, 0.3], shared=1, own=2, slope=0.3, seed=5)
+
+
+def test_held_out_draws_begin_with_written_rows(spark, data):
+    """The driver holds one short plan: neither the tables nor the folds are planned again for each use of the rows."""
+    from loomgrid.plans.models import held_out_draws
+
+    plan = held_out_draws(spark, data)._jdf.queryExecution().analyzed().toString()
+    assert "Relation [" not in plan and len(plan) < 20_000
