@@ -26,6 +26,17 @@ def time_blocks(steps: int, folds: int) -> list[tuple[int, int, int, bool]]:
     return out
 
 
+def runs(steps: int, *folds: int) -> list[tuple[int, int]]:
+    """(first time, number of times) of the runs of times in which no role changes, in layers of so many folds: cut where a
+    block or a transition begins in any of them, and one time later, as a change of the slots of a layer separates at its first time only."""
+    first = {0}
+    for n in folds:
+        marks = [(block, jump) for _, block, _, jump in time_blocks(steps, n)]
+        first |= {t + i for t in range(1, steps) if marks[t] != marks[t - 1] for i in (0, 1)}
+    cuts = [*sorted(t for t in first if t < steps), steps]
+    return [(a, b - a) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
 def schedule(steps: int, folds: int) -> list[tuple[int, int, int, int, bool, int]]:
     """(fold, t, part, previous_part, is_transition, block): the part validated in each fold and time is
     ((block - fold) mod folds) + 1."""
@@ -49,13 +60,13 @@ def neighbour_parts(members: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.withColumn("near", F.array_sort(F.array_remove(near, F.col("part"))))
 
 
-def roles(members: DataFrame, edges: DataFrame, steps: int, folds: int) -> DataFrame:
-    """(fold, t, unit, role). The part of the schedule validates, its neighbours in other parts separate, and at a
-    transition the parts before and after separate too, with none validated; all else trains."""
+def roles(members: DataFrame, edges: DataFrame, steps: int, folds: int, times: list[int] | None = None) -> DataFrame:
+    """(fold, t, unit, role), at ``times`` only if given. The part of the schedule validates, its neighbours in other parts separate, and
+    at a transition the parts before and after separate too, with none validated; all else trains."""
     spark = members.sparkSession
     plan = F.broadcast(schedule_table(spark, steps, folds))  # folds x calendar rows
     placed = neighbour_parts(members, edges).withColumnRenamed("part", "own")
-    slots = placed.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).join(plan, "t")
+    slots = placed.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)) if times is None else F.array(*map(F.lit, times)))).join(plan, "t")
     near = F.array_contains("near", F.col("part"))
     own, before = F.col("own") == F.col("part"), F.col("own") == F.col("previous_part")
     role = (
@@ -125,9 +136,10 @@ def pattern_changes(outer: DataFrame) -> DataFrame:
     return outer.withColumn("flips", flips).groupBy(*key, "t").agg(F.max("flips").alias("changed"))
 
 
-def blanket_violations(slots: DataFrame, edges: DataFrame) -> DataFrame:
+def blanket_violations(slots: DataFrame, edges: DataFrame, lengths: list[tuple[int, int]] | None = None) -> DataFrame:
     """Per fold (and other key columns): edges at one time between validation (or outer test) and training, and steps of a unit between
-    validation and training. ``edges``: undirected pairs. A hub's edges are spread over tasks."""
+    validation and training. ``edges``: undirected pairs. A hub's edges are spread over tasks. ``lengths``: the ``runs`` whose first
+    times the slots are of; an edge counts at each time of its run."""
     key = [c for c in slots.columns if c not in ("t", "unit", "role")]
     marked = slots.where(F.col("role") != SEPARATOR)
     a = marked.select(*key, "t", F.col("unit").alias("src"), F.col("role").alias("a"))
@@ -135,7 +147,8 @@ def blanket_violations(slots: DataFrame, edges: DataFrame) -> DataFrame:
     links, a, by = spread(edges.select("src", "dst"), a, ["src"], "dst")
     met = links.join(a, by).join(b, [*key, "t", "dst"])
     pair = lambda role: ((F.col("a") == role) & (F.col("b") == TRAINING)) | ((F.col("a") == TRAINING) & (F.col("b") == role))
-    spatial = met.groupBy(*key).agg(F.count(F.when(pair(VALIDATION) | pair(OUTER_TEST), 1)).alias("spatial"))
+    each = F.lit(1) if lengths is None else F.element_at(F.create_map(*[F.lit(x) for run in lengths for x in run]), F.col("t"))
+    spatial = met.groupBy(*key).agg(F.sum(F.when(pair(VALIDATION) | pair(OUTER_TEST), each).otherwise(0)).alias("spatial"))
     before = F.lag("role").over(Window.partitionBy(*key, "unit").orderBy("t"))
     steps = slots.withColumn("before", before)
     crossed = ((F.col("role") == VALIDATION) & (F.col("before") == TRAINING)) | ((F.col("role") == TRAINING) & (F.col("before") == VALIDATION))

@@ -11,10 +11,10 @@ from loomgrid.operators.graph import (
 )
 from loomgrid.operators.panel import dense_index
 from loomgrid.operators.skew import numbered
-from loomgrid.operators.splits import SEPARATOR, TRAINING, VALIDATION, blanket_violations, inner_roles, neighbour_parts, pattern_changes, pattern_members, roles, schedule_table, time_blocks
+from loomgrid.operators.splits import SEPARATOR, TRAINING, VALIDATION, blanket_violations, inner_roles, neighbour_parts, pattern_changes, pattern_members, roles, runs, schedule_table, time_blocks
 from loomgrid.plans.problems import POSITIONS_SQL, positions
 from loomgrid.plans.views import CELLS_VIEW, CODE, EDGES_VIEW, PANEL_VIEW, cells, edges, panel
-from loomgrid.session import written_table
+from loomgrid.session import cut_lineage, written_table
 from loomgrid.sources.tables import table
 
 K = 4
@@ -142,9 +142,9 @@ def steps_of(spark: SparkSession, folder: str) -> int:
     return table(spark, folder, "realized_binary_artifact").select("week_end_date").where("week_end_date is not null").distinct().count()
 
 
-def members(spark: SparkSession, folder: str, folds: int) -> DataFrame:
-    """(unit, part): nodes of the graph in spatial parts; nodes without a position are dealt out by their number."""
-    nodes = both_ways(edges(spark, folder)).select(F.col("src").alias("unit")).distinct()
+def members(spark: SparkSession, folder: str, folds: int, pairs: DataFrame | None = None) -> DataFrame:
+    """(unit, part): nodes of the graph (``pairs`` if its edges are at hand) in spatial parts; nodes without a position are dealt out by their number."""
+    nodes = both_ways(edges(spark, folder) if pairs is None else pairs).select(F.col("src").alias("unit")).distinct()
     placed = spatial_parts(spark, folder).withColumnRenamed("fips", "unit")
     return dense_index(nodes, "unit").join(placed, "unit", "left").select("unit", F.coalesce("part", (F.col("number") % folds + 1).cast("int")).alias("part"))
 
@@ -153,10 +153,15 @@ def outer_slots(spark: SparkSession, folder: str) -> DataFrame:
     return fold_roles(spark, folder).withColumnRenamed("fold", "outer_fold")
 
 
-def inner_slots(spark: SparkSession, folder: str) -> DataFrame:
-    """The roles of all slots in the inner folds of every outer fold."""
-    outer = written_table(outer_slots(spark, folder))  # both the parts and the roles come from it
-    return inner_roles(outer, pattern_members(outer, INNER_FOLDS), both_ways(edges(spark, folder)), steps_of(spark, folder), INNER_FOLDS)
+def inner_slots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, list[tuple[int, int]]]:
+    """The roles of all slots in the inner folds of every outer fold, at the first time of each run of times in which no role of either layer
+    changes; the edges, and the runs."""
+    steps, pairs = steps_of(spark, folder), cut_lineage(edges(spark, folder))
+    lengths = runs(steps, FOLDS, INNER_FOLDS)
+    outer = roles(members(spark, folder, FOLDS, pairs), both_ways(pairs), steps, FOLDS, [t for t, _ in lengths]).withColumnRenamed("fold", "outer_fold")
+    outer = written_table(outer)  # both the parts and the roles come from it
+    parts = written_table(pattern_members(outer, INNER_FOLDS))
+    return inner_roles(outer, parts, both_ways(pairs), steps, INNER_FOLDS), pairs, lengths
 
 
 def blocks(spark, folder):
@@ -188,12 +193,16 @@ def blanket_check(spark, folder):
 
 def inner_fold_roles(spark, folder):
     """Roles inside the training slots of every outer fold, counted per outer fold, fold, time and role."""
-    return inner_slots(spark, folder).groupBy("outer_fold", "fold", "t", "role").agg(F.count(F.lit(1)).alias("slots"))
+    slots, _, lengths = inner_slots(spark, folder)
+    counts = slots.groupBy("outer_fold", "fold", "t", "role").agg(F.count(F.lit(1)).alias("slots"))
+    each = F.element_at(F.create_map(*[F.lit(x) for run in lengths for x in run]), F.col("t"))
+    return counts.select("outer_fold", "fold", F.explode(F.sequence("t", F.col("t") + each - 1)).alias("t"), "role", "slots")
 
 
 def inner_blanket_check(spark, folder):
     """P15 for the inner layer of every outer fold: no violations of validation against training."""
-    return blanket_violations(inner_slots(spark, folder), edges(spark, folder))
+    slots, pairs, lengths = inner_slots(spark, folder)
+    return blanket_violations(written_table(slots), pairs, lengths)
 
 
 def active_pattern_changes(spark, folder):

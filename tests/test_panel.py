@@ -285,3 +285,25 @@ def test_new_baselines_replace_only_baselines_of_earlier_reports(spark):
     got = sorted(tuple(r) for r in with_new_baselines(make(earlier), make(new), "state").collect())
     assert got == [("a", "baselines", "new", 4.0), ("a", "baselines", "other", None), ("a", "fit", "all", 1.0), ("b", "fit", "all", 2.0)]
     assert with_new_baselines(make([]), make(new), "state").collect() == []
+
+
+def test_inner_folds_by_runs_of_times(spark):
+    """Roles at the first times of runs stand for all times; violations weighted by the runs are those of all times."""
+    from loomgrid.operators.splits import blanket_violations, inner_roles, pattern_members, roles, runs
+
+    steps, units = 29, [f"u{i:02d}" for i in range(12)]
+    members = spark.createDataFrame([(u, i // 3 + 1) for i, u in enumerate(units)], "unit string, part int")
+    pairs = spark.createDataFrame([(a, b, 1.0) for a, b in zip(units, units[1:])], "src string, dst string, w double")
+    both = pairs.unionByName(pairs.selectExpr("dst as src", "src as dst", "w"))
+    lengths = runs(steps, 4, 3)
+    assert sum(n for _, n in lengths) == steps and len(lengths) < 20
+    layers = []
+    for times in (None, [t for t, _ in lengths]):
+        outer = roles(members, both, steps, 4, times).withColumnRenamed("fold", "outer_fold")
+        layers.append(inner_roles(outer, pattern_members(outer, 3), both, steps, 3))
+    all_rows, first_rows = [{(r.outer_fold, r.fold, r.t, r.unit): r.role for r in x.collect()} for x in layers]
+    start = {t: a for a, n in lengths for t in range(a, a + n)}
+    assert all_rows == {k: first_rows[k[0], k[1], start[k[2]], k[3]] for k in all_rows}
+    broken = [x.withColumn("role", F.when(F.col("role") == "separator", "training").otherwise(F.col("role"))) for x in layers]
+    whole, weighted = [sorted(map(tuple, blanket_violations(x, pairs, w).collect())) for x, w in zip(broken, (None, lengths))]
+    assert whole == weighted and any(r[2] for r in whole)
