@@ -78,3 +78,14 @@ def numbered(rows: DataFrame, group: list[str], order: list[Column], name: str)
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     inside = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order))
     return ranged.join(before, same).withColumn(name, (inside + F.col("_before")).cast("int")).select(*rows.columns, name)
+
+
+def running_counts(rows: DataFrame, order: list[Column], flags: dict[str, Column]) -> DataFrame:
+    """Adds a column for each of ``flags``: in how many rows up to this one, by ``order`` over all rows, it holds. Counted in ranges like in ``numbered``."""
+    ranged = cut_lineage(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(*[F.count_if(flag).alias(f"_n_{name}") for name, flag in flags.items()])  # a row per range
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_range", *[F.coalesce(F.sum(f"_n_{name}").over(upto), F.lit(0)).alias(f"_n_{name}") for name in flags])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = ranged.select("*", *[F.count_if(flag).over(inside).alias(name) for name, flag in flags.items()])
+    return counted.join(F.broadcast(before), "_range").select(*rows.columns, *[(F.col(name) + F.col(f"_n_{name}")).alias(name) for name in flags])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgrid.operators.skew import numbered, spread
+from loomgrid.operators.skew import numbered, running_counts, spread
+from loomgrid.session import written_table
 
 TRAINING, SEPARATOR, VALIDATION, OUTER_TEST = "training", "separator", "validation", "outer_test"
 
@@ -128,6 +129,67 @@ def inner_roles(outer: DataFrame, members: DataFrame, edges: DataFrame, steps: i
     return full.select(*key, "fold", "t", "unit", role.alias("role"))
 
 
+def inner_plan(steps: int, outer_folds: int, folds: int, held: set[int]) -> tuple[list[tuple], list[tuple]]:
+    """The states that the outer layer can be in at a time: (state, is_transition, part, previous_part, out, out_before), where ``out`` is the part whose units are
+    outer validation (0 for none), ``out_before`` that of the time before (-1 at the first); and the calendar: (outer_fold, fold, t, state,
+    separates, part, before), with what the inner layer does at t. ``held``: the parts that have units; only with these the set of shared slots changes."""
+    states: dict[tuple, int] = {}
+    calendar, inner, out_before = [], {}, {}
+    for fold, t, part, previous, jump, _ in schedule(steps, folds):
+        inner.setdefault(t, []).append((fold, part, previous, jump))
+    for outer_fold, t, part, previous, jump, _ in schedule(steps, outer_folds):
+        out, last = 0 if jump else part, out_before.get(outer_fold, -1)
+        out_before[outer_fold] = out
+        state = states.setdefault((jump, part, previous if jump else 0, out, last), len(states))
+        changed = last >= 0 and out != last and bool({out, last} & held)
+        calendar += [(outer_fold, fold, t, state, j or changed, p, b if j else p) for fold, p, b, j in inner[t]]
+    return [(n, *s) for s, n in states.items()], calendar
+
+
+def inner_role_counts(members: DataFrame, edges: DataFrame, steps: int, outer_folds: int, folds: int) -> DataFrame:
+    """(outer_fold, fold, t, role, slots): how many units have each role in the ``inner_roles`` of all outer folds of ``roles``, with the parts of
+    ``pattern_members``, without a row per slot. ``members``: unit, part; ``edges`` both ways, an edge of every unit.
+
+    The outer layer shares out all units but those of one part, or all of them, so a unit has at most outer_folds + 1 inner parts, by its number among the units
+    outside each part. Its own part, these and those of its neighbours are bits of two numbers. At a time the role depends on few of them, so units are
+    counted by these bits for each state of the outer layer, and only the counts, whose number is bounded, meet the calendar.
+    """
+    if (outer_folds + 1) * (folds + 1) > 64:
+        raise ValueError(f"the parts of {outer_folds} folds with {folds} inner ones don't fit 63 bits")
+    spark, members = members.sparkSession, written_table(members)
+    held = {r.part for r in members.groupBy("part").agg(F.count(F.lit(1))).collect()}  # at most outer_folds
+    states, calendar = inner_plan(steps, outer_folds, folds, held)
+    one = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
+    field = lambda bits, out: F.call_function("shiftright", F.col(bits), (outer_folds + out * folds).cast("int")).bitwiseAND(F.lit(2**folds - 1))
+    has = lambda bits, part: F.col(bits).bitwiseAND(one(F.col(part) - 1)) != 0
+    outs = range(outer_folds + 1)
+    dealt = running_counts(members, [F.asc("unit")], {f"n{out}": F.col("part") != out for out in outs})
+    inner = [F.when(F.col("part") != out, one(outer_folds + out * folds + F.pmod(F.col(f"n{out}") - 1, F.lit(folds)))).otherwise(0) for out in outs]
+    dealt = written_table(dealt.select("unit", sum(inner, one(F.col("part") - 1)).alias("bits")))
+    links, others, by = spread(edges.select("src", "dst"), dealt.withColumnRenamed("unit", "dst"), ["dst"], "src")
+    near = links.join(others, by).groupBy(F.col("src").alias("unit")).agg(F.bit_or("bits").alias("near"))
+    seen = dealt.join(near, "unit").crossJoin(F.broadcast(spark.createDataFrame(states, "state int, jump boolean, part int, previous int, out int, out_before int")))
+    own, beside = has("bits", "part"), has("near", "part")
+    outer = F.when(F.col("jump"), F.when(beside | own | has("bits", "previous"), SEPARATOR).otherwise(TRAINING)).when(own, VALIDATION).when(beside, SEPARATOR).otherwise(TRAINING)
+    open_bits = lambda bits: F.when(F.col("outer") == TRAINING, bits).otherwise(0)
+    last = F.when(F.col("out_before") >= 0, field("bits", F.greatest("out_before", F.lit(0)))).otherwise(0)
+    kinds = seen.withColumn("outer", outer).select(
+        "state", "outer", open_bits(field("bits", F.col("out"))).alias("own"), open_bits(field("near", F.col("out"))).alias("near"), open_bits(last).alias("own_before")
+    )
+    kinds = kinds.groupBy(*kinds.columns).agg(F.count(F.lit(1)).alias("n"))
+    plan = F.broadcast(spark.createDataFrame(calendar, "outer_fold int, fold int, t int, state int, separates boolean, part int, previous int"))  # folds x calendar rows
+    role = (
+        F.when(F.col("outer") == VALIDATION, OUTER_TEST)
+        .when((F.col("outer") == SEPARATOR) | (has("near", "part") & ~has("own", "part")), SEPARATOR)
+        .when(F.col("separates") & (has("own", "part") | has("own_before", "previous")), SEPARATOR)
+        .when(F.col("separates"), TRAINING)
+        .when(has("own", "part"), VALIDATION)
+        .otherwise(TRAINING)
+    )
+    counted = kinds.join(plan, "state").select("outer_fold", "fold", "t", role.alias("role"), "n")
+    return counted.groupBy("outer_fold", "fold", "t", "role").agg(F.sum("n").alias("slots"))
+
+
 def pattern_changes(outer: DataFrame) -> DataFrame:
     """(key, t, changed): whether any slot begins or ends to be outer validation at t."""
     key = [c for c in outer.columns if c not in ("t", "unit", "role")]

@@ -11,7 +11,7 @@ from loomgrid.operators.graph import (
 )
 from loomgrid.operators.panel import dense_index
 from loomgrid.operators.skew import numbered
-from loomgrid.operators.splits import SEPARATOR, TRAINING, VALIDATION, blanket_violations, inner_roles, neighbour_parts, pattern_changes, pattern_members, roles, runs, schedule_table, time_blocks
+from loomgrid.operators.splits import SEPARATOR, TRAINING, VALIDATION, blanket_violations, inner_role_counts, inner_roles, neighbour_parts, pattern_changes, pattern_members, roles, runs, schedule_table, time_blocks
 from loomgrid.plans.problems import POSITIONS_SQL, positions
 from loomgrid.plans.views import CELLS_VIEW, CODE, EDGES_VIEW, PANEL_VIEW, cells, edges, panel
 from loomgrid.session import cut_lineage, written_table
@@ -193,10 +193,8 @@ def blanket_check(spark, folder):
 
 def inner_fold_roles(spark, folder):
     """Roles inside the training slots of every outer fold, counted per outer fold, fold, time and role."""
-    slots, _, lengths = inner_slots(spark, folder)
-    counts = slots.groupBy("outer_fold", "fold", "t", "role").agg(F.count(F.lit(1)).alias("slots"))
-    each = F.element_at(F.create_map(*[F.lit(x) for run in lengths for x in run]), F.col("t"))
-    return counts.select("outer_fold", "fold", F.explode(F.sequence("t", F.col("t") + each - 1)).alias("t"), "role", "slots")
+    steps, pairs = steps_of(spark, folder), written_table(edges(spark, folder))
+    return inner_role_counts(members(spark, folder, FOLDS, pairs), both_ways(pairs), steps, FOLDS, INNER_FOLDS)
 
 
 def inner_blanket_check(spark, folder):

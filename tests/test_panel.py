@@ -307,3 +307,35 @@ def test_inner_folds_by_runs_of_times(spark):
     broken = [x.withColumn("role", F.when(F.col("role") == "separator", "training").otherwise(F.col("role"))) for x in layers]
     whole, weighted = [sorted(map(tuple, blanket_violations(x, pairs, w).collect())) for x, w in zip(broken, (None, lengths))]
     assert whole == weighted and any(r[2] for r in whole)
+
+
+@pytest.mark.parametrize("parts", [(1, 2, 3, 4), (1, 2, 4), (3,)])
+def test_inner_roles_counted_without_slots(spark, parts):
+    """Counts by kinds of units are those of the roles of all slots, with a hub, uneven parts and parts without units."""
+    from loomgrid.operators.splits import inner_role_counts
+
+    rng = np.random.default_rng(5)
+    steps, units = 29, [f"u{i:02d}" for i in range(40)]
+    members = spark.createDataFrame([(u, int(rng.choice(parts))) for u in units], "unit string, part int")
+    pairs = {(units[0], u) for u in units[1:14]} | set(zip(units, units[1:]))
+    both = spark.createDataFrame([(a, b, 1.0) for x, y in pairs for a, b in ((x, y), (y, x))], "src string, dst string, w double")
+    outer = roles(members, both, steps, 4).withColumnRenamed("fold", "outer_fold")
+    slots = inner_roles(outer, pattern_members(outer, 3), both, steps, 3)
+    want = sorted(map(tuple, slots.groupBy("outer_fold", "fold", "t", "role").count().collect()))
+    got = inner_role_counts(members, both, steps, 4, 3)
+    assert sorted(map(tuple, got.collect())) == want and sum(r[-1] for r in want) == 4 * 3 * steps * len(units)
+    assert inner_role_counts(members.limit(0), both.limit(0), steps, 4, 3).collect() == []
+
+
+def test_inner_fold_roles_writes_no_slots(spark, data):
+    """No table that the query writes on its way has more rows than there are edges, however many weeks there are."""
+    from pathlib import Path
+
+    from loomgrid.plans import queries
+    from loomgrid.session import run_folder
+
+    folder = Path(run_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("*"))
+    queries()["inner_fold_roles"](spark, data).collect()
+    written = [spark.read.parquet(str(p)).count() for p in set(folder.glob("*")) - before]
+    assert written and max(written) <= queries()["contiguity"](spark, data).count()
