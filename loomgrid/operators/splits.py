@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgrid.operators.skew import numbered, running_counts, spread
+from loomgrid.operators.skew import copied, hot_keys, numbered, running_counts, spread, spread_rows
 from loomgrid.session import written_table
 
 TRAINING, SEPARATOR, VALIDATION, OUTER_TEST = "training", "separator", "validation", "outer_test"
@@ -146,50 +148,124 @@ def inner_plan(steps: int, outer_folds: int, folds: int, held: set[int]) -> tupl
     return [(n, *s) for s, n in states.items()], calendar
 
 
-def inner_role_counts(members: DataFrame, edges: DataFrame, steps: int, outer_folds: int, folds: int) -> DataFrame:
-    """(outer_fold, fold, t, role, slots): how many units have each role in the ``inner_roles`` of all outer folds of ``roles``, with the parts of
-    ``pattern_members``, without a row per slot. ``members``: unit, part; ``edges`` both ways, an edge of every unit.
+#: A state of ``inner_plan``, and what the inner layer does at a time of its calendar.
+STATE = "struct<state: int, jump: boolean, part: int, previous: int, out: int, out_before: int>"
+DOES = "struct<state: int, separates: boolean, part: int, previous: int>"
+
+
+def _one(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
+
+
+def _has(bits: Column, part: Column) -> Column:
+    return bits.bitwiseAND(_one(part - 1)) != 0
+
+
+def unit_bits(members: DataFrame, edges: DataFrame, outer_folds: int, folds: int) -> DataFrame:
+    """(unit, bits, near): the parts of every unit of ``members`` and those of its neighbours, as bits. ``edges`` both ways, an edge of every unit.
 
     The outer layer shares out all units but those of one part, or all of them, so a unit has at most outer_folds + 1 inner parts, by its number among the units
-    outside each part. Its own part, these and those of its neighbours are bits of two numbers. At a time the role depends on few of them, so units are
-    counted by these bits for each state of the outer layer, and only the counts, whose number is bounded, meet the calendar.
+    outside each part. Its own part and these are the bits of one number.
     """
-    if (outer_folds + 1) * (folds + 1) > 64:
-        raise ValueError(f"the parts of {outer_folds} folds with {folds} inner ones don't fit 63 bits")
-    spark, members = members.sparkSession, written_table(members)
-    held = {r.part for r in members.groupBy("part").agg(F.count(F.lit(1))).collect()}  # at most outer_folds
-    states, calendar = inner_plan(steps, outer_folds, folds, held)
-    one = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
-    field = lambda bits, out: F.call_function("shiftright", F.col(bits), (outer_folds + out * folds).cast("int")).bitwiseAND(F.lit(2**folds - 1))
-    has = lambda bits, part: F.col(bits).bitwiseAND(one(F.col(part) - 1)) != 0
     outs = range(outer_folds + 1)
     dealt = running_counts(members, [F.asc("unit")], {f"n{out}": F.col("part") != out for out in outs})
-    inner = [F.when(F.col("part") != out, one(outer_folds + out * folds + F.pmod(F.col(f"n{out}") - 1, F.lit(folds)))).otherwise(0) for out in outs]
-    dealt = written_table(dealt.select("unit", sum(inner, one(F.col("part") - 1)).alias("bits")))
+    inner = [F.when(F.col("part") != out, _one(outer_folds + out * folds + F.pmod(F.col(f"n{out}") - 1, F.lit(folds)))).otherwise(0) for out in outs]
+    dealt = written_table(dealt.select("unit", sum(inner, _one(F.col("part") - 1)).alias("bits")))
     links, others, by = spread(edges.select("src", "dst"), dealt.withColumnRenamed("unit", "dst"), ["dst"], "src")
     near = links.join(others, by).groupBy(F.col("src").alias("unit")).agg(F.bit_or("bits").alias("near"))
-    seen = dealt.join(near, "unit").crossJoin(F.broadcast(spark.createDataFrame(states, "state int, jump boolean, part int, previous int, out int, out_before int")))
-    own, beside = has("bits", "part"), has("near", "part")
-    outer = F.when(F.col("jump"), F.when(beside | own | has("bits", "previous"), SEPARATOR).otherwise(TRAINING)).when(own, VALIDATION).when(beside, SEPARATOR).otherwise(TRAINING)
-    open_bits = lambda bits: F.when(F.col("outer") == TRAINING, bits).otherwise(0)
-    last = F.when(F.col("out_before") >= 0, field("bits", F.greatest("out_before", F.lit(0)))).otherwise(0)
-    kinds = seen.withColumn("outer", outer).select(
-        "state", "outer", open_bits(field("bits", F.col("out"))).alias("own"), open_bits(field("near", F.col("out"))).alias("near"), open_bits(last).alias("own_before")
-    )
-    kinds = kinds.groupBy(*kinds.columns).agg(F.count(F.lit(1)).alias("n"))
-    plan = F.broadcast(spark.createDataFrame(calendar, "outer_fold int, fold int, t int, state int, separates boolean, part int, previous int"))  # folds x calendar rows
-    role = (
-        F.when(F.col("outer") == VALIDATION, OUTER_TEST)
-        .when((F.col("outer") == SEPARATOR) | (has("near", "part") & ~has("own", "part")), SEPARATOR)
-        .when(F.col("separates") & (has("own", "part") | has("own_before", "previous")), SEPARATOR)
-        .when(F.col("separates"), TRAINING)
-        .when(has("own", "part"), VALIDATION)
+    return dealt.join(near, "unit")
+
+
+def slot_kind(bits: str, near: str, state: str, outer_folds: int, folds: int) -> Column:
+    """(outer, own, near, own_before) of a unit in a state of the outer layer: its outer role and, where the outer layer trains on it, its inner part, those of
+    its neighbours and its own of the time before, as bits. The roles of its slots depend on nothing else of the unit, and the number of kinds is bounded."""
+    field = lambda c, out: F.call_function("shiftright", F.col(c), (outer_folds + out * folds).cast("int")).bitwiseAND(F.lit(2**folds - 1))
+    at = lambda name: F.col(f"{state}.{name}")
+    own, beside = _has(F.col(bits), at("part")), _has(F.col(near), at("part"))
+    outer = F.when(at("jump"), F.when(beside | own | _has(F.col(bits), at("previous")), SEPARATOR).otherwise(TRAINING)).when(own, VALIDATION).when(beside, SEPARATOR).otherwise(TRAINING)
+    open_bits = lambda c: F.when(outer == TRAINING, c).otherwise(0)
+    last = F.when(at("out_before") >= 0, field(bits, F.greatest(at("out_before"), F.lit(0)))).otherwise(0)
+    return F.struct(outer.alias("outer"), open_bits(field(bits, at("out"))).alias("own"), open_bits(field(near, at("out"))).alias("near"), open_bits(last).alias("own_before"))
+
+
+def slot_role(kind: str, does: str) -> Column:
+    """The role in the inner layer of the slots of a ``slot_kind`` by what the layer does at their time."""
+    own = _has(F.col(f"{kind}.own"), F.col(f"{does}.part"))
+    return (
+        F.when(F.col(f"{kind}.outer") == VALIDATION, OUTER_TEST)
+        .when((F.col(f"{kind}.outer") == SEPARATOR) | (_has(F.col(f"{kind}.near"), F.col(f"{does}.part")) & ~own), SEPARATOR)
+        .when(F.col(f"{does}.separates") & (own | _has(F.col(f"{kind}.own_before"), F.col(f"{does}.previous"))), SEPARATOR)
+        .when(F.col(f"{does}.separates"), TRAINING)
+        .when(own, VALIDATION)
         .otherwise(TRAINING)
     )
-    counted = kinds.join(plan, "state").select("outer_fold", "fold", "t", role.alias("role"), "n")
+
+
+def inner_calendar(members: DataFrame, steps: int, outer_folds: int, folds: int) -> tuple[list[tuple], list[tuple]]:
+    """The ``inner_plan`` of the parts that have units."""
+    if (outer_folds + 1) * (folds + 1) > 64:
+        raise ValueError(f"the parts of {outer_folds} folds with {folds} inner ones don't fit 63 bits")
+    held = {r.part for r in members.groupBy("part").agg(F.count(F.lit(1))).collect()}  # at most outer_folds
+    return inner_plan(steps, outer_folds, folds, held)
+
+
+def inner_role_counts(members: DataFrame, edges: DataFrame, steps: int, outer_folds: int, folds: int) -> DataFrame:
+    """(outer_fold, fold, t, role, slots): how many units have each role in the ``inner_roles`` of all outer folds of ``roles``, with the parts of
+    ``pattern_members``, without a row per slot. ``members``: unit, part; ``edges`` both ways, an edge of every unit.
+
+    At a time the role depends on few of the bits of a unit, so units are counted by their kind for each state of the outer layer, and only the counts, whose
+    number is bounded, meet the calendar.
+    """
+    spark, members = members.sparkSession, written_table(members)
+    states, calendar = inner_calendar(members, steps, outer_folds, folds)
+    seen = unit_bits(members, edges, outer_folds, folds).crossJoin(F.broadcast(spark.createDataFrame([(s,) for s in states], f"s: {STATE}")))
+    kinds = seen.select(F.col("s.state").alias("state"), slot_kind("bits", "near", "s", outer_folds, folds).alias("kind")).groupBy("state", "kind").agg(F.count(F.lit(1)).alias("n"))
+    plan = F.broadcast(spark.createDataFrame([(*x[:3], x[3], x[3:]) for x in calendar], f"outer_fold int, fold int, t int, state int, does {DOES}"))  # folds x calendar rows
+    counted = kinds.join(plan, "state").select("outer_fold", "fold", "t", slot_role("kind", "does").alias("role"), "n")
     return counted.groupBy("outer_fold", "fold", "t", "role").agg(F.sum("n").alias("slots"))
 
 
+def inner_violations(members: DataFrame, edges: DataFrame, pairs: DataFrame, steps: int, outer_folds: int, folds: int) -> DataFrame:
+    """(outer_fold, fold, spatial, temporal): the ``blanket_violations`` of the ``inner_roles`` of all outer folds over ``pairs``, without a row per slot. The other
+    arguments are those of ``inner_role_counts``; ``pairs``: undirected, between units. A hub's edges are spread over tasks.
+
+    Pairs are counted by the kinds of their ends for each state of the outer layer, units by their kinds in each two states that follow one another; these
+    counts meet what the inner layer does there, with the number of times that it does so.
+    """
+    spark, members = members.sparkSession, written_table(members)
+    states, calendar = inner_calendar(members, steps, outer_folds, folds)
+    seen = written_table(unit_bits(members, edges, outer_folds, folds))  # both ends and the steps come from it
+    kind = lambda end, state: slot_kind(f"{end}bits", f"{end}near", state, outer_folds, folds)
+    end = lambda key, name: seen.select(F.col("unit").alias(key), F.col("bits").alias(f"{name}_bits"), F.col("near").alias(f"{name}_near"))
+    key = ["outer_fold", "fold"]
+
+    links, a, by = spread(pairs.select("src", "dst"), end("src", "a"), ["src"], "dst")
+    hubs = hot_keys(pairs, ["dst"], "_parts")
+    met = spread_rows(links.join(a, by).select("src", "dst", "a_bits", "a_near"), hubs, ["dst"], "src").join(copied(end("dst", "b"), hubs, ["dst"]), ["dst", "_salt"])
+    met = met.crossJoin(F.broadcast(spark.createDataFrame([(s,) for s in states], f"s: {STATE}")))
+    met = met.select(F.col("s.state").alias("state"), kind("a_", "s").alias("a"), kind("b_", "s").alias("b"))
+    met = met.where((F.col("a.outer") != SEPARATOR) & (F.col("b.outer") != SEPARATOR)).groupBy("state", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    times = Counter((*x[:2], x[3], x[3:]) for x in calendar)
+    plan = F.broadcast(spark.createDataFrame([(*x, n) for x, n in times.items()], f"outer_fold int, fold int, state int, does {DOES}, times long"))  # at most folds x calendar rows
+    found = met.join(plan, "state").select(*key, slot_role("a", "does").alias("a"), slot_role("b", "does").alias("b"), (F.col("n") * F.col("times")).alias("n"))
+    held = lambda c: F.col(c).isin(VALIDATION, OUTER_TEST)
+    pair = (held("a") & (F.col("b") == TRAINING)) | (held("b") & (F.col("a") == TRAINING))
+    spatial = found.groupBy(*key).agg(F.sum(F.when(pair, F.col("n")).otherwise(0)).alias("spatial"))
+
+    by_time = {(*x[:2], x[2]): x[3:] for x in calendar}
+    walks = Counter((outer_fold, fold, by_time[outer_fold, fold, t - 1], does) for (outer_fold, fold, t), does in by_time.items() if t)
+    two = sorted({(before[0], after[0]) for _, _, before, after in walks})
+    ways = spark.createDataFrame([(n, states[a], states[b]) for n, (a, b) in enumerate(two)], f"way int, s {STATE}, s2 {STATE}")
+    units = seen.crossJoin(F.broadcast(ways)).select("way", kind("", "s").alias("a"), kind("", "s2").alias("b")).groupBy("way", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    number = {x: n for n, x in enumerate(two)}
+    rows = [(outer_fold, fold, number[before[0], after[0]], before, after, n) for (outer_fold, fold, before, after), n in walks.items()]
+    plan = F.broadcast(spark.createDataFrame(rows, f"outer_fold int, fold int, way int, before {DOES}, after {DOES}, times long"))  # at most folds x calendar rows
+    found = units.join(plan, "way").select(*key, slot_role("a", "before").alias("a"), slot_role("b", "after").alias("b"), (F.col("n") * F.col("times")).alias("n"))
+    crossed = ((F.col("a") == VALIDATION) & (F.col("b") == TRAINING)) | ((F.col("a") == TRAINING) & (F.col("b") == VALIDATION))
+    temporal = found.groupBy(*key).agg(F.sum(F.when(crossed, F.col("n")).otherwise(0)).alias("temporal"))
+    return temporal.join(spatial, key, "left").select(*key, F.coalesce("spatial", F.lit(0)).alias("spatial"), "temporal")
+
+
 def pattern_changes(outer: DataFrame) -> DataFrame:
     """(key, t, changed): whether any slot begins or ends to be outer validation at t."""
     key = [c for c in outer.columns if c not in ("t", "unit", "role")]

@@ -11,10 +11,10 @@ from loomgrid.operators.graph import (
 )
 from loomgrid.operators.panel import dense_index
 from loomgrid.operators.skew import numbered
-from loomgrid.operators.splits import SEPARATOR, TRAINING, VALIDATION, blanket_violations, inner_role_counts, inner_roles, neighbour_parts, pattern_changes, pattern_members, roles, runs, schedule_table, time_blocks
+from loomgrid.operators.splits import SEPARATOR, TRAINING, VALIDATION, blanket_violations, inner_role_counts, inner_violations, neighbour_parts, pattern_changes, roles, schedule_table, time_blocks
 from loomgrid.plans.problems import POSITIONS_SQL, positions
 from loomgrid.plans.views import CELLS_VIEW, CODE, EDGES_VIEW, PANEL_VIEW, cells, edges, panel
-from loomgrid.session import cut_lineage, written_table
+from loomgrid.session import written_table
 from loomgrid.sources.tables import table
 
 K = 4
@@ -153,17 +153,6 @@ def outer_slots(spark: SparkSession, folder: str) -> DataFrame:
     return fold_roles(spark, folder).withColumnRenamed("fold", "outer_fold")
 
 
-def inner_slots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, list[tuple[int, int]]]:
-    """The roles of all slots in the inner folds of every outer fold, at the first time of each run of times in which no role of either layer
-    changes; the edges, and the runs."""
-    steps, pairs = steps_of(spark, folder), cut_lineage(edges(spark, folder))
-    lengths = runs(steps, FOLDS, INNER_FOLDS)
-    outer = roles(members(spark, folder, FOLDS, pairs), both_ways(pairs), steps, FOLDS, [t for t, _ in lengths]).withColumnRenamed("fold", "outer_fold")
-    outer = written_table(outer)  # both the parts and the roles come from it
-    parts = written_table(pattern_members(outer, INNER_FOLDS))
-    return inner_roles(outer, parts, both_ways(pairs), steps, INNER_FOLDS), pairs, lengths
-
-
 def blocks(spark, folder):
     """Time blocks, transitions and the part that each fold validates in each block."""
     steps = steps_of(spark, folder)
@@ -199,8 +188,8 @@ def inner_fold_roles(spark, folder):
 
 def inner_blanket_check(spark, folder):
     """P15 for the inner layer of every outer fold: no violations of validation against training."""
-    slots, pairs, lengths = inner_slots(spark, folder)
-    return blanket_violations(written_table(slots), pairs, lengths)
+    steps, pairs = steps_of(spark, folder), written_table(edges(spark, folder))
+    return inner_violations(members(spark, folder, FOLDS, pairs), both_ways(pairs), pairs, steps, FOLDS, INNER_FOLDS)
 
 
 def active_pattern_changes(spark, folder):

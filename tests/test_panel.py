@@ -339,3 +339,45 @@ def test_inner_fold_roles_writes_no_slots(spark, data):
     queries()["inner_fold_roles"](spark, data).collect()
     written = [spark.read.parquet(str(p)).count() for p in set(folder.glob("*")) - before]
     assert written and max(written) <= queries()["contiguity"](spark, data).count()
+
+
+@pytest.mark.parametrize("parts", [(1, 2, 3, 4), (1, 2, 4), (3,)])
+def test_inner_violations_counted_without_slots(spark, monkeypatch, parts):
+    """Violations by kinds are those of the roles of all slots: none; and, with pairs that the folds don't know and inner folds without transitions, many."""
+    from loomgrid.operators import skew, splits
+
+    rng = np.random.default_rng(6)
+    steps, units = 29, [f"u{i:02d}" for i in range(40)]
+    members = spark.createDataFrame([(u, int(rng.choice(parts))) for u in units], "unit string, part int")
+    known = {(units[0], u) for u in units[1:14]} | set(zip(units, units[1:]))
+    both = spark.createDataFrame([(a, b, 1.0) for x, y in known for a, b in ((x, y), (y, x))], "src string, dst string, w double")
+    pairs = spark.createDataFrame([(*sorted(map(str, rng.choice(units, 2, replace=False))), 1.0) for _ in range(60)] + [(u, units[-1], 1.0) for u in units[:9]], "src string, dst string, w double")
+
+    def both_counts(links):
+        outer = roles(members, both, steps, 4).withColumnRenamed("fold", "outer_fold")
+        slots = inner_roles(outer, pattern_members(outer, 3), both, steps, 3)
+        return [sorted(map(tuple, x.collect())) for x in (blanket_violations(slots, links), splits.inner_violations(members, both, links, steps, 4, 3))]
+
+    want, got = both_counts(both.where("src < dst"))
+    assert got == want == [(o, f, 0, 0) for o in range(1, 5) for f in range(1, 4)]
+    real = splits.schedule
+    monkeypatch.setattr(splits, "schedule", lambda steps, folds: [(f, t, p, q, jump and folds != 3, b) for f, t, p, q, jump, b in real(steps, folds)])
+    monkeypatch.setattr(skew.hot_keys, "__defaults__", (4,))
+    monkeypatch.setattr(skew.spread, "__defaults__", (4,))
+    want, got = both_counts(pairs)
+    assert got == want and sum(r[2] for r in want) > 0 and sum(r[3] for r in want) > 0
+    assert splits.inner_violations(members.limit(0), both.limit(0), pairs.limit(0), steps, 4, 3).collect() == []
+
+
+def test_inner_blanket_check_writes_no_slots(spark, data):
+    """No table that the query writes on its way has more rows than there are edges, however many weeks there are."""
+    from pathlib import Path
+
+    from loomgrid.plans import queries
+    from loomgrid.session import run_folder
+
+    folder = Path(run_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("*"))
+    queries()["inner_blanket_check"](spark, data).collect()
+    written = [spark.read.parquet(str(p)).count() for p in set(folder.glob("*")) - before]
+    assert written and max(written) <= queries()["contiguity"](spark, data).count()
